@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, sharding, url_filter
+from . import decontamination, line_dedup, quality_forest, sharding, toxicity_crf, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,23 @@ URL_RULES = [
 SHARDS = 40
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity_crf.fit(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity_crf.score_toxicity(docs, model, carry=["doc_id"])
+    return out.select(
+        "doc.doc_id",
+        (~quality_forest.training_rows(F.col("doc.doc_id"))).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity_crf.CUT, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_forest.filter_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return out.select("doc.doc_id", *quality_forest.BASE, "base_failed", "kept")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,7 +67,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination)}
+    return {f.__name__: f for f in (op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination)}
 
 
 OP7_SQL = r"""
