@@ -63,11 +63,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     windows = scratch.keep(windows, "windows")
     where = F.struct("id", "th", "place")
     repeated = windows.groupBy("a", "b").agg(F.min(where).alias("first"), F.max(where).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("a", "b", "first")
-    later = windows.join(repeated, ["a", "b"]).filter(~where.eqNullSafe(F.col("first"))).select("id", "th", "place")
+    later = windows.join(repeated.hint("merge"), ["a", "b"]).filter(~where.eqNullSafe(F.col("first"))).select("id", "th", "place")
     covered = scratch.keep(later.groupBy("id", "th").agg(F.collect_set("place").alias("starts")), "covered")
     scratch.drop("windows")
+    # Merge joins at every size: Spark splits their hot partitions, and plans do not change as tables grow.
     rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("id"), F.xxhash64(text).alias("th"))
-    joined = rows.join(covered.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "starts"), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
+    joined = rows.join(covered.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "starts").hint("merge"), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
     split = joined.select("doc", "starts", _lines(F.col(f"doc.{text}")).alias("lines"))
     split = split.select("doc", "starts", "lines", _counted(F.col("lines")).alias("counted"))
     gone = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.slice("counted", s + 1, F.lit(WINDOW)))))
