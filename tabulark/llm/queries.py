@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, quality_forest, sharding, toxicity_crf, url_filter
+from . import decontamination, line_dedup, packing, quality_forest, sharding, token_counts, toxicity_crf, url_filter
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,17 @@ URL_RULES = [
 SHARDS = 40
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
+    packed = packing.pack(pieces.select("doc.doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "salt"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity_crf.fit(docs, _table(spark, sf_dir, "labels"))
@@ -66,8 +79,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = Scratch(spark, "tokens").path("files")
+    out = token_counts.count_tokens(
+        _table(spark, sf_dir, "documents"), where, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"]
+    )
+    return out.select("doc.doc_id", "n_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination)}
+    return {f.__name__: f for f in (op1_packing, op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_token_counts)}
 
 
 OP7_SQL = r"""
