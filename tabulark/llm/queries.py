@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality_forest, sharding, token_counts, toxicity_crf, url_filter
+from . import decontamination, line_dedup, near_dedup, packing, quality_forest, sharding, token_counts, toxicity_crf, url_filter
 from .scratch import Scratch
 
 
@@ -36,6 +36,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc.doc_id", "class_id", "keep")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity_crf.fit(docs, _table(spark, sf_dir, "labels"))
@@ -88,7 +93,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_token_counts)}
 
 
 OP7_SQL = r"""
