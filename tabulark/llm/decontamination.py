@@ -205,7 +205,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     spans = _merged(F.array_sort(F.concat(*[F.col(f"spans_{b}") for b in range(blocks)])))
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"items_{b}") for b in range(blocks)])))
     out = rows.select("doc", "text", F.col("n_words_0").alias("n_words"), spans.alias("spans"), items.alias("items"))
-    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.size(_words(F.substr(F.encode("text", F.lit("utf-8")), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")).cast("string"))))
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.size(_words(F.substr(F.col("text").cast("binary"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")).cast("string"))))
     return out.select("doc", "n_words", words.alias("n_hit"), "spans", "items")
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, near_dedup, packing, quality_forest, sharding, token_counts, toxicity_crf, url_filter
+from . import decontamination, line_dedup, near_dedup, packing, quality_forest, sharding, suffix_dedup, token_counts, toxicity_crf, url_filter
 from .scratch import Scratch
 
 
@@ -92,8 +92,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_tokens")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_token_counts, op10_suffix_dedup)}
 
 
 OP7_SQL = r"""
