@@ -75,7 +75,8 @@ def with_numbers(raw: DataFrame, shape: TableShape | None = None) -> DataFrame:
     extra = F.col("extra") if "extra" in raw.columns else F.array().cast(EXTRA)
     return raw.select(
         "id", "schema_id", "source_file", extra.alias("extra"),
-        *[r.text(s).alias(s) for s in SEMANTICS if s not in ("value", "quantity", "net_weight", "gross_weight", "currency", "weight_unit")],
+        dates.normalize_date(r.text("date")).alias("date"),
+        *[r.text(s).alias(s) for s in SEMANTICS if s not in ("date", "value", "quantity", "net_weight", "gross_weight", "currency", "weight_unit")],
         *[r.number(s).alias(n) for s, n in (("value", "value"), ("quantity", "quantity"), ("net_weight", "net"), ("gross_weight", "gross"))],
         *[(numbers.num_value(F.col(p)) if p in raw.columns else F.lit(None).cast("double")).alias(p) for p in PRICES],
         r.currency().alias("currency"), r.unit().alias("weight_unit"),

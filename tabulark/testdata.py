@@ -84,7 +84,7 @@ WITH li AS (
   FROM lineitem l
 ), one AS (
   SELECT l_orderkey * 10000 + l_linenumber * 100 + nth AS id, l_orderkey, 'a.csv' AS source_file,
-    strftime(o_orderdate, '%d.%m.%Y') AS date, strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate) AS year,
+    strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate) AS year,
     CASE WHEN o_orderkey = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS declaration,
     CASE WHEN c_custkey % 29 = 0 THEN '' ELSE lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS company,
     c_name AS recipient, CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE s_name END AS sender,
