@@ -58,9 +58,24 @@ class Words:
         mask = np.uint64(BUCKETS - 1)
         head = bk.ranges_hash(sums, starts, np.minimum(starts + _ENDS, ends)) ^ np.uint64(0x1B873593)
         tail = bk.ranges_hash(sums, np.maximum(ends - _ENDS, starts), ends) ^ np.uint64(0xCC9E2D51)
-        features = np.stack([word & mask, bk.mix(head) & mask, bk.mix(tail) & mask]).astype(np.int64)
+        features = np.stack([word & mask, bk.mix(head) & mask, bk.mix(tail) & mask]).astype(np.int32)
         return cls(doc, line, features, word, starts, ends)
 
+    @classmethod
+    def of_texts(cls, texts: Sequence[str | None]) -> Words:
+        """Chunk by chunk, so that no array is as long as all texts are; byte places are each chunk's own."""
+        parts, docs, lines = [], 0, 0
+        for batch, data, offsets in bk.chunks(iter([pa.record_batch({"text": pa.array(texts, pa.large_string())})]), "text"):
+            w = cls.of(data, offsets)
+            w.doc, w.line = (w.doc + docs).astype(np.int32), w.line + lines
+            docs, lines = docs + len(batch), int(w.line[-1]) + 1 if len(w.line) else lines
+            parts.append(w)
+        if not parts:
+            return cls.of(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        joined = {k: np.concatenate([getattr(w, k) for w in parts], axis=-1) for k in ("doc", "line", "features", "hashes")}
+        none = np.zeros(0, np.int64)
+        return cls(**joined, start=none, end=none)
+
 
 class Lines:
     """Lines sorted by length, so that step t of all lines that long is one slice."""
@@ -185,7 +200,7 @@ def evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([np.log(expected + 1e-3), np.log(surest / (1 - surest))])
 
 
-def logistic(rows: np.ndarray, label: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(rows: np.ndarray, label: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Weights and intercept by Newton steps."""
     x = np.column_stack([rows, np.ones(len(rows))])
     w = np.zeros(x.shape[1])
@@ -205,7 +220,7 @@ class ToxicityModel:
     def fit(cls, texts: Sequence[str | None], toxic: np.ndarray) -> ToxicityModel:
         if not len(texts) or toxic.all() or not toxic.any():
             return cls(LinearChainCrf.empty(), None)
-        w = Words.of(*bk.utf8(pa.array(texts, pa.large_string())))
+        w = Words.of_texts(texts)
         tags = (np.isin(w.hashes, toxic_words(w, toxic)) & (toxic[w.doc] == 1)).astype(np.int64)
         crf = LinearChainCrf.empty().fit(w, tags)
         p, _ = crf.marginals(crf.emissions(w), Lines(w.line))

@@ -1,4 +1,4 @@
-from conftest import SMALL
+from support import SMALL
 
 import corpus_pipeline
 from tabulark.llm import queries
