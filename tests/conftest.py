@@ -4,10 +4,9 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -26,21 +25,9 @@ def spark():
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import SMALL
 
     c = duckdb.connect()
     for t in os.listdir(SMALL):
         c.sql(f"CREATE VIEW {t[:-8]} AS SELECT * FROM '{SMALL}/{t}'")
     return c
-
-
-def same(df, relation) -> None:
-    """Rows of a Spark and a SQL result, in any order, by columns of the same names."""
-    import math
-
-    got, want = df.collect(), relation.fetchall()
-    columns, names = sorted(df.columns), relation.columns
-    assert columns == sorted(names)
-    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-    a = sorted(repr([plain(r[c]) for c in columns]) for r in got)
-    b = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in want)
-    assert a == b
