@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import PRICES, SEMANTICS
+from ..storage import separate_projections
 from . import delimited, detection, gold, workbook
 
 EXTENSIONS = ("csv", "tsv", "txt", "xlsx", "xlsm", "ods")
@@ -148,7 +149,9 @@ def import_file(spark: SparkSession, path: str, where: str, options: ImportOptio
         new = gold.to_gold(raw)
         if log is not None:
             new = gold.mark_against(new, spark.read.parquet(f"{where}/gold"))
-        new = new.persist()
+        with separate_projections(spark):
+            new = new.persist()
+            new.count()
         last = new.agg(F.max("id")).first()[0] or first_id
         counts = {r["is_canonical"]: r["count"] for r in new.groupBy("is_canonical").count().collect()}
         new.write.mode("append").partitionBy("schema_id").parquet(f"{where}/gold")

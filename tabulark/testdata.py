@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .sources import gold
+from .storage import scratch_path, separate_projections
 
 _STORE: dict[tuple[str, str], str] = {}
 
@@ -72,8 +73,6 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order():
-    from pyspark.sql import Window
-
     return Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus")
 
 
@@ -118,8 +117,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gold table of raw_rows, written once for each session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORE:
-        from .storage import scratch_path
-
         _STORE[key] = scratch_path(spark, "facts")
-        gold.to_gold(raw_rows(spark, sf_dir)).write.mode("overwrite").partitionBy("schema_id").parquet(_STORE[key])
+        with separate_projections(spark):
+            gold.to_gold(raw_rows(spark, sf_dir)).write.mode("overwrite").partitionBy("schema_id").parquet(_STORE[key])
     return spark.read.parquet(_STORE[key])
