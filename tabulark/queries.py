@@ -337,7 +337,8 @@ query("risk_summary", _RISK + """
 SELECT (SELECT count(*) FROM x) AS query_rows, 0::BIGINT AS missing_product_code, 0::BIGINT AS missing_period, (SELECT count(*) FROM x WHERE why = 'm') AS missing_currency, (SELECT count(*) FROM x WHERE why = 'u') AS missing_weight_unit,
   (SELECT count(*) FROM x WHERE why = 'v') AS invalid_value, (SELECT count(*) FROM x WHERE why = 'w') AS invalid_weight, (SELECT count(*) FROM p) AS eligible_rows, (SELECT count(*) FROM e) AS evaluated_rows,
   (SELECT count(DISTINCT code) FROM e) AS checked_codes, (SELECT count(*) FROM (SELECT DISTINCT code, period, currency, unit, level, CASE WHEN level = 'country' THEN country END FROM e)) AS checked_cohorts,
-  (SELECT count(*) FROM fl) AS flagged_rows, (SELECT count(DISTINCT code) FROM fl) AS flagged_codes, 0.0::DOUBLE AS flagged_value, 0.0::DOUBLE AS estimated_gap, (SELECT count(*) FROM p) - (SELECT count(*) FROM e) AS insufficient_cohort""")(lambda g: risk.summary(_risk_rows(g)))
+  (SELECT count(*) FROM fl) AS flagged_rows, (SELECT count(DISTINCT code) FROM fl) AS flagged_codes,
+  (SELECT CASE WHEN count(DISTINCT currency) = 1 THEN round(coalesce(sum(value), 0), 4) ELSE 0 END FROM fl) AS flagged_value, (SELECT CASE WHEN count(DISTINCT currency) = 1 THEN round(coalesce(sum(gap), 0), 4) ELSE 0 END FROM fl) AS estimated_gap, (SELECT count(*) FROM p) - (SELECT count(*) FROM e) AS insufficient_cohort""")(lambda g: risk.summary(_risk_rows(g)))
 query("risk_by_currency", _RISK + "SELECT currency, count(*) AS flagged_rows, round(sum(value), 2) AS flagged_value, round(sum(gap), 2) AS estimated_gap FROM fl GROUP BY currency", 2)(lambda g: risk.by_currency(_risk_rows(g)))
 query("risk_rows", _RISK + """
 SELECT id, round(price, 4) AS price, round(ratio, 4) AS ratio, round(gap, 4) AS gap, n, level, round(greatest((1 - ratio) * 100, 0), 4) AS deviation_percent,

@@ -48,7 +48,8 @@ def test_illegal_conditions(spark):
 
 def test_plans_stay_native_and_push_filters(spark):
     gold = facts(spark, SMALL)
-    plan = compiler.apply(gold, Query(filters={"year": "1997", "origin_country": "CN"})).select("value")._jdf.queryExecution().executedPlan().toString()
+    rows = compiler.apply(gold, Query(filters={"year": "1997", "origin_country": "CN"})).select("value")
+    plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
     assert "PushedFilters: [IsNotNull" in plan and "EqualTo(year,1997)" in plan and "EqualTo(origin_country_key,CN)" in plan
     assert "Python" not in plan
 
