@@ -258,6 +258,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, scratch, key, text, length)
     spans = scratch.keep(spans.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    scratch.drop("anchors", "candidates", "slices", "parts")
     scratch.release_shuffles()
     rows = docs.select(
         F.struct(*[F.col(quoted(c)) for c in (docs.columns if carry is None else carry)]).alias("doc"),
