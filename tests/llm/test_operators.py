@@ -6,7 +6,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-import tiktoken  # noqa: F401
 from support import SMALL, same
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
