@@ -314,3 +314,12 @@ def test_all_take_odd_and_no_rows(spark, odd_docs, no_docs):
         assert line_dedup.dedup_lines(rows).count() == n
         assert sharding.shard_rows(rows, 40).count() == n
         assert packing.token_pieces(rows, public_tokenizers.path("word_bpe_49k.json")).filter("piece = 0").count() == n
+
+
+def test_no_rows_have_no_counts_and_no_pieces(spark, no_docs, tmp_path):
+    no_docs.write.parquet(f"file://{tmp_path}/none")
+    none = spark.read.parquet(f"file://{tmp_path}/none")
+    assert token_counts.count_tokens(none, f"file://{tmp_path}/t", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []
+    assert queries.packed_documents(none).collect() == []
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert decontamination.find_contamination(none, bench).collect() == []
