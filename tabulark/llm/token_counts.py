@@ -24,12 +24,15 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bytes_kernel as bk
 from .arrow_rows import carried
 
 MARK = 0xC480
 _MARK_TEXT = "Ā"
 BLOCK_TOKENS = 1 << 20
 FILE_DOCS = 5_000
+#: Text that a worker encodes at once.
+ENCODED_BYTES = 4 << 20
 #: Files up to this size are read whole, larger ones in records that divide their size.
 WHOLE_FILE = 256 << 20
 
@@ -47,7 +50,7 @@ def write_token_files(docs: DataFrame, where: str, ranks: str, pattern: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks, pattern)
-        for batch in batches:
+        for batch, _, _ in bk.chunks(batches, "text", ENCODED_BYTES):
             rows = [np.array(encoding.encode_ordinary(t), ">u2").tobytes() if t else b"" for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
