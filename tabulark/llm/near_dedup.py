@@ -7,11 +7,11 @@ the few frequent ones need a table; they are found exactly by partitions (what i
 frequent over all is frequent in some shard), then counted over all documents.
 
 Each distinct word sequence is one node.  BANDS x ROWS weighted samples of a node make its band
-keys.  A bucket's nodes are compared with one centre of the bucket, not with each other;
-texts of such pairs are joined and verified by weighted Jaccard similarity.  Linked nodes
-become one component.  Three rounds look for links: each node with one centre, then with the
-centres of all its buckets, then, where components still share buckets, with the centres of the finer
-buckets that two bands make together, in which only very similar nodes meet.  Components are labelled in
+keys.  A bucket's nodes are compared with centres of the bucket; texts of such pairs are joined and
+verified by weighted Jaccard similarity.  Linked nodes become one component.  First each node meets one
+centre; after that a centre meets all of its bucket and is retired, and buckets whose other nodes are of several
+components get the next centres, more of them each round, until every two nodes of a bucket are compared or in
+one component.  Left out are only pairs whose total weights alone rule the similarity out.  Components are labelled in
 distributed steps; nothing but counts and the bounded table of frequent shingles reaches the driver.
 
 Defined cases: wordless and null texts are classes of their own; equal word sequences are
@@ -44,8 +44,8 @@ SHARD_BYTES = 24 << 20
 #: Inverse document frequencies are rounded to this, so that few different weights occur.
 GRAIN = 1 / 32
 LEAST_IDF = 1 / 16
-#: A finer bucket joins each band with those so many places further.
-FINER = (1, 2, 5)
+#: From one round to the next, open buckets get so many times more centres.
+MORE = 4
 
 _TABLE_BITS = 16
 _RNG = np.random.default_rng(41)
@@ -263,19 +263,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         for batch, data, offsets in bk.chunks(batches, "text"):
             h, doc, content, words = shingles(data, offsets)
             h, doc, tf = counted(h, doc)
-            keys = bands(samples(h, doc, tf * frequent.value.grains(h), len(words), BANDS * ROWS), BANDS, ROWS)
+            weight = tf * frequent.value.grains(h)
+            keys = bands(samples(h, doc, weight, len(words), BANDS * ROWS), BANDS, ROWS)
+            total = pa.array(np.bincount(doc, weight, len(words)).astype(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in content], pa.array(words), lists], names=["id", "th", "a", "b", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in content], pa.array(words), total, lists], names=["id", "th", "a", "b", "words", "weight", "keys"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    signed = scratch.keep(rows.mapInArrow(sign, f"id {id_type}, th long, a long, b long, words long, keys array<long>"), "signed")
+    signed = scratch.keep(rows.mapInArrow(sign, f"id {id_type}, th long, a long, b long, words long, weight long, keys array<long>"), "signed")
     spoken = signed.filter("words > 0")
-    nodes = spoken.groupBy("a", "b").agg(F.min(F.struct("id", "th", "keys")).alias("m")).select(_node().alias("node"), "m.id", "m.th", "m.keys", F.explode("m.keys").alias("key"))
+    nodes = spoken.groupBy("a", "b").agg(F.min(F.struct("id", "th", "weight", "keys")).alias("m")).select(_node().alias("node"), "m.id", "m.th", "m.weight", F.explode("m.keys").alias("key"))
     nodes = scratch.keep(nodes, "nodes")
     full = nodes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = scratch.keep(nodes.join(full.hint("merge"), "key"), "buckets")
     scratch.drop("nodes")
-    members = buckets.groupBy("node").agg(F.first(F.struct("id", "th", "keys")).alias("m")).select("node", "m.id", "m.th", "m.keys")
+    members = buckets.groupBy("node").agg(F.first(F.struct("id", "th")).alias("m")).select("node", "m.id", "m.th")
     members = scratch.keep(members, "members")
     texts = scratch.keep(
         rows.join(members.select("node", F.col("id").alias("mid"), F.col("th").alias("mth")).hint("merge"), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")))
@@ -292,18 +294,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(alike)), batch.column(1).filter(pa.array(alike))], names=["x", "y"])
 
     node_type = members.schema["node"].dataType.simpleString()
-    finer = members.select("node", F.explode(F.array(*[F.xxhash64(F.get("keys", F.lit(i)), F.get("keys", F.lit((i + k) % BANDS)), F.lit(i)) for k in FINER for i in range(BANDS)])).alias("key"))
-    tried = None
-    for turn, own in enumerate((buckets.select("key", "node"), buckets.select("key", "node"), finer)):
-        marked = own.join(labels.hint("merge"), "node")
-        # The centre is a node of the least label; buckets of one component have no more to tell.
-        centres = marked.groupBy("key").agg(F.min(F.struct("label", "node")).alias("c"), F.max("label").alias("most")).filter("c.label != most").select("key", "c")
-        open_ = marked.join(centres.hint("merge"), "key").filter("label != c.label")
+    # What each bucket still has to compare: its nodes that were not yet a centre.
+    left = buckets.select("key", "node", "weight", F.col("node").alias("label"))
+    at_once = left.count()
+    tried, turn, bins = None, 0, 1
+    while True:
         if turn == 0:  # a group of copies is mostly joined by one pair a node
-            pairs = open_.groupBy("node").agg(F.min(F.struct("c", "label")).alias("p")).select("node", "p.label", "p.c")
+            centres = left.groupBy("key").agg(F.min(F.struct("label", "node", "weight")).alias("c"))
         else:
-            pairs = open_.groupBy("node", "c").agg(F.first("label").alias("label"))
-        pairs = pairs.select("node", "label", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
+            # A bucket is open while its nodes are of several components; centres are of any but the largest of these.
+            sizes = left.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
+                F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("alike")
+            )
+            sizes = scratch.keep(sizes.filter("most.n < all").select("key", F.col("most.label").alias("most"), ((F.col("all") * F.col("all") - F.col("alike")) / 2).alias("pairs")), f"open-{turn}")
+            rest = sizes.agg(F.sum("pairs")).first()[0]
+            if not rest:
+                break
+            left = scratch.keep(left.join(sizes.select("key", "most").hint("merge"), "key"), f"left-{turn}")
+            centres = left.filter("label != most").select("key", "node", F.struct("label", "node", "weight").alias("c"))
+            if rest > at_once:
+                centres = centres.groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(bins)).alias("bin")).agg(F.min("c").alias("c"))
+                bins *= MORE
+            centres = scratch.keep(centres.select("key", "c"), f"centres-{turn}")
+        # The lesser total weight is all that two texts can share, the greater is the least they have together.
+        fits = F.least("weight", "c.weight") >= F.greatest("weight", "c.weight") * (similarity * (1 - 1e-9))
+        met = left.join(centres.hint("merge"), "key").filter((F.col("label") != F.col("c.label")) & fits)
+        if turn == 0:
+            met = met.groupBy("node").agg(F.min(F.struct("c", "label")).alias("p")).select("node", "p.label", "p.c")
+        ends = F.array_sort(F.array(F.struct("node", "label"), F.struct("c.node", "c.label")))
+        pairs = met.select(ends[0].alias("x"), ends[1].alias("y")).groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("centre"))
+        pairs = pairs.agg(F.first("x.label").alias("label"), F.first("y.label").alias("centre_label"))
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["node", "centre"], "left_anti")
         pairs = scratch.keep(pairs, f"pairs-{turn}")
@@ -315,9 +335,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         links = scratch.keep(both.mapInArrow(verify, f"x {node_type}, y {node_type}"), f"links-{turn}")
         this = pairs.select("node", "centre")
         tried = this if tried is None else tried.union(this)
-        labels = relabel(labels, links, scratch, f"round-{turn}")
-        scratch.release_shuffles()
-    scratch.drop("candidates", "buckets", "members", "texts", *[f"{what}-{turn}" for what in ("pairs", "links") for turn in range(3)])
+        linked = not links.isEmpty()
+        if linked:
+            labels = relabel(labels, links, scratch, f"round-{turn}")
+            scratch.release_shuffles()
+        if turn and rest <= at_once:  # all pairs of all open buckets met
+            break
+        if turn:
+            left = left.join(centres.select("key", F.col("c.node").alias("node")).hint("merge"), ["key", "node"], "left_anti")
+        if linked:
+            left = left.select("key", "node", "weight").join(labels.hint("merge"), "node")
+        left = scratch.keep(left.select("key", "node", "weight", "label"), f"rest-{turn}")
+        scratch.drop("buckets" if turn == 0 else f"rest-{turn - 1}", f"left-{turn}", f"open-{turn}", f"centres-{turn}")
+        turn += 1
+    scratch.drop("candidates", "buckets", "members", "texts", *[f"{what}-{t}" for what in ("pairs", "links", "open", "left", "centres", "rest") for t in range(turn + 1)])
     named = spoken.select("id", "th", _node().alias("node")).join(labels.hint("merge"), "node", "left")
     named = named.select("id", "th", F.coalesce("label", "node").alias("label"))
     heads = named.groupBy("label").agg(F.min(F.struct("id", "th")).alias("head"))

@@ -91,6 +91,19 @@ def test_near_duplicates_by_brute_force(spark, docs):
     assert all(keep == (i == c) for i, (c, keep) in got.items())
 
 
+def test_near_duplicates_among_nodes_unlike_the_centre(spark):
+    """Forty pairs of similarity 0.82 whose buckets are full of texts of similarity 0.79."""
+    words = lambda name, n: [f"{name}x{i}" for i in range(n)]
+    core = words("core", 404)
+    more = [(2 * p + k, " ".join([*core, *words(f"pair{p}", 8), *words(f"own{p}y{k}", 46)])) for p in range(40) for k in range(2)]
+    # Others, so that the core is a rare passage.
+    others = spark.range(1000, 9000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"{c}x"), "id") for c in "abcde"]).alias("text"))
+    every = spark.createDataFrame(more, "doc_id long, text string").unionByName(others)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(every).select("doc.doc_id", "class_id").collect()}
+    assert {i: got[i] for i in range(80)} == {i: i // 2 * 2 for i in range(80)}
+    assert all(i == c for i, c in got.items() if i >= 1000)
+
+
 def test_consistent_sampling_estimates_similarity():
     rng = np.random.default_rng(6)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
