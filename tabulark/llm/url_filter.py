@@ -8,8 +8,11 @@ threshold calibrated on a fifth of the ruled URLs held out from counting.
 Only DataFrame functions are used.  One aggregate over the corpus counts 5-grams; all
 lower orders, probabilities and log-ratios are made from the table of distinct 5-grams.
 
-Defined cases: a null URL or one without `://` has an empty host and path and is scored
-as an empty string; repeated rows are judged and counted each; without ruled URLs both
+The models read the whole URL with its host in lower case; a leading `http://` is left out as the
+usual scheme.  Host and path are for the rules and the output.
+
+Defined cases: a null URL or one without `://` has an empty host and path; the latter is scored
+as it is and a null as an empty string; repeated rows are judged and counted each; without ruled URLs both
 models are uniform and every score is 0, which allows; extra columns are ignored.
 """
 
@@ -57,6 +60,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def text_of(url: Column) -> Column:
+    """What the models read: the URL with its host in lower case, without a leading `http://`."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?://)", 1)
+    whole = F.concat(F.when(scheme == "http://", "").otherwise(scheme), host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1))
+    return F.coalesce(F.when(F.contains(url, F.lit("://")), whole).otherwise(url), F.lit(""))
+
+
 def apply_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     """Adds `rule` (the longest that fits) and `ruled` (its verdict) to `host`, `path`."""
     best = sorted(rules, key=lambda r: (-len(r.pattern), r.pattern))
@@ -108,8 +118,8 @@ def log_ratios(counted: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", holdout: int = 5) -> DataFrame:
     """(key, host, path, rule, verdict, score) for every row; score is null where a rule decides."""
     scratch = Scratch(pages.sparkSession, "urls")
-    read = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    judged = apply_rules(read, rules).withColumn("text", F.concat("host", "path"))
+    read = pages.select(F.col(key).alias("key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), text_of(F.col(url)).alias("text"))
+    judged = apply_rules(read, rules)
     # One row for each distinct text with its number of rows: a hot URL is exploded once.
     texts = scratch.keep(
         judged.groupBy("text", "ruled").agg(F.count("*").alias("rows")).withColumn("held", F.pmod(F.xxhash64("text"), F.lit(holdout)) == 0), "texts"

@@ -182,6 +182,19 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).collect() == []
 
 
+def test_url_model_reads_the_whole_url(spark):
+    rows = [(i, f"http://h.example.{'org/fr/?lang=good' if i % 2 else 'net/?go=casino'}{i}#{'top' if i % 2 else 'win'}") for i in range(200)]
+    asked = ["http://h.example.com/?lang=good#top", "http://h.example.com/?go=casino#win", "lang=good", "go=casino", "https://h.example.com/?go=casino#win", "HTTP://H.EXAMPLE.com/?Q", None]
+    rows += [(1000 + i, url) for i, url in enumerate(asked)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"] - 1000: r for r in url_filter.filter_urls(df, queries.URL_RULES).filter("page_id >= 1000").collect()}
+    assert got[0]["score"] > got[1]["score"] and got[2]["score"] > got[3]["score"]
+    assert got[4]["score"] != got[1]["score"]
+    assert (got[0]["host"], got[0]["path"], got[2]["host"], got[2]["path"]) == ("h.example.com", "/", "", "")
+    texts = [r["t"] for r in df.filter("page_id >= 1000").orderBy("page_id").select(url_filter.text_of(F.col("url")).alias("t")).collect()]
+    assert texts == ["h.example.com/?lang=good#top", "h.example.com/?go=casino#win", "lang=good", "go=casino", "https://h.example.com/?go=casino#win", "HTTP://h.example.com/?Q", ""]
+
+
 def test_url_model_by_brute_force(spark):
     rows = [(i, f"http://{'good' if i % 3 else 'bad'}{i % 7}.example.{'org/fr/' if i % 3 else 'net/'}{i}") for i in range(90)] + [(100 + i, f"http://good{i}.example.com/{i}") for i in range(5)]
     df = spark.createDataFrame(rows, "page_id long, url string")
