@@ -111,12 +111,12 @@ def by_company(rows: DataFrame, threshold: float = THRESHOLD, samples: int = SAM
     return each.groupBy("company").agg(F.sum("n").alias("flagged_rows"), gaps.alias("gaps")).orderBy(F.col("flagged_rows").desc(), "company").limit(limit)
 
 
-def rows_at_risk(rows: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, limit: int = LIMIT) -> DataFrame:
-    """The lowest prices against their median first, with deviation, confidence and severity."""
+def rows_at_risk(rows: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES, limit: int | None = LIMIT) -> DataFrame:
+    """The lowest prices against their median first, with deviation, confidence and severity; all rows, in no order, without a limit."""
     threshold, samples = parameters(threshold, samples)
     f = flagged(evaluated(classified(rows), samples), threshold)
     spread = F.col("iqr") / F.col("med")
     confidence = F.when((F.col("n") >= 50) & (spread <= 0.5) & (F.col("level") != "base"), "high").when((F.col("n") >= 30) & (spread <= 0.75), "medium").otherwise("low")
     severity = F.when(F.col("ratio") < 0.25, "critical").when(F.col("ratio") < 0.4, "high").otherwise("moderate")
     out = f.withColumns({"deviation_percent": F.greatest((1 - F.col("ratio")) * 100, F.lit(0.0)), "confidence": confidence, "severity": severity})
-    return out.orderBy("ratio", F.col("gap").desc(), "id").limit(limit)
+    return out if limit is None else out.orderBy("ratio", F.col("gap").desc(), "id").limit(limit)

@@ -343,7 +343,7 @@ query("risk_by_currency", _RISK + "SELECT currency, count(*) AS flagged_rows, ro
 query("risk_rows", _RISK + """
 SELECT id, round(price, 4) AS price, round(ratio, 4) AS ratio, round(gap, 4) AS gap, n, level, round(greatest((1 - ratio) * 100, 0), 4) AS deviation_percent,
   CASE WHEN n >= 50 AND iqr / med <= 0.5 AND level <> 'base' THEN 'high' WHEN n >= 30 AND iqr / med <= 0.75 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN ratio < 0.25 THEN 'critical' WHEN ratio < 0.4 THEN 'high' ELSE 'moderate' END AS severity
-FROM fl""")(lambda g: risk.rows_at_risk(_risk_rows(g), limit=1_000_000).select("id", "price", "ratio", "gap", "n", "level", "deviation_percent", "confidence", "severity"))
+FROM fl""")(lambda g: risk.rows_at_risk(_risk_rows(g), limit=None).select("id", "price", "ratio", "gap", "n", "level", "deviation_percent", "confidence", "severity"))
 query("risk_by_company", _RISK + """
 SELECT company, sum(n)::BIGINT AS flagged_rows, string_agg(currency || ':' || CAST(CAST(g AS DECIMAL(18,2)) AS VARCHAR), ';' ORDER BY currency) AS gaps FROM (SELECT company, currency, count(*) AS n, sum(gap) AS g FROM fl GROUP BY ALL) GROUP BY company ORDER BY flagged_rows DESC, company LIMIT 8""")(
     lambda g: risk.by_company(_risk_rows(g)).select("company", "flagged_rows", F.array_join(F.transform("gaps", lambda x: F.concat(x["currency"], F.lit(":"), x["gap"].cast("decimal(18,2)").cast("string"))), ";").alias("gaps"))

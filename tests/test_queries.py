@@ -71,3 +71,13 @@ def test_record_and_batches(spark):
     assert ids == sorted(ids) and len(ids) == compiler.apply(gold, q).count()
     assert search.record(gold, ids[0])["id"] == ids[0] and search.record(gold, -1) is None
     assert search.has_next(gold, q, limit=10) and not search.has_next(gold, q, limit=10, offset=len(ids))
+
+
+def test_risk_rows_without_limit(spark, monkeypatch):
+    """The registered query returns all flagged rows, whatever limit the default is."""
+    asked = []
+    real = queries.risk.rows_at_risk
+    monkeypatch.setattr(queries.risk, "rows_at_risk", lambda rows, *a, **b: asked.append(b) or real(rows, *a, **b))
+    out = queries.QUERIES["risk_rows"](spark, SMALL)
+    assert asked == [{"limit": None}]
+    assert "Limit" not in out._jdf.queryExecution().optimizedPlan().toString()
