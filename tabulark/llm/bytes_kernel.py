@@ -1,8 +1,9 @@
 """Vectorised views of a batch of texts as UTF-8 bytes: words, lines, window hashes.
 
 All functions work on one contiguous byte array and the offsets of its documents, so
-no Python object is made for a word.  Hashes are polynomial hashes modulo 2**64 over a
-fixed random byte table, mixed at the end.
+no Python object is made for a word.  Ranges of up to SHORT bytes are hashed as polynomials modulo
+2**64 over a fixed random byte table, mixed at the end; such sums collide for some regular texts of
+many hundred bytes, so longer ranges are hashed one by one by XXH3.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 21
 
@@ -20,7 +22,9 @@ _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
-FOLDED_CODE = BYTE_CODE[_FOLD]
+_FOLD = _FOLD.astype(np.uint8)
+#: Ranges up to this length are hashed by differences of prefix sums.
+SHORT = 64
 STEPS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
@@ -92,17 +96,31 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             at = to
 
 
-def prefix(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """Sums of code[b] * BASE**i; the hash of any range is a difference of two."""
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(code[data] * powers(len(data))[0][:-1], out=out[1:])
-    return out
+class Prefix:
+    """Hashes of any byte ranges of data by their content alone; fold: A-Z count as a-z."""
 
+    def __init__(self, data: np.ndarray, fold: bool = False):
+        self.data = np.ascontiguousarray(_FOLD[data] if fold else data)
+        self.up, self.down = powers(len(data))
+        self.sums = np.empty(len(data) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(BYTE_CODE[self.data] * self.up[:-1], out=self.sums[1:])
 
-def ranges_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each byte range by its content alone."""
-    return mix((sums[end] - sums[start]) * powers(len(sums) - 1)[1][start])
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = mix((self.sums[end] - self.sums[start]) * self.down[start])
+        long = np.flatnonzero(end - start > SHORT)
+        if len(long):
+            body, digest = memoryview(self.data), xxhash.xxh3_64_intdigest
+            out[long] = [digest(body[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())]
+        return out
+
+
+def sequence_hash(values: np.ndarray, first: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """A hash of each sequence values[first[i]:first[i + 1]], of its values and their places."""
+    counts = np.diff(first)
+    place = np.arange(len(values), dtype=np.uint64) - np.repeat(first[:-1], counts).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ mix(place * STEPS[63] + salt)))))
+    return mix(sums[first[1:]] - sums[first[:-1]] + counts.astype(np.uint64) * STEPS[62])
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,6 +139,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for each i, joined."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
+
+
 def window_hash(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `size` consecutive words inside one document, and their first word's index."""
     n = len(words) - size + 1

@@ -41,7 +41,7 @@ class Windows:
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         data, offsets = bk.utf8(pa.array([t for _, t in items], pa.string()))
         starts, ends, doc = bk.runs(data, offsets, bk.PLAIN_WORD)
-        words = bk.ranges_hash(bk.prefix(data, bk.FOLDED_CODE), starts, ends)
+        words = bk.Prefix(data, fold=True).hash(starts, ends)
         self.vocabulary, number = np.unique(words, return_inverse=True)
         number = number.astype(np.int64) + _FIRST
         lengths = np.bincount(doc, minlength=len(items))
@@ -74,12 +74,6 @@ class Windows:
         return out
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... for each i, joined."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
-
-
 class Shard:
     """Collects documents; `search` finds all windows in them."""
 
@@ -91,7 +85,7 @@ class Shard:
     def add(self, data: np.ndarray, offsets: np.ndarray) -> None:
         w = self.windows
         starts, ends, doc = bk.runs(data, offsets, bk.PLAIN_WORD)
-        words = bk.ranges_hash(bk.prefix(data, bk.FOLDED_CODE), starts, ends)
+        words = bk.Prefix(data, fold=True).hash(starts, ends)
         n = len(offsets) - 1
         self.n_words.append(np.bincount(doc, minlength=n))
         if len(w.vocabulary) and len(words):
@@ -101,7 +95,7 @@ class Shard:
             begin = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1] & same)))
             end = np.flatnonzero(inside & ~np.concatenate((inside[1:] & same, [False]))) + 1
             long = end - begin >= w.shortest
-            at = _ragged(begin[long], (end - begin)[long])
+            at = bk.ragged(begin[long], (end - begin)[long])
             run = np.repeat(np.arange(long.sum()), (end - begin)[long])
             self.parts.append((number[at], run, doc[at] + self.docs, (starts - offsets[doc])[at], (ends - offsets[doc])[at]))
         self.docs += n
@@ -130,7 +124,7 @@ class Shard:
         low, high = index.intervals(w.patterns, w.lengths)
         counts = high - low
         pattern = np.repeat(np.arange(len(counts)), counts)
-        at = back[index.locate(_ragged(low, counts))]
+        at = back[index.locate(bk.ragged(low, counts))]
         cover = np.zeros(len(symbols) + 1, np.int64)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + w.lengths[pattern], -1)
@@ -139,7 +133,7 @@ class Shard:
         joined = np.concatenate(([False], (run[1:] == run[:-1]) & hit[:-1]))
         first = np.flatnonzero(hit & ~joined)
         last = np.flatnonzero(hit & ~np.concatenate((joined[1:] & hit[1:], [False])))
-        owners = _ragged(w.owner_first[pattern], w.owner_first[pattern + 1] - w.owner_first[pattern])
+        owners = bk.ragged(w.owner_first[pattern], w.owner_first[pattern + 1] - w.owner_first[pattern])
         docs = np.repeat(doc[at], w.owner_first[pattern + 1] - w.owner_first[pattern])
         pairs = np.unique(docs * np.int64(len(w.names)) + w.owners[owners]) if len(owners) else none
         return n_words, n_hit, (doc[first], start[first], end[last]), (pairs // max(1, len(w.names)), pairs % max(1, len(w.names)))

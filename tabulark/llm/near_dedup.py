@@ -2,21 +2,22 @@
 
 Texts are lower-cased (A-Z) and cut into words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`; a shingle is five of them (a shorter text is one
 shingle).  A shingle weighs its count in the text times its inverse document frequency,
-which is clipped: all shingles in fewer than one document in RARE weigh alike.  So only
-the few frequent ones need a table; they are found exactly by partitions (what is
-frequent over all is frequent in some shard), then counted over all documents.
+which is clipped: all shingles in fewer than one document in RARE weigh alike, as otherwise what the members of a large
+group of near copies share would weigh less than each one's own edits.  So only the frequent shingles need a table.  One
+pass counts documents by buckets of shingle hashes, a second one counts the shingles of those buckets that reach the
+frequency; the table is exact and the same however rows are dealt.
 
 Each distinct word sequence is one node.  BANDS x ROWS weighted samples of a node make its band
-keys.  A bucket's nodes are compared with centres of the bucket; texts of such pairs are joined and
-verified by weighted Jaccard similarity.  Linked nodes become one component.  First each node meets one
-centre; after that a centre meets all of its bucket and is retired, and buckets whose other nodes are of several
-components get the next centres, more of them each round, until every two nodes of a bucket are compared or in
-one component.  Left out are only pairs whose total weights alone rule the similarity out.  Components are labelled in
-distributed steps; nothing but counts and the bounded table of frequent shingles reaches the driver.
-
-Defined cases: wordless and null texts are classes of their own; equal word sequences are
-one class; a null id is a value like others, the least; rows alike in id and text are
-one document repeated; other columns, whatever their names, are carried in `doc`.
+keys; the draws of a sample come from a table of 65 536 entries that shingle hashes look up.  Buckets of the same nodes are one.
+First each node meets one centre of its buckets, which joins most members of large groups of copies.  Then
+every bucket whose nodes are of several components is compared in whole: its nodes meet in blocks of bounded size, and
+every pair of different components is verified by weighted Jaccard similarity, once, in the first bucket that it shares, unless both
+were joined meanwhile or their total weights alone rule it out.  The nodes of the largest component of a bucket don't meet each
+other.  Components are labelled in distributed steps; nothing but counts and the bounded table of frequent shingles reaches the driver.
+
+Defined cases: null and empty texts are classes of their own; other texts without words are one class if they are equal;
+equal word sequences are one class; a null id is a value like others, the least; rows alike in id and text are
+one document repeated, of which one row is kept; other columns, whatever their names, are carried in `doc`.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytes_kernel as bk
@@ -38,14 +41,15 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 #: Shingles in fewer than one document in RARE have the same, greatest, inverse document frequency.
 RARE = 100
-#: Candidates for frequent shingles are counted in blocks of so many.
-BLOCK = 1_000_000
-SHARD_BYTES = 24 << 20
+#: Buckets of shingle hashes that documents are counted by to find the frequent ones.
+COUNT_BITS = 19
+#: Frequent shingles are counted in runs of so many.
+RUN = 1 << 20
 #: Inverse document frequencies are rounded to this, so that few different weights occur.
 GRAIN = 1 / 32
 LEAST_IDF = 1 / 16
-#: From one round to the next, open buckets get so many times more centres.
-MORE = 4
+#: Nodes and words of a block of a bucket's nodes that are compared together.
+PART, PART_WORDS = 1024, 400_000
 
 _TABLE_BITS = 16
 _RNG = np.random.default_rng(41)
@@ -60,17 +64,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Hashes and documents of all shingles, in order of documents, and a 128-bit hash of each word sequence."""
     n = len(offsets) - 1
     starts, ends, doc = bk.runs(data, offsets, bk.PLAIN_WORD)
-    words = bk.ranges_hash(bk.prefix(data, bk.FOLDED_CODE), starts, ends)
+    words = bk.Prefix(data, fold=True).hash(starts, ends)
     h, at = bk.window_hash(words, doc, SHINGLE)
     counts = np.bincount(doc, minlength=n)
     first = np.concatenate(([0], np.cumsum(counts)))
     short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
     of = doc[at]
-    up, down = bk.powers(len(words))
-    content = []
-    for salt in (bk.STEPS[60], bk.STEPS[61]):
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(bk.mix(words ^ salt) * up[:-1])))
-        content.append(bk.mix((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]] + counts.astype(np.uint64)))
+    content = [bk.sequence_hash(words, first, salt) for salt in bk.STEPS[60:62]]
     if len(short):
         h, of = np.concatenate((h, content[0][short])), np.concatenate((of, short))
         order = np.argsort(of, kind="stable")
@@ -169,59 +169,46 @@ def weighted_jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarra
     return np.where(total > 0, shared / np.where(total > 0, total, 1), 0.0)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-    """Distinct shingles of each document, shard by shard, with the shard's number of documents that have any."""
-    kept, docs, size = [], 0, 0
-    for _, data, offsets in bk.chunks(batches, "text"):
-        h, doc, *_ = shingles(data, offsets)
-        h, doc, _ = counted(h, doc)
-        kept.append(h)
-        docs += len(np.unique(doc))
-        size += len(data)
-        if size >= SHARD_BYTES:
-            yield np.concatenate(kept), docs
-            kept, docs, size = [], 0, 0
-    if docs:
-        yield np.concatenate(kept), docs
-
-
 def frequent_shingles(docs: DataFrame, text: str, scratch: Scratch) -> Frequent:
     """Exact document frequencies of all shingles in at least one document in RARE."""
     rows = carried(docs, text, []).select("text")
-
-    def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, n in _shards(batches):
-            found, df = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(found[df * RARE >= n].view(np.int64), 0)), pa.array(np.append(np.zeros((df * RARE >= n).sum(), np.int64), n))], names=["h", "docs"])
-
-    local = scratch.keep(rows.mapInArrow(locally, "h long, docs long").groupBy("h").agg(F.sum("docs").alias("docs")), "candidates")
-    total = local.agg(F.sum("docs")).first()[0] or 0
-    found: list[tuple[int, int]] = []
-    block: list[int] = []
-
-    def count() -> None:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(block, np.int64).view(np.uint64)))
-
-        def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = wanted.value
-            df = np.zeros(len(known), np.int64)
-            for h, _ in _shards(batches):
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                df += np.bincount(place[known[place] == h], minlength=len(known))
-            some = df > 0
-            yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(df[some])], names=["h", "df"])
-
-        counts = rows.mapInArrow(exactly, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).filter(F.col("df") * RARE >= total)
-        found.extend((r["h"], r["df"]) for r in counts.collect())  # at most RARE times the mean number of shingles of a document
-
-    for r in local.filter("docs = 0").toLocalIterator():
-        block.append(r["h"])
-        if len(block) >= BLOCK:
-            count()
-            block = []
-    if block:
-        count()
-    return Frequent(np.array([h for h, _ in found], np.int64).view(np.uint64), np.array([d for _, d in found], np.int64), total)
+    shift = np.uint64(64 - COUNT_BITS)
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found = 0, np.zeros(1 << COUNT_BITS, np.int64)
+        for _, data, offsets in bk.chunks(batches, "text"):
+            h, doc, *_, words = shingles(data, offsets)
+            found += np.bincount((counted(h, doc)[0] >> shift).view(np.int64), minlength=1 << COUNT_BITS)
+            n += int((words > 0).sum())
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(found[some], n))], names=["bucket", "n"])
+
+    counts = scratch.keep(rows.mapInArrow(by_bucket, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
+    total = counts.filter("bucket < 0").agg(F.sum("n")).first()[0] or 0
+    maybe = np.zeros(1 << COUNT_BITS, bool)
+    maybe[[r["bucket"] for r in counts.filter((F.col("bucket") >= 0) & (F.col("n") * RARE >= total)).select("bucket").collect()]] = True  # at most 2 ** COUNT_BITS
+    wanted = docs.sparkSession.sparkContext.broadcast(maybe)
+
+    def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, size = [], 0
+
+        def summed() -> pa.RecordBatch:
+            found, df = np.unique(np.concatenate(run), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(df)], names=["h", "df"])
+
+        for _, data, offsets in bk.chunks(batches, "text"):
+            h = counted(*shingles(data, offsets)[:2])[0]
+            h = h[wanted.value[(h >> shift).view(np.int64)]]
+            run.append(h)
+            size += len(h)
+            if size >= RUN:
+                yield summed()
+                run, size = [], 0
+        if size:
+            yield summed()
+
+    found = rows.mapInArrow(exactly, "h long, df long").groupBy("h").agg(F.sum("df").alias("df")).filter(F.col("df") * RARE >= total).collect()  # at most RARE times the mean number of shingles of a document
+    return Frequent(np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["df"] for r in found], np.int64), total)
 
 
 def _node() -> Column:
@@ -252,8 +239,105 @@ def relabel(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and cell, cut between groups only, in batches of about CHUNK_BYTES of text."""
+    rest: list[pa.RecordBatch] = []
+
+    def cuts(batch: pa.RecordBatch) -> np.ndarray:
+        key, cell = (np.array(batch.column(batch.schema.get_field_index(c))) for c in ("key", "cell"))
+        return np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+
+    for batch in batches:
+        rest.append(batch)
+        joined = pa.Table.from_batches(rest).combine_chunks().to_batches()
+        rest = joined
+        if len(joined) != 1:
+            continue
+        at = cuts(joined[0])
+        if not len(at):
+            continue
+        size = np.concatenate(([0], np.cumsum(np.array(pc.binary_length(joined[0].column("text"))))))
+        begin = 0
+        for this, after in zip(at, [*at[1:], None]):
+            if after is None or size[after] - size[begin] > bk.CHUNK_BYTES:
+                yield joined[0].slice(begin, this - begin)
+                begin = this
+        rest = [joined[0].slice(begin)]
+    yield from rest
+
+
+def links_in_groups(batch: pa.RecordBatch, frequent: Frequent, similarity: float) -> list[tuple[int, int]]:
+    """Rows of a batch (whole groups) to be joined: a spanning part of all similar pairs of a group.
+
+    A group's rows of side 1 meet those of side 0 only; without such rows all meet each other.
+    """
+    column = lambda c: batch.column(batch.schema.get_field_index(c))
+    n = len(batch)
+    h, doc, tf = counted(*shingles(*bk.utf8(column("text")))[:2])
+    weight = tf * frequent.grains(h)
+    name = np.unique(h, return_inverse=True)[1]
+    first = np.searchsorted(doc, np.arange(n + 1))
+    total = np.bincount(doc, weight, n).astype(np.int64)
+    labels = np.stack([np.array(column("label").field(c)) for c in ("a", "b")], axis=1)
+    part = np.unique(np.ascontiguousarray(labels).view("i8,i8").reshape(-1), return_inverse=True)[1].reshape(-1)
+    keys = np.array(column("keys").flatten()).reshape(n, -1)
+    key, cell, side, band = (np.array(column(c)) for c in ("key", "cell", "side", "band"))
+    held = np.zeros(int(name.max()) + 1 if len(name) else 0, np.int64)
+    edges = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1, [n]))
+    out: list[tuple[int, int]] = []
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        apart, k = bool(side[begin:end].any()), band[begin]
+        for i in range(begin, end - 1):
+            after = slice(i + 1, end)
+            meets = (part[after] != part[i]) & (np.minimum(total[after], total[i]) >= np.maximum(total[after], total[i]) * (similarity * (1 - 1e-9)))
+            if apart:
+                meets &= side[after] != side[i]
+            other = np.flatnonzero(meets) + i + 1
+            if len(other):  # the first band that two nodes share
+                other = other[(keys[other] == keys[i]).argmax(1) == k]
+            if not len(other):
+                continue
+            own = slice(first[i], first[i + 1])
+            held[name[own]] = weight[own]
+            sizes = first[other + 1] - first[other]
+            at = bk.ragged(first[other], sizes)
+            both = np.minimum(held[name[at]], weight[at])
+            shared = np.add.reduceat(both, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            held[name[own]] = 0
+            for j in other[shared / (total[other] + total[i] - shared) >= similarity].tolist():
+                if part[j] != part[i]:
+                    out.append((i, j))
+                    part[begin:end][part[begin:end] == part[j]] = part[i]
+            if (part[begin:end] == part[i]).all():
+                break
+    return out
+
+
+def open_cells(left: DataFrame) -> DataFrame:
+    """Rows of left (key, band, node, words, label) in buckets of several components, as often as a bucket's blocks meet, with cell and side."""
+    sizes = left.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("most.n < n")
+    blocks = lambda n, w: F.ceil(F.greatest(n / PART, w / PART_WORDS)).cast("long")
+    together = blocks(F.col("n"), F.col("w")) <= 1
+    sizes = sizes.select(
+        "key", F.when(~together, F.col("most.label")).alias("most"),
+        F.when(together, 1).otherwise(blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"))).alias("few"),
+        F.when(together, 0).otherwise(blocks(F.col("most.n"), F.col("most.w"))).alias("many"),
+    )
+    rows = left.join(sizes.hint("merge"), "key")
+    large = F.coalesce(F.col("label") == F.col("most"), F.lit(False))
+    block = F.pmod(F.xxhash64("node"), F.when(large, F.col("many")).otherwise(F.col("few")))
+    # Blocks of other nodes are 0 to few - 1; then come those of the largest component.
+    rows = rows.withColumns({"large": large, "block": F.when(large, F.col("few") + block).otherwise(block)})
+    met = F.when(F.col("large"), F.sequence(F.lit(0).cast("long"), F.col("few") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("few") + F.col("many") - 1))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    return rows.withColumn("other", F.explode(met)).select(
+        "key", "band", "node", "label", (low * (F.col("few") + F.col("many")) + high).alias("cell"), ((low != high) & (F.col("block") == high)).cast("int").alias("side")
+    )
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, carry: Sequence[str] | None = None) -> DataFrame:
-    """(doc, class_id: the least id of the class, keep: true for one document of each class)."""
+    """(doc, class_id: the least id of the class, keep: true for one row of each class)."""
     scratch = Scratch(docs.sparkSession, "near")
     context = docs.sparkSession.sparkContext
     frequent = context.broadcast(frequent_shingles(docs, text, scratch))
@@ -262,30 +346,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in bk.chunks(batches, "text"):
             h, doc, content, words = shingles(data, offsets)
+            for i in np.flatnonzero((words == 0) & (offsets[1:] > offsets[:-1])):
+                digest = xxhash.xxh3_128_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+                content[:, i] = digest >> 64, digest & ((1 << 64) - 1)
             h, doc, tf = counted(h, doc)
             weight = tf * frequent.value.grains(h)
-            keys = bands(samples(h, doc, weight, len(words), BANDS * ROWS), BANDS, ROWS)
+            keys = bands(samples(h, doc, weight, len(words), BANDS * ROWS), BANDS, ROWS)[words > 0]
             total = pa.array(np.bincount(doc, weight, len(words)).astype(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c.view(np.int64)) for c in content], pa.array(words), total, lists], names=["id", "th", "a", "b", "words", "weight", "keys"])
+            ends = np.concatenate(([0], np.cumsum(words > 0))).astype(np.int32) * BANDS
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+            filled = pa.array(offsets[1:] > offsets[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), filled, *[pa.array(c.view(np.int64)) for c in content], pa.array(words), total, lists], names=["id", "th", "filled", "a", "b", "words", "weight", "keys"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    signed = scratch.keep(rows.mapInArrow(sign, f"id {id_type}, th long, a long, b long, words long, weight long, keys array<long>"), "signed")
-    spoken = signed.filter("words > 0")
-    nodes = spoken.groupBy("a", "b").agg(F.min(F.struct("id", "th", "weight", "keys")).alias("m")).select(_node().alias("node"), "m.id", "m.th", "m.weight", F.explode("m.keys").alias("key"))
+    signed = scratch.keep(rows.mapInArrow(sign, f"id {id_type}, th long, filled boolean, a long, b long, words long, weight long, keys array<long>"), "signed")
+    filled = signed.filter("filled")
+    nodes = filled.filter("words > 0").groupBy("a", "b").agg(F.min(F.struct("id", "th", "weight", "words", "keys")).alias("m")).select(_node().alias("node"), "m.*")
     nodes = scratch.keep(nodes, "nodes")
-    full = nodes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = scratch.keep(nodes.join(full.hint("merge"), "key"), "buckets")
-    scratch.drop("nodes")
-    members = buckets.groupBy("node").agg(F.first(F.struct("id", "th")).alias("m")).select("node", "m.id", "m.th")
-    members = scratch.keep(members, "members")
+    places = nodes.select("node", "weight", "words", F.posexplode("keys").alias("band", "key"))
+    # Buckets of the same nodes, which are told by their number and hashes, are one: that of the first band.
+    alike = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"), F.min("band").alias("band")]
+    full = places.groupBy("key").agg(*alike).filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key")
+    buckets = scratch.keep(places.join(full.hint("merge"), "key"), "buckets")
+    members = nodes.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi")
     texts = scratch.keep(
-        rows.join(members.select("node", F.col("id").alias("mid"), F.col("th").alias("mth")).hint("merge"), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")))
-        .select("node", "text").dropDuplicates(["node"]),
+        rows.join(members.withColumnsRenamed({"id": "mid", "th": "mth"}).hint("merge"), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth")))
+        .select("node", "keys", "text").dropDuplicates(["node"]),
         "texts",
     )
+    scratch.drop("nodes")
     scratch.release_shuffles()
-    labels = members.select("node", F.col("node").alias("label"))
+    labels = texts.select("node", F.col("node").alias("label"))
+    node_type = labels.schema["node"].dataType.simpleString()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, *left in bk.chunks(batches, "text"):
@@ -293,69 +385,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             alike = weighted_jaccard(tuple(left), right, frequent.value) >= similarity
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(alike)), batch.column(1).filter(pa.array(alike))], names=["x", "y"])
 
-    node_type = members.schema["node"].dataType.simpleString()
-    # What each bucket still has to compare: its nodes that were not yet a centre.
-    left = buckets.select("key", "node", "weight", F.col("node").alias("label"))
-    at_once = left.count()
-    tried, turn, bins = None, 0, 1
-    while True:
-        if turn == 0:  # a group of copies is mostly joined by one pair a node
-            centres = left.groupBy("key").agg(F.min(F.struct("label", "node", "weight")).alias("c"))
-        else:
-            # A bucket is open while its nodes are of several components; centres are of any but the largest of these.
-            sizes = left.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(
-                F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("alike")
-            )
-            sizes = scratch.keep(sizes.filter("most.n < all").select("key", F.col("most.label").alias("most"), ((F.col("all") * F.col("all") - F.col("alike")) / 2).alias("pairs")), f"open-{turn}")
-            rest = sizes.agg(F.sum("pairs")).first()[0]
-            if not rest:
-                break
-            left = scratch.keep(left.join(sizes.select("key", "most").hint("merge"), "key"), f"left-{turn}")
-            centres = left.filter("label != most").select("key", "node", F.struct("label", "node", "weight").alias("c"))
-            if rest > at_once:
-                centres = centres.groupBy("key", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(bins)).alias("bin")).agg(F.min("c").alias("c"))
-                bins *= MORE
-            centres = scratch.keep(centres.select("key", "c"), f"centres-{turn}")
-        # The lesser total weight is all that two texts can share, the greater is the least they have together.
-        fits = F.least("weight", "c.weight") >= F.greatest("weight", "c.weight") * (similarity * (1 - 1e-9))
-        met = left.join(centres.hint("merge"), "key").filter((F.col("label") != F.col("c.label")) & fits)
-        if turn == 0:
-            met = met.groupBy("node").agg(F.min(F.struct("c", "label")).alias("p")).select("node", "p.label", "p.c")
-        ends = F.array_sort(F.array(F.struct("node", "label"), F.struct("c.node", "c.label")))
-        pairs = met.select(ends[0].alias("x"), ends[1].alias("y")).groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("centre"))
-        pairs = pairs.agg(F.first("x.label").alias("label"), F.first("y.label").alias("centre_label"))
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["node", "centre"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{turn}")
-        both = (
-            pairs.join(texts.hint("merge"), "node")
-            .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("other")).hint("merge"), "centre")
-            .select("label", "centre_label", "text", "other")
-        )
-        links = scratch.keep(both.mapInArrow(verify, f"x {node_type}, y {node_type}"), f"links-{turn}")
-        this = pairs.select("node", "centre")
-        tried = this if tried is None else tried.union(this)
-        linked = not links.isEmpty()
-        if linked:
-            labels = relabel(labels, links, scratch, f"round-{turn}")
-            scratch.release_shuffles()
-        if turn and rest <= at_once:  # all pairs of all open buckets met
-            break
-        if turn:
-            left = left.join(centres.select("key", F.col("c.node").alias("node")).hint("merge"), ["key", "node"], "left_anti")
-        if linked:
-            left = left.select("key", "node", "weight").join(labels.hint("merge"), "node")
-        left = scratch.keep(left.select("key", "node", "weight", "label"), f"rest-{turn}")
-        scratch.drop("buckets" if turn == 0 else f"rest-{turn - 1}", f"left-{turn}", f"open-{turn}", f"centres-{turn}")
-        turn += 1
-    scratch.drop("candidates", "buckets", "members", "texts", *[f"{what}-{t}" for what in ("pairs", "links", "open", "left", "centres", "rest") for t in range(turn + 1)])
-    named = spoken.select("id", "th", _node().alias("node")).join(labels.hint("merge"), "node", "left")
+    # Each node and one centre: the least node of its buckets.
+    centres = buckets.groupBy("key").agg(F.min(F.struct("node", "weight")).alias("c"))
+    # The lesser total weight is all that two texts can share, the greater is the least they have together.
+    fits = F.least("weight", "c.weight") >= F.greatest("weight", "c.weight") * (similarity * (1 - 1e-9))
+    met = buckets.join(centres.hint("merge"), "key").filter((F.col("node") != F.col("c.node")) & fits).groupBy("node").agg(F.min("c.node").alias("centre"))
+    pairs = met.join(texts.select("node", "text").hint("merge"), "node").join(texts.select(F.col("node").alias("centre"), F.col("text").alias("other")).hint("merge"), "centre")
+    links = scratch.keep(pairs.select("node", "centre", "text", "other").mapInArrow(verify, f"x {node_type}, y {node_type}"), "links-0")
+    labels = relabel(labels, links, scratch, "first")
+    scratch.release_shuffles()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            found = np.array(links_in_groups(batch, frequent.value, similarity), np.int64).reshape(-1, 2)
+            label = batch.column(batch.schema.get_field_index("label"))
+            yield pa.RecordBatch.from_arrays([label.take(pa.array(found[:, 0])), label.take(pa.array(found[:, 1]))], names=["x", "y"])
+
+    # Then all pairs of different components in the buckets that still have any.
+    cells = open_cells(buckets.join(labels.hint("merge"), "node"))
+    bodies = cells.join(texts.hint("merge"), "node").select("key", "cell", "side", "band", "label", "keys", "text")
+    bodies = bodies.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    links = scratch.keep(bodies.mapInArrow(link, f"x {node_type}, y {node_type}"), "links-1")
+    labels = relabel(labels, links, scratch, "second")
+    scratch.drop("counts", "buckets", "texts", "links-0", "links-1", "first-labels")
+    scratch.release_shuffles()
+    named = filled.select("id", "th", _node().alias("node")).join(labels.hint("merge"), "node", "left")
     named = named.select("id", "th", F.coalesce("label", "node").alias("label"))
     heads = named.groupBy("label").agg(F.min(F.struct("id", "th")).alias("head"))
-    classes = named.join(heads.hint("merge"), "label").select(F.col("id").alias("cid"), F.col("th").alias("cth"), "head").dropDuplicates(["cid", "cth"])
+    name = F.coalesce(F.col("id").cast("string"), F.lit("\0"))  # a null id is one like others
+    classes = named.join(heads.hint("merge"), "label").dropDuplicates(["id", "th"]).select(name.alias("name"), "th", "head")
     out = docs.select(
         F.struct(*[F.col(quoted(c)) for c in (docs.columns if carry is None else carry)]).alias("doc"), F.col(quoted(key)).alias("id"), F.xxhash64(quoted(text)).alias("th")
-    )
-    joined = out.join(classes.hint("merge"), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
+    ).withColumn("name", name)
     head = F.coalesce("head", F.struct("id", "th"))
-    return joined.select("doc", head["id"].alias("class_id"), (head["id"].eqNullSafe(F.col("id")) & (head["th"] == F.col("th"))).alias("keep"))
+    joined = out.join(classes.hint("merge"), ["name", "th"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("name", "th").orderBy("name")))
+    return joined.select("doc", head["id"].alias("class_id"), (head["id"].eqNullSafe(F.col("id")) & (head["th"] == F.col("th")) & (F.col("nth") == 1)).alias("keep"))

@@ -54,7 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", carry: Seq
             own[first + n] = end_id
             pieces = -(-(n + 1) // length)
             doc = np.repeat(np.arange(len(n)), pieces)
-            piece = word_bpe.ragged(np.zeros(len(n), np.int64), pieces)
+            piece = bk.ragged(np.zeros(len(n), np.int64), pieces)
             start = piece * length
             size = np.minimum(n[doc] + 1 - start, length)
             at = np.append(first[doc] + start, len(own)).astype(np.int64) * 4

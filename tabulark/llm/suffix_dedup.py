@@ -62,15 +62,15 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     starts = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
     if not len(starts):
         return {k: np.zeros(0, np.int64) for k in ("piece", "at", "lo", "hi", "h", "sh")}
-    sums = bk.prefix(data)
+    sums = bk.Prefix(data)
     p = np.arange(n - gram + 1)
-    h = bk.ranges_hash(sums, p, p + gram)
+    h = sums.hash(p, p + gram)
     at = (_window_least((h & ~_POSITION) | p.astype(np.uint64), length - gram + 1)[starts] & _POSITION).astype(np.int64)
     piece = np.searchsorted(offsets, starts, "right") - 1
     first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (piece[1:] != piece[:-1]))))
     last = np.append(first[1:], len(at)) - 1
     lo, hi = starts[first], starts[last]
-    return {"piece": piece[first], "at": at[first], "lo": lo, "hi": hi, "h": h[at[first]].view(np.int64), "sh": bk.ranges_hash(sums, lo, hi + length).view(np.int64)}
+    return {"piece": piece[first], "at": at[first], "lo": lo, "hi": hi, "h": h[at[first]].view(np.int64), "sh": sums.hash(lo, hi + length).view(np.int64)}
 
 
 def _pieces(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -51,8 +51,8 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """
     n = len(offsets) - 1
     starts, ends, doc = bk.runs(data, offsets, bk.SPACED_WORD)
-    sums = bk.prefix(data)
-    words = bk.ranges_hash(sums, starts, ends)
+    sums = bk.Prefix(data)
+    words = sums.hash(starts, ends)
     out = {"n_words": np.bincount(doc, minlength=n)}
     lead = _LEAD[data]
     out["word_chars"] = _sums(lead & bk.SPACED_WORD[data], offsets)
@@ -66,7 +66,7 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     full = spoken[hi] > spoken[lo]
     lo, hi, line_doc = lo[full], hi[full], line_doc[full]
     out["n_lines"] = np.bincount(line_doc, minlength=n)
-    out["n_dup_lines"] = out["n_lines"] - _distinct(bk.ranges_hash(sums, lo, hi), line_doc, n)
+    out["n_dup_lines"] = out["n_lines"] - _distinct(sums.hash(lo, hi), line_doc, n)
 
     windows, at = bk.window_hash(words, doc, REPEAT_WINDOW)
     key = _salted(windows, doc[at])

@@ -51,13 +51,13 @@ class Words:
     @classmethod
     def of(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
         starts, ends, doc = bk.runs(data, offsets, bk.PLAIN_WORD)
-        sums = bk.prefix(data, bk.FOLDED_CODE)
-        word = bk.ranges_hash(sums, starts, ends)
+        sums = bk.Prefix(data, fold=True)
+        word = sums.hash(starts, ends)
         breaks = np.concatenate(([0], np.cumsum(data == 10)))
         line = breaks[starts] + doc
         mask = np.uint64(BUCKETS - 1)
-        head = bk.ranges_hash(sums, starts, np.minimum(starts + _ENDS, ends)) ^ np.uint64(0x1B873593)
-        tail = bk.ranges_hash(sums, np.maximum(ends - _ENDS, starts), ends) ^ np.uint64(0xCC9E2D51)
+        head = sums.hash(starts, np.minimum(starts + _ENDS, ends)) ^ np.uint64(0x1B873593)
+        tail = sums.hash(np.maximum(ends - _ENDS, starts), ends) ^ np.uint64(0xCC9E2D51)
         features = np.stack([word & mask, bk.mix(head) & mask, bk.mix(tail) & mask]).astype(np.int32)
         return cls(doc, line, features, word, starts, ends)
 

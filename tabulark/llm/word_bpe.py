@@ -13,6 +13,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 from tokenizers import Tokenizer
 
 from . import bytes_kernel as bk
@@ -109,6 +110,8 @@ class WordBpe:
         up, down = bk.powers(len(points))
         np.cumsum(_CODES[np.minimum(points, len(_CODES) - 1)] * up[:-1], out=sums[1:])
         words = bk.mix((sums[stop] - sums[start]) * down[start])
+        for i in np.flatnonzero(stop - start > bk.SHORT).tolist():
+            words[i] = xxhash.xxh3_64_intdigest(joined[start[i] : stop[i]].encode("utf-8", "surrogatepass"))
         distinct, where, of = np.unique(words, return_index=True, return_inverse=True)
         if len(self.slot) > REMEMBERED:
             self.forget()
@@ -120,7 +123,7 @@ class WordBpe:
             self._remember([keys[k] for k in new], [joined[a:b] for a, b in zip(start[spans].tolist(), stop[spans].tolist())])
         slots = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[of]
         n_ids = self.first[slots + 1] - self.first[slots]
-        ids = self.pool[ragged(self.first[slots], n_ids)]
+        ids = self.pool[bk.ragged(self.first[slots], n_ids)]
         counts = np.bincount(np.searchsorted(ends, start, "right"), n_ids, len(texts)).astype(np.int64)
         if odd:
             return self._with(odd, ids, counts)
@@ -156,12 +159,6 @@ class WordBpe:
         return start[full], stop[full]
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... for each i, joined."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
-
-
 @lru_cache(maxsize=2)
 def shared(path: str) -> WordBpe:
     """One tokenizer and memory for each Python worker."""

@@ -94,3 +94,12 @@ def test_best_fit_respects_all_capacities():
             assert len(at) <= 3 and own[at].sum() <= 100 and (own[at] ** 2).sum() <= 5000
             order = at[np.argsort(offsets[at])]
             assert offsets[order].tolist() == np.concatenate(([0], np.cumsum(own[order])[:-1])).tolist()
+
+def test_hashes_of_regular_ranges_differ():
+    order = [bin(i).count("1") % 2 for i in range(4096)]
+    data = np.array([97 + x for x in order] + [98 - x for x in order], np.uint8)
+    for n in (16, 64, 65, 1024, 2048, 4096):
+        h = bk.Prefix(data).hash(np.array([0, 4096]), np.array([n, 4096 + n]))
+        assert h[0] != h[1]
+    upper = bk.Prefix(np.frombuffer(b"ABC abc", np.uint8), fold=True).hash(np.array([0, 4]), np.array([3, 7]))
+    assert upper[0] == upper[1]

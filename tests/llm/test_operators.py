@@ -104,6 +104,54 @@ def test_near_duplicates_among_nodes_unlike_the_centre(spark):
     assert all(i == c for i, c in got.items() if i >= 1000)
 
 
+def _chains(chains: int, length: int) -> list[tuple[int, str]]:
+    """Chains of texts that differ from the one before in one of a hundred words, so only near ones are alike."""
+    out = []
+    for c in range(chains):
+        words = [f"c{c}w{i}" for i in range(104)]
+        for k in range(length):
+            out.append((c * 100 + k, " ".join(words)))
+            words[(k * 37) % 104] = f"c{c}edit{k}"
+    return out
+
+
+def test_chains_are_whole_classes(spark, monkeypatch):
+    """Links between texts that are unlike their centre; the same with blocks so small that every bucket is split."""
+    rows = spark.createDataFrame(_chains(12, 40), "doc_id long, text string")
+    want = _components({r["doc_id"]: r["text"] for r in rows.collect()}, 0.8)
+    for part in (near_dedup.PART, 3):
+        monkeypatch.setattr(near_dedup, "PART", part)
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(rows.repartition(16)).select("doc.doc_id", "class_id").collect()}
+        assert got == want and len(set(got.values())) == 12
+
+
+def test_regular_texts_are_told_apart(spark):
+    """Complementary Thue-Morse orders of words, whose polynomial hashes are equal modulo 2**64."""
+    order = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(k, " ".join(("cat", "dog")[x ^ k] for x in order)) for k in range(2)] + [(2 + k, "".join("ab"[x ^ k] for x in order)) for k in range(2)]
+    got = {r["doc"]["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(dict(rows), 0.8)  # the shingles of the first two are the same, their words' order isn't
+    words = near_dedup.shingles(*near_dedup.bk.utf8(near_dedup.pa.array([t for _, t in rows])))[2]
+    assert len({tuple(w) for w in words.T.tolist()}) == 4
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    many = spark.range(300).select((F.col("id") + 10**6).alias("doc_id"), F.concat_ws(" ", F.lit("this passage is in a third of all texts and more words follow it here"), *[F.concat(F.lit(c), "id") for c in "abcdefgh"]).alias("text"))
+    every = docs.unionByName(many)
+    results = [sorted(map(tuple, near_dedup.near_duplicates(every.repartition(n)).select("doc.doc_id", "class_id", "keep").collect())) for n in (1, 64)]
+    assert results[0] == results[1]
+    scratch = near_dedup.Scratch(spark, "test")
+    tables = [near_dedup.frequent_shingles(every.repartition(n), "text", scratch) for n in (1, 64)]
+    assert len(tables[0].hashes) and (tables[0].hashes == tables[1].hashes).all() and (tables[0].idf == tables[1].idf).all()
+
+
+def test_wordless_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "!!!"), (2, "!!!"), (3, "?"), (4, ""), (5, ""), (6, None), (7, "one two"), (7, "one two"), (None, "one two"), (None, None), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc"]["doc_id"] or 0, r["class_id"] or 0, r["keep"]) for r in near_dedup.near_duplicates(rows).collect()))
+    assert got == [(0, 0, False), (0, 0, True), (0, 0, True), (1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (7, 0, False), (7, 0, False)]
+
+
 def test_consistent_sampling_estimates_similarity():
     rng = np.random.default_rng(6)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
