@@ -131,8 +131,8 @@ def calibrated(scores: np.ndarray, good: np.ndarray, loss: float = LOSS_OF_GOOD)
 
 
 def training_rows(key: Column) -> Column:
-    """Rows that may be learnt from: crc32 of the id as text, modulo 3, is not 1."""
-    return F.crc32(key.cast("string").cast("binary")) % 3 != 1
+    """Rows that may be learnt from: crc32 of the id as text (a null: empty), modulo 3, is not 1."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 != 1
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, per_class: bool = False) -> DataFrame:

@@ -8,7 +8,9 @@ gives each word's marginal; a logistic fit on the sample turns a document's marg
 into its score, and runs of words over one half become its offending byte ranges.
 
 Fitting uses at most FIT_ROWS labelled documents, chosen by a hash of the id, none of them
-held out.  Scores depend on the text alone.  Scoring is one narrow pass over whole texts.
+held out.  Their whole texts are read by the driver twice, a chunk at a time; what stays of them is 21 bytes
+a word.  A word is bound to toxic documents if its counts in distinct sample texts are significant among all words
+(Chernoff bound, Benjamini-Hochberg).  Scores depend on the text alone.  Scoring is one narrow pass over whole texts.
 
 Defined cases: null, empty and wordless texts get the score of a text without toxic
 words; without labelled rows of both classes every score is 0; repeated rows are scored each; other
@@ -17,23 +19,25 @@ columns are carried in `doc`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import bytes_kernel as bk
 from .arrow_rows import map_texts
 from .quality_forest import labelled
+from .scratch import Scratch
 
 FIT_ROWS = 3_000
 CUT = 0.7
 BUCKETS = 1 << 18
 EPOCHS = 30
-#: A toxic word: in so many toxic documents of the sample and such a share of them at least, and so much likelier there.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.02, 8.0
+#: A toxic word: in so many toxic texts of the sample at least, so much likelier there, and such a share of false finds expected.
+LEAST_DOCS, LEAST_RATIO, FALSE_FINDS = 3, 8.0, 0.01
 _ENDS = 3  # bytes of a word's start and end that are features
 
 
@@ -61,21 +65,6 @@ class Words:
         features = np.stack([word & mask, bk.mix(head) & mask, bk.mix(tail) & mask]).astype(np.int32)
         return cls(doc, line, features, word, starts, ends)
 
-    @classmethod
-    def of_texts(cls, texts: Sequence[str | None]) -> Words:
-        """Chunk by chunk, so that no array is as long as all texts are; byte places are each chunk's own."""
-        parts, docs, lines = [], 0, 0
-        for batch, data, offsets in bk.chunks(iter([pa.record_batch({"text": pa.array(texts, pa.large_string())})]), "text"):
-            w = cls.of(data, offsets)
-            w.doc, w.line = (w.doc + docs).astype(np.int32), w.line + lines
-            docs, lines = docs + len(batch), int(w.line[-1]) + 1 if len(w.line) else lines
-            parts.append(w)
-        if not parts:
-            return cls.of(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        joined = {k: np.concatenate([getattr(w, k) for w in parts], axis=-1) for k in ("doc", "line", "features", "hashes")}
-        none = np.zeros(0, np.int64)
-        return cls(**joined, start=none, end=none)
-
 
 class Lines:
     """Lines sorted by length, so that step t of all lines that long is one slice."""
@@ -151,44 +140,78 @@ class LinearChainCrf:
         one = forward * back
         return one / (one + (1 - forward) * (1 - back)), expected
 
-    def fit(self, w: Words, tags: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-6) -> LinearChainCrf:
-        """Full-batch Adagrad on the conditional log-likelihood."""
-        lines = Lines(w.line)
+    def fit(self, parts: Sequence[tuple[Words, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-6) -> LinearChainCrf:
+        """Full-batch Adagrad on the conditional log-likelihood of words and their tags, part by part."""
+        lines = [Lines(w.line) for w, _ in parts]
         moved = np.zeros((2, 2))
-        same = np.flatnonzero(w.line[1:] == w.line[:-1])
-        np.add.at(moved, (tags[same], tags[same + 1]), 1)
+        for w, tags in parts:
+            same = np.flatnonzero(w.line[1:] == w.line[:-1])
+            moved += np.bincount(tags[same] * 2 + tags[same + 1], minlength=4).reshape(2, 2)
         power = {k: np.zeros(BUCKETS) for k in ("own", "before", "after")}
         bias_power, move_power = 1e-8, np.full((2, 2), 1e-8)
-        n = max(1, len(tags))
+        n = max(1, sum(len(tags) for _, tags in parts))
         for _ in range(epochs):
-            p, expected = self.marginals(self.emissions(w), lines, pairs=True)
-            miss = tags - p
-            grads = {
-                "own": sum(np.bincount(f, miss, BUCKETS) for f in w.features),
-                "before": np.bincount(w.features[0], shifted(miss, w.line, -1), BUCKETS),
-                "after": np.bincount(w.features[0], shifted(miss, w.line, 1), BUCKETS),
-            }
+            grads = {k: np.zeros(BUCKETS) for k in power}
+            all_missed, all_expected = 0.0, np.zeros((2, 2))
+            for (w, tags), own in zip(parts, lines):
+                p, expected = self.marginals(self.emissions(w), own, pairs=True)
+                miss = tags - p
+                for f in w.features:
+                    grads["own"] += np.bincount(f, miss, BUCKETS)
+                grads["before"] += np.bincount(w.features[0], shifted(miss, w.line, -1), BUCKETS)
+                grads["after"] += np.bincount(w.features[0], shifted(miss, w.line, 1), BUCKETS)
+                all_missed += miss.sum()
+                all_expected += expected
             for k, g in grads.items():
                 weight = getattr(self, k)
-                g = g - decay * n * weight
+                g -= decay * n * weight
                 power[k] += g * g
                 weight += (rate * g / np.sqrt(power[k] + 1e-8)).astype(np.float32)
-            bias_power += miss.sum() ** 2
-            self.bias += rate * miss.sum() / np.sqrt(bias_power)
-            g = moved - expected
+            bias_power += all_missed**2
+            self.bias += rate * all_missed / np.sqrt(bias_power)
+            g = moved - all_expected
             move_power += g * g
             self.moves += 0.2 * rate * g / np.sqrt(move_power)
         return self
 
 
-def toxic_words(w: Words, toxic: np.ndarray) -> np.ndarray:
-    """Hashes of words bound to toxic documents of the sample; toxic: 0 or 1 of each document."""
-    pairs = np.unique(np.stack([w.hashes, w.doc.astype(np.uint64)]), axis=1) if len(w.doc) else np.zeros((2, 0), np.uint64)
-    words, of = np.unique(pairs[0], return_inverse=True)
-    label = toxic[pairs[1].astype(np.int64)]
-    bad, good = np.bincount(of, label, len(words)), np.bincount(of, 1 - label, len(words))
-    n_bad, n_good = max(1, toxic.sum()), max(1, (1 - toxic).sum())
-    return words[(bad >= np.maximum(LEAST_DOCS, LEAST_SHARE * n_bad)) & (bad / n_bad > LEAST_RATIO * (good + 1) / n_good)]
+class WordCounts:
+    """In how many distinct toxic and other texts each word is."""
+
+    def __init__(self):
+        self.words, self.bad, self.good = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n_bad = self.n_good = 0
+        self.seen: set[int] = set()
+
+    def add(self, w: Words, content: list[int], toxic: np.ndarray) -> None:
+        """content: a hash of each text; toxic: 0 or 1 of each."""
+        new = np.zeros(len(content), bool)
+        for i, c in enumerate(content):
+            new[i] = c not in self.seen
+            self.seen.add(c)
+        self.n_bad, self.n_good = self.n_bad + int((toxic[new] == 1).sum()), self.n_good + int((toxic[new] == 0).sum())
+        at = np.flatnonzero(new[w.doc])
+        # One hash for a word and its document tells each pair once.
+        first = np.unique(w.hashes[at] ^ bk.mix(w.doc[at].astype(np.uint64)), return_index=True)[1]
+        words, label = w.hashes[at[first]], toxic[w.doc[at[first]]]
+        every, of = np.unique(np.concatenate((self.words, words)), return_inverse=True)
+        bad, good = np.concatenate((self.bad, label)), np.concatenate((self.good, 1 - label))
+        self.words, self.bad, self.good = every, np.bincount(of, bad, len(every)).astype(np.int64), np.bincount(of, good, len(every)).astype(np.int64)
+
+    def bound(self) -> np.ndarray:
+        """Hashes of the words bound to toxic texts, sorted."""
+        if not self.n_bad or not len(self.words):
+            return self.words[:0]
+        n, share = self.bad + self.good, self.n_bad / (self.n_bad + self.n_good)
+        seen = self.bad / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = seen * np.log(seen / share) + np.where(seen < 1, (1 - seen) * np.log((1 - seen) / max(1 - share, 1e-12)), 0)
+        chance = np.where(seen > share, np.exp(-n * far), 1.0)  # at least that of so many toxic texts by accident
+        order = np.sort(chance)
+        fine = np.flatnonzero(order <= FALSE_FINDS * np.arange(1, len(order) + 1) / len(order))
+        most = order[fine[-1]] if len(fine) else -1.0
+        likelier = self.bad / self.n_bad > LEAST_RATIO * (self.good + 1) / max(1, self.n_good)
+        return self.words[(chance <= most) & (self.bad >= LEAST_DOCS) & likelier]
 
 
 def evidence(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -217,14 +240,24 @@ class ToxicityModel:
     weights: np.ndarray | None
 
     @classmethod
-    def fit(cls, texts: Sequence[str | None], toxic: np.ndarray) -> ToxicityModel:
-        if not len(texts) or toxic.all() or not toxic.any():
+    def fit(cls, read: Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> ToxicityModel:
+        """read: gives bytes, offsets and labels (0 or 1) of some documents after another, the same each time."""
+        counts = WordCounts()
+        for data, offsets, toxic in read():
+            counts.add(Words.of(data, offsets), [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], toxic)
+        if not counts.n_bad or not counts.n_good:
             return cls(LinearChainCrf.empty(), None)
-        w = Words.of_texts(texts)
-        tags = (np.isin(w.hashes, toxic_words(w, toxic)) & (toxic[w.doc] == 1)).astype(np.int64)
-        crf = LinearChainCrf.empty().fit(w, tags)
-        p, _ = crf.marginals(crf.emissions(w), Lines(w.line))
-        return cls(crf, logistic(evidence(p, w.doc, len(texts)), toxic.astype(float)))
+        bound = counts.bound()
+        del counts
+        parts, labels, none = [], [], np.zeros(0, np.int64)
+        for data, offsets, label in read():
+            labels.append(label)
+            w = Words.of(data, offsets)
+            tags = (np.isin(w.hashes, bound) & (label[w.doc] == 1)).astype(np.int8)
+            parts.append((Words(w.doc.astype(np.int32), w.line.astype(np.int32), w.features, none, none, none), tags))
+        crf = LinearChainCrf.empty().fit(parts)
+        rows = [evidence(crf.marginals(crf.emissions(w), Lines(w.line))[0], w.doc, len(label)) for (w, _), label in zip(parts, labels)]
+        return cls(crf, logistic(np.concatenate(rows), np.concatenate(labels).astype(float)))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """Scores and the offending byte ranges of each document."""
@@ -248,9 +281,27 @@ class ToxicityModel:
         return scores, pa.ListArray.from_arrays(pa.array(counts), ranges)
 
 
+def in_chunks(rows: Iterator[tuple[str | None, int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, labels) of texts with labels, about CHUNK_BYTES at once."""
+    texts, labels, size = [], [], 0
+    for text, label in rows:
+        texts.append(text)
+        labels.append(label)
+        size += len(text or "")
+        if size >= bk.CHUNK_BYTES:
+            yield *bk.utf8(pa.array(texts, pa.large_string())), np.array(labels, np.int64)
+            texts, labels, size = [], [], 0
+    if texts:
+        yield *bk.utf8(pa.array(texts, pa.large_string())), np.array(labels, np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
-    sample = labelled(docs, labels, key, text, label, rows, per_class=True).toPandas().sort_values("id", kind="stable")  # at most `rows` rows
-    return ToxicityModel.fit(sample["text"].tolist(), sample["label"].to_numpy(np.int64))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = labelled(docs, labels, key, text, label, rows, per_class=True).repartition(16, "id").sortWithinPartitions("id")
+    sample = scratch.keep(sample.select("label", "text"), "sample")  # at most `rows` rows
+    model = ToxicityModel.fit(lambda: in_chunks((r["text"], r["label"]) for r in sample.toLocalIterator()))
+    scratch.drop("sample")
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
