@@ -37,14 +37,14 @@ GROUP = 8192
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", carry: Sequence[str] | None = None, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """(doc, piece, start, length, ids: little-endian unsigned 32-bit, salt) for each piece."""
+    """(doc, piece, start, length, ids: little-endian unsigned 32-bit) for each piece."""
     rows = carried(docs, text, carry)
-    fields = T._parse_datatype_string("piece int, start long, length long, ids binary, salt long")
+    fields = T._parse_datatype_string("piece int, start long, length long, ids binary")
     schema = T.StructType([rows.schema["doc"], *fields.fields])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, salt = word_bpe.shared(tokenizer), 0
+        bpe = word_bpe.shared(tokenizer)
         for batch, _, _ in bk.chunks(batches, "text"):
             ids, offsets = bpe.encode(batch.column(1).to_pylist())
             n = np.diff(offsets)
@@ -60,9 +60,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", carry: Seq
             at = np.append(first[doc] + start, len(own)).astype(np.int64) * 4
             blob = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at), pa.py_buffer(own.astype("<u4"))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), blob, pa.array(np.arange(salt, salt + len(doc)))], names=names
+                [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size), blob], names=names
             )
-            salt += len(doc)
 
     return rows.mapInArrow(run, schema)
 
@@ -106,7 +105,7 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
 
 
 def pack(pieces: DataFrame, max_tokens: int = SEQUENCE, max_docs: int | None = None, max_attention: float | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm", group: int = GROUP) -> DataFrame:
-    """Adds sequence_id and offset to pieces (their columns but ids and salt are kept).
+    """Adds sequence_id and offset to pieces (their columns but ids are kept).
 
     Without max_docs or max_attention those capacities are as large as max_tokens allows.
     """
@@ -115,7 +114,7 @@ def pack(pieces: DataFrame, max_tokens: int = SEQUENCE, max_docs: int | None = N
     kept = Scratch(pieces.sparkSession, "pack").keep(light, "pieces")
     n = kept.count()
     groups = max(1, -(-n // group))
-    dealt = kept.withColumn("group", F.pmod(F.xxhash64("salt", "length", "start"), F.lit(groups))).drop("salt")
+    dealt = kept.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     schema = T.StructType([f for f in dealt.schema.fields if f.name != "group"] + T._parse_datatype_string("sequence_id long, offset long").fields)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
