@@ -6,7 +6,8 @@ clockwise to the next virtual node whose shard has room.  With `slack=0` the cap
 are floor(n / shards) or one more and add up to n, so row counts are at most one apart.
 
 Only the counts per arc (shards x virtual nodes of them, whatever the data) reach the
-driver, which plans the overflow there; rows are then dealt by their rank in their arc.
+driver, which plans the overflow there; rows are then dealt by their rank in their arc.  An arc of more than
+CELL rows is ranked in cells of about so many, so a key that a third of all rows have doesn't meet in one task.
 
 Defined cases: a null key has one place like any other; repeated rows rank after each
 other; a null text has 0 bytes; an empty table gives no rows; extra columns are ignored.
@@ -22,7 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow_rows import quoted
+from .scratch import Scratch
+
 VIRTUAL_NODES = 128
+CELL = 1 << 17
 _M = (1 << 64) - 1
 
 
@@ -97,23 +102,27 @@ def owner(place: int, places: list[int], owners: list[int]) -> int:
 def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", virtual: int = VIRTUAL_NODES, slack: float = 0.0) -> DataFrame:
     """(key, size, text_crc32, shard, slot, moved) for every row; moved: not in its arc's own shard."""
     places, owners = ring(shards, virtual)
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     rows = docs.select(
-        F.col(key).alias("key"),
+        F.col(quoted(key)).alias("key"),
         (F.octet_length(body) + 16).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(key).cast("string"), F.lit(1)).alias("place"),
+        F.xxhash64(F.col(quoted(key)).cast("string"), F.lit(1)).alias("place"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    rows = rows.withColumn("arc", arc_of(F.col("place"), places))
+    rows = Scratch(docs.sparkSession, "shards").keep(rows.withColumn("arc", arc_of(F.col("place"), places)), "rows")
     counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # a row an arc
     total = sum(counts.values())
     segments = plan(counts, owners, capacities(total, shards, slack)) or [(0, 0, 0, 0, 0)]
     dealt = docs.sparkSession.createDataFrame(segments, "arc int, lo long, hi long, shard int, first long")
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("place", "key", "text_crc32", "size")).cast("long") - 1)
-    own = docs.sparkSession.createDataFrame(list(enumerate(owners)), "arc int, own int")
+    arcs = docs.sparkSession.createDataFrame([(arc, own, counts.get(arc, 0) // CELL + 1) for arc, own in enumerate(owners)], "arc int, own int, cells long")
+    rows = rows.join(F.broadcast(arcs), "arc").withColumn("cell", F.pmod(F.xxhash64("at"), F.col("cells")))  # a row an arc
+    before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("arc", "cell").agg(F.count("*").alias("n")).select("arc", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    in_cell = F.row_number().over(Window.partitionBy("arc", "cell").orderBy("place", "key", "text_crc32", "size", "at")).cast("long")
+    ranked = rows.withColumn("in_cell", in_cell).join(starts.hint("merge"), ["arc", "cell"]).withColumn("rank", F.col("start") + F.col("in_cell") - 1)
     return (
         ranked.join(F.broadcast(dealt), "arc")  # at most a segment for each arc and shard filled
         .filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-        .join(F.broadcast(own), "arc")
         .select(F.col("key").alias(key), "size", "text_crc32", "shard", (F.col("first") + F.col("rank") - F.col("lo")).alias("slot"), (F.col("own") != F.col("shard")).alias("moved"))
     )
