@@ -28,8 +28,6 @@ from .scratch import Scratch
 
 ORDER = 5
 PAD, END = "\u0002", "\u0003"
-#: Up to so many distinct 5-grams the model is sent to all executors, else both sides are shuffled.
-BROADCAST_GRAMS = 400_000
 #: Probability of a character below all counts.
 UNIFORM = 1.0 / 256
 
@@ -115,6 +113,11 @@ def log_ratios(counted: DataFrame) -> DataFrame:
     return probability.select(F.col("g").alias("gram"), (F.log("pa") - F.log("pr")).alias("ratio"))
 
 
+def _name() -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")]
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url: str = "url", holdout: int = 5) -> DataFrame:
     """(key, host, path, rule, verdict, score) for every row; score is null where a rule decides."""
     scratch = Scratch(pages.sparkSession, "urls")
@@ -134,20 +137,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url:
         "grams",
     )
     ratios = scratch.keep(log_ratios(counted), "ratios")
-    small = ratios.count() <= BROADCAST_GRAMS
-    needed = texts.filter(F.col("held") | F.col("ruled").isNull()).select("text", "ruled", "rows", F.explode(grams(F.col("text"))).alias("gram"))
+    # The grams of a text and their ratios meet by the gram; a hot gram's rows are split by the join.
+    needed = texts.filter(F.col("held") | F.col("ruled").isNull()).select(*_name(), "ruled", "rows", F.explode(grams(F.col("text"))).alias("gram"))
     scores = scratch.keep(
-        needed.join(F.broadcast(ratios) if small else ratios, "gram")
-        .groupBy("text", "ruled", "rows")
-        .agg((F.sum("ratio") / F.count("*")).alias("score")),
-        "scores",
+        needed.join(ratios.hint("merge"), "gram").groupBy("a", "b", "ruled").agg(F.first("rows").alias("rows"), (F.sum("ratio") / F.count("*")).alias("score")), "scores"
     )
     bins = scores.filter(F.col("ruled").isNotNull()).groupBy(
         F.greatest(F.lit(-2000), F.least(F.lit(2000), F.floor(F.col("score") * 100))).alias("bin"), "ruled"
     ).agg(F.sum("rows").alias("n")).collect()  # at most 4 001 bins of two verdicts
     at = threshold([(r["bin"], r["ruled"] == "allow", r["n"]) for r in bins]) / 100
-    unruled = scores.filter(F.col("ruled").isNull()).select("text", "score")
-    return judged.join(unruled, "text", "left").select(
+    unruled = scores.filter(F.col("ruled").isNull()).select("a", "b", "score")
+    return judged.withColumns(dict(zip("ab", _name()))).join(unruled.hint("merge"), ["a", "b"], "left").select(
         F.col("key").alias(key), "host", "path", "rule",
         F.coalesce("ruled", F.when(F.col("score") >= at, "allow").otherwise("block")).alias("verdict"),
         F.when(F.col("ruled").isNull(), F.col("score")).alias("score"),
