@@ -6,7 +6,9 @@ over the blocks' last marks and numbers of marks stitches documents that cross b
 
 `write_token_files` makes such files from documents through Spark's own text sink, so any
 store works: a row is a document's ids and the line separator is the mark, whose two
-bytes are the UTF-8 form of U+0100.  Files hold FILE_DOCS documents at most.
+bytes are the UTF-8 form of U+0100.  Each document has an address, the table file and the row in it that it was read
+from.  A task writes a token file for each run of consecutive rows, FILE_DOCS at most, and the file's folder names the
+address of the first.  So counts find their documents by address, however later scans are split.
 
 Defined cases: a null or empty text has 0 tokens; files may be empty; tokens after
 a file's last mark are a document that isn't ended; repeated rows are counted each; other columns are carried.
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytes_kernel as bk
-from .arrow_rows import carried
+from .arrow_rows import quoted
+from .scratch import Scratch
 
 MARK = 0xC480
 _MARK_TEXT = "Ā"
@@ -45,17 +49,33 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_token_files(docs: DataFrame, where: str, ranks: str, pattern: str, text: str = "text") -> None:
-    """Encodes whole texts; files are named by the partition they come from."""
+def addressed(docs: DataFrame, text: str, carry: Sequence[str] | None) -> DataFrame:
+    """(doc, text, file, row) of a table that is read from Parquet files."""
+    columns = docs.columns if carry is None else list(carry)
+    return docs.select(
+        F.struct(*[F.col(quoted(c)) for c in columns]).alias("doc"), F.col(quoted(text)).cast("string").alias("text"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+    )
+
+
+def write_token_files(rows: DataFrame, where: str, ranks: str, pattern: str) -> None:
+    """Encodes whole texts of addressed rows; a file's documents are those of the rows from `first` on of table file `file`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks, pattern)
+        file, first, row = None, 0, -1
         for batch, _, _ in bk.chunks(batches, "text", ENCODED_BYTES):
-            rows = [np.array(encoding.encode_ordinary(t), ">u2").tobytes() if t else b"" for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
+            ids = [np.array(encoding.encode_ordinary(t), ">u2").tobytes() if t else b"" for t in batch.column(0).to_pylist()]
+            firsts = []
+            for own, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if own != file or at != row + 1 or at - first >= FILE_DOCS:
+                    file, first = own, at
+                row = at
+                firsts.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column(1), pa.array(firsts, pa.int64()), batch.column(2)], names=["ids", "file", "first", "row"])
 
-    encoded = carried(docs, text, [docs.columns[0]]).select("text").mapInArrow(run, "ids binary")
-    encoded.select(F.col("ids").cast("string").alias("value")).write.mode("overwrite").option("lineSep", _MARK_TEXT).option("maxRecordsPerFile", FILE_DOCS).text(where)
+    encoded = rows.select("text", "file", "row").mapInArrow(run, "ids binary, file long, first long, row long").sortWithinPartitions("file", "first", "row")
+    encoded.select(F.col("ids").cast("string").alias("value"), "file", "first").write.mode("overwrite").partitionBy("file", "first").option("lineSep", _MARK_TEXT).text(where)
 
 
 def _scan(data: bytes, path: str) -> Iterator[tuple]:
@@ -78,18 +98,22 @@ _BLOCK = "path string, block long, start long, n long, marks array<long>"
 
 
 def _large(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """Blocks of a file too large to read whole, as records of one size that divides its own."""
+    """Blocks of a file too large to read whole: records of a length that divides its size, a block of many records where only short ones do."""
     most, width = 8 << 20, 2
-    record = next((size // k for k in range(-(-size // most), 1_000_000) if size % k == 0 and size // k % width == 0), width)
-    found = spark.sparkContext.binaryRecords(path, record).zipWithIndex().map(
-        lambda x: (path, x[1], x[1] * record // width, record // width, [int(m) + x[1] * record // width for m in np.flatnonzero(np.frombuffer(x[0], ">u2") == MARK)])
-    )
-    return spark.createDataFrame(found, _BLOCK)
+    record = next((size // k for k in range(-(-size // most), 100_000) if size % k == 0 and size // k % width == 0), width)
+
+    def found(part: Iterator[tuple[bytes, int]]) -> Iterator[tuple]:
+        together = max(1, most // record)
+        while run := list(islice(part, together)):  # consecutive records of one partition
+            at, data = run[0][1], b"".join(r for r, _ in run)
+            yield path, at, at * record // width, len(data) // width, (np.flatnonzero(np.frombuffer(data, ">u2") == MARK) + at * record // width).tolist()
+
+    return spark.createDataFrame(spark.sparkContext.binaryRecords(path, record).zipWithIndex().mapPartitions(found), _BLOCK)
 
 
 def scan_token_files(spark: SparkSession, where: str) -> DataFrame:
     """(path, document: its number in the file, start, n_tokens without the mark, ended)."""
-    files = spark.read.format("binaryFile").load(where)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
     blocks = files.filter(F.col("length") <= WHOLE_FILE).select("path", "content").mapInArrow(_blocks, _BLOCK)
     for row in files.filter(F.col("length") > WHOLE_FILE).select("path", "length").toLocalIterator():
         blocks = blocks.unionByName(_large(spark, row["path"], row["length"]))
@@ -117,22 +141,22 @@ def scan_token_files(spark: SparkSession, where: str) -> DataFrame:
     return stitched.select("path", F.explode(docs).alias("d")).select("path", "d.*")
 
 
-def count_tokens(docs: DataFrame, where: str, ranks: str, pattern: str, text: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
-    """(doc, n_tokens): writes the token files of docs under `where`, scans them, and matches documents by their order.
+def count_tokens(docs: DataFrame, where: str, ranks: str, pattern: str, text: str = "text", carry: Sequence[str] | None = None, stored: bool = False) -> DataFrame:
+    """(doc, n_tokens): writes the token files of docs under `where`, scans them, and matches documents by address.
 
-    docs must give its rows in the same partitions and order each time, as a table read from files does.
+    stored: docs is a table just as it is read from Parquet files; any other is written to such a table first.
     """
     spark = docs.sparkSession
-    write_token_files(docs, where, ranks, pattern, text)
-    place = r"part-(\d+)-.*-c(\d+)\."
+    if not stored:
+        docs = Scratch(spark, "counted").keep(docs, "docs")
+    rows = addressed(docs, text, carry)
+    write_token_files(rows, where, ranks, pattern)
     counts = scan_token_files(spark, where).filter("ended").select(
-        F.regexp_extract("path", place, 1).cast("long").alias("part"),
-        (F.regexp_extract("path", place, 2).cast("long") * FILE_DOCS + F.col("document")).alias("row"),
+        F.regexp_extract("path", r"/file=(-?\d+)/", 1).cast("long").alias("file"),
+        (F.regexp_extract("path", r"/first=(\d+)/", 1).cast("long") + F.col("document")).alias("row"),
         "n_tokens",
     )
-    rows = carried(docs, text, carry).select("doc", F.monotonically_increasing_id().alias("at"))
-    rows = rows.select("doc", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("row"))
-    joined = rows.join(counts, ["part", "row"], "full")
-    # A document without a count or a count without a document: the order was not kept.
+    joined = rows.select("doc", "file", "row").join(counts.hint("merge"), ["file", "row"], "full")
+    # A document without a count or a count without a document: files were changed.
     checked = F.when(F.col("doc").isNull() | F.col("n_tokens").isNull(), F.raise_error(F.lit("token files and documents do not match")).cast("long")).otherwise(F.col("n_tokens"))
     return joined.select("doc", checked.alias("n_tokens"))
