@@ -6,8 +6,8 @@ runs of benchmark words, as word numbers with a mark between runs.  All windows
 words, or a whole shorter item) are searched backward at once through wavelet ranks,
 their occurrences located by sampled suffix positions, and overlapping spans merged.
 
-The benchmark is sent to the executors in blocks of at most BLOCK_WINDOWS windows; more
-blocks mean more narrow passes, never a larger block.  Nothing is shuffled.
+The benchmark is sent to the executors in blocks of about BLOCK_WINDOWS windows, one pass and one block at a time.  One
+block needs no shuffle; with more, each pass writes the few documents it hits and their spans are merged by row.
 
 Defined cases: a null or wordless text has no words and no hits; items without words
 are skipped; a null item id counts as an empty one; equal ids count once; repeated rows are judged each; other
@@ -17,7 +17,7 @@ columns are carried in `doc` under whatever names.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 from . import bytes_kernel as bk
 from .arrow_rows import carried, quoted
 from .fm_index import FMIndex
+from .scratch import Scratch
 
 WINDOW = 13
 BLOCK_WINDOWS = 200_000
 SHARD_BYTES = 16 << 20
+_SPANS = "array<struct<lo:long,hi:long,first:long,after:long>>"  # byte and word ranges
 _FIRST = 2  # symbols: 0 end mark, 1 between runs, then words
 
 
@@ -96,19 +98,20 @@ class Shard:
             end = np.flatnonzero(inside & ~np.concatenate((inside[1:] & same, [False]))) + 1
             long = end - begin >= w.shortest
             at = bk.ragged(begin[long], (end - begin)[long])
+            word = np.arange(len(words)) - np.searchsorted(doc, np.arange(n))[doc]
             run = np.repeat(np.arange(long.sum()), (end - begin)[long])
-            self.parts.append((number[at], run, doc[at] + self.docs, (starts - offsets[doc])[at], (ends - offsets[doc])[at]))
+            self.parts.append((number[at], run, doc[at] + self.docs, (starts - offsets[doc])[at], (ends - offsets[doc])[at], word[at]))
         self.docs += n
         self.bytes += len(data)
 
     def search(self) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
-        """n_words, n_hit, spans (doc, from byte, to byte) and (doc, item) pairs, each in order of documents."""
+        """n_words, n_hit, spans (doc, from byte, to byte, from word, to word) and (doc, item) pairs, each in order of documents."""
         n_words = np.concatenate(self.n_words) if self.n_words else np.zeros(0, np.int64)
         none = np.zeros(0, np.int64)
         symbols = np.concatenate([p[0] for p in self.parts] or [none])
         if not len(symbols):
-            return n_words, np.zeros(self.docs, np.int64), (none, none, none), (none, none)
-        doc, start, end = (np.concatenate([p[k] for p in self.parts]) for k in (2, 3, 4))
+            return n_words, np.zeros(self.docs, np.int64), (none, none, none, none, none), (none, none)
+        doc, start, end, word = (np.concatenate([p[k] for p in self.parts]) for k in (2, 3, 4, 5))
         shift, runs = 0, []
         for p in self.parts:
             runs.append(p[1] + shift)
@@ -136,7 +139,7 @@ class Shard:
         owners = bk.ragged(w.owner_first[pattern], w.owner_first[pattern + 1] - w.owner_first[pattern])
         docs = np.repeat(doc[at], w.owner_first[pattern + 1] - w.owner_first[pattern])
         pairs = np.unique(docs * np.int64(len(w.names)) + w.owners[owners]) if len(owners) else none
-        return n_words, n_hit, (doc[first], start[first], end[last]), (pairs // max(1, len(w.names)), pairs % max(1, len(w.names)))
+        return n_words, n_hit, (doc[first], start[first], end[last], word[first], word[last] + 1), (pairs // max(1, len(w.names)), pairs % max(1, len(w.names)))
 
 
 def _lists(doc: np.ndarray, n: int, values: pa.Array) -> pa.Array:
@@ -148,8 +151,8 @@ def _search(batches: Iterator[pa.RecordBatch], shared, names: list[str]) -> Iter
     shard, rows = Shard(windows), []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        n_words, n_hit, (sdoc, lo, hi), (idoc, item) = shard.search()
-        spans = _lists(sdoc, shard.docs, pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"]))
+        n_words, n_hit, (sdoc, *ends), (idoc, item) = shard.search()
+        spans = _lists(sdoc, shard.docs, pa.StructArray.from_arrays([pa.array(e) for e in ends], ["lo", "hi", "first", "after"]))
         items = _lists(idoc, shard.docs, pa.array(windows.names, pa.string()).take(pa.array(item)) if windows.names else pa.array([], pa.string()))
         at = 0
         for batch in rows:
@@ -182,25 +185,40 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, carry: Sequence[str] | None = None) -> DataFrame:
     """(doc, n_words, n_hit, spans: merged byte ranges of hits, items: sorted ids with an occurring window)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = carried(docs, text, carry)
-    one = T._parse_datatype_string("n_words long, n_hit long, spans array<struct<lo:long,hi:long>>, items array<string>")
-    blocks = 0
-    for windows in _blocks(benchmark, item, item_text, window):
-        schema = T.StructType([*rows.schema.fields, *[T.StructField(f"{f.name}_{blocks}", f.dataType) for f in one.fields]])
-        rows = rows.mapInArrow(partial(_search, shared=spark.sparkContext.broadcast(windows), names=schema.names), schema)
-        blocks += 1
-    if not blocks:
-
-        empty = [F.lit(0).cast("long"), F.array().cast(one["spans"].dataType), F.array().cast("array<string>")]
-        return rows.select("doc", F.coalesce(F.size(_words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"), *[c.alias(n) for c, n in zip(empty, ("n_hit", "spans", "items"))])
-    if blocks == 1:
-        return rows.select("doc", *[F.col(f"{n}_0").alias(n) for n in one.names])
-    spans = _merged(F.array_sort(F.concat(*[F.col(f"spans_{b}") for b in range(blocks)])))
-    items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"items_{b}") for b in range(blocks)])))
-    out = rows.select("doc", "text", F.col("n_words_0").alias("n_words"), spans.alias("spans"), items.alias("items"))
-    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.size(_words(F.substr(F.col("text").cast("binary"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")).cast("string"))))
-    return out.select("doc", "n_words", words.alias("n_hit"), "spans", "items")
+    found = T._parse_datatype_string(f"n_words long, n_hit long, spans {_SPANS}, items array<string>")
+
+    def searched(rows: DataFrame, shared) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, *found.fields])
+        return rows.mapInArrow(partial(_search, shared=shared, names=schema.names), schema)
+
+    blocks = _blocks(benchmark, item, item_text, window)
+    block, after = next(blocks, Windows([], window)), next(blocks, None)
+    if after is None:
+        return searched(rows, context.broadcast(block)).select("doc", "n_words", "n_hit", _bytes(F.col("spans")).alias("spans"), "items")
+    scratch, hits = Scratch(docs.sparkSession, "benchmark"), []
+    rows = scratch.keep(rows.withColumn("at", F.monotonically_increasing_id()), "rows")
+    while block is not None:
+        shared = context.broadcast(block)
+        hits.append(scratch.keep(searched(rows.select("at", "text"), shared).filter(F.size("items") > 0).select("at", "spans", "items"), f"hits-{len(hits)}"))
+        shared.destroy()
+        block, after = after, next(blocks, None)
+    hit = reduce(DataFrame.unionByName, hits).groupBy("at").agg(
+        _merged(F.array_sort(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.struct(s["first"].alias("first"), s["after"].alias("after"), s["lo"].alias("lo"), s["hi"].alias("hi"))))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    out = rows.select("doc", "at", F.coalesce(F.size(_words(F.col("text"))), F.lit(0)).cast("long").alias("n_words")).join(hit.hint("merge"), "at", "left")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    none = F.array()
+    return out.select(
+        "doc", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"),
+        F.coalesce(_bytes(F.col("spans")), none.cast("array<struct<lo:long,hi:long>>")).alias("spans"), F.coalesce("items", none.cast("array<string>")).alias("items"),
+    )
+
+
+def _bytes(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
 
 def _words(text: Column) -> Column:
@@ -208,13 +226,15 @@ def _words(text: Column) -> Column:
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted ranges with overlaps joined."""
-    kind = "array<struct<lo:long,hi:long>>"
+    """Sorted spans with those of neighbouring or shared words joined."""
+
     def step(out: Column, s: Column) -> Column:
         last = F.try_element_at(out, F.lit(-1))
-        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))))
-        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["hi"] >= s["lo"]), joined).otherwise(F.concat(out, F.array(s)))
-    return F.aggregate(spans, F.array().cast(kind), step)
+        far = F.struct(last["first"].alias("first"), F.greatest(last["after"], s["after"]).alias("after"), last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))
+        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(far))
+        return F.when((F.size(out) > 0) & (last["after"] >= s["first"]), joined).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<first:long,after:long,lo:long,hi:long>>"), step)
 
 
 def contaminated(n_words: Column, n_hit: Column, share: int = 20) -> Column:
