@@ -175,13 +175,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text:
     )
     direct = found.filter("direct").select("id", "th", "lo", (F.col("hi") + length).alias("hi"))
     again = found.filter("not direct").groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 or twice").select("h")
+    # Written before they are joined, so that Spark can split the joins' hot anchors.
+    again = scratch.keep(again, "again")
     candidates = found.filter("not direct").join(again.hint("merge"), "h", "left_semi").withColumns({"before": F.col("at") - F.col("lo"), "after": F.col("hi") - F.col("at")})
     candidates = scratch.keep(candidates, "candidates")
     content = ["h", "sh", "before", "after"]
     slices = candidates.groupBy(*content).agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("id", "th", "at", "lo", "hi")).alias("r"))
     slices = scratch.keep(slices.withColumn("repeats", (F.col("n") > 1) | F.col("twice")), "slices")
     whole = candidates.join(slices.filter("repeats").select(*content).hint("merge"), content, "left_semi").select("id", "th", "lo", (F.col("hi") + length).alias("hi"))
-    sizes = slices.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    sizes = scratch.keep(slices.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
     wanted = slices.join(sizes.hint("merge"), "h").select("r.*", F.col("h").alias("g"), "m")
     by_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "lo", "hi", "g", "m")).alias("cuts"))
     texts = rows.join(by_doc.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "cuts").hint("merge"), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")))
@@ -258,7 +260,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     scratch = Scratch(docs.sparkSession, "suffix")
     spans = repeated_spans(docs, scratch, key, text, length)
     spans = scratch.keep(spans.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    scratch.drop("anchors", "candidates", "slices", "parts")
+    scratch.drop("anchors", "again", "candidates", "slices", "sizes", "parts")
     scratch.release_shuffles()
     rows = docs.select(
         F.struct(*[F.col(quoted(c)) for c in (docs.columns if carry is None else carry)]).alias("doc"),
