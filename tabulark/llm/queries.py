@@ -28,7 +28,7 @@ SHARDS = 40
 def packed_documents(docs: DataFrame) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"])
-    packed = packing.pack(pieces.select("doc.doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "salt"))
+    packed = packing.pack(pieces.select("doc.doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -87,7 +87,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = Scratch(spark, "tokens").path("files")
     out = token_counts.count_tokens(
-        _table(spark, sf_dir, "documents"), where, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"]
+        _table(spark, sf_dir, "documents"), where, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"], stored=True
     )
     return out.select("doc.doc_id", "n_tokens")
 

@@ -44,8 +44,15 @@ def test_packing_places_every_token(spark, docs, odd_docs):
     assert len(filled) <= sum(r["length"] for r in got) / 4096 * 1.03 + 1
 
 
+def test_equal_pieces_are_dealt_evenly(spark, monkeypatch):
+    """A thousand equal texts in 200 partitions: groups have about as many pieces each."""
+    pieces = spark.range(1000).repartition(200).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"))
+    got = packing.pack(pieces, group=10).groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert len(got) == 100 and max(r["count"] for r in got) <= 30
+
+
 def test_sequences_hold_the_ids(spark, docs):
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"]).select("doc.doc_id", "piece", "start", "length", "ids", "salt").persist()
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), carry=["doc_id"]).select("doc.doc_id", "piece", "start", "length", "ids").persist()
     packed = packing.pack(pieces).persist()
     made = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(pieces, packed, ["doc_id", "piece"]).collect()}
     where = {(r["doc_id"], r["piece"]): r for r in packed.collect()}
@@ -177,7 +184,8 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_toxic_spans_and_unlabelled(spark, odd_docs):
-    model = toxicity_crf.ToxicityModel.fit([f"good words here {i}\nmore of them" for i in range(60)] + [f"good words here {i}\nyou rotten person" for i in range(60)], np.repeat([0, 1], 60))
+    sample = [(f"good words here {i}\nmore of them", 0) for i in range(60)] + [(f"good words here {i}\nyou rotten person", 1) for i in range(60)]
+    model = toxicity_crf.ToxicityModel.fit(lambda: toxicity_crf.in_chunks(iter(sample)))
     rows = spark.createDataFrame([(1, "fine\nyou ROTTEN person"), (2, "fine words")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in toxicity_crf.score_toxicity(rows, model).select("doc.doc_id", "score", "spans").collect()}
     assert got[1]["score"] > 0.7 > got[2]["score"] and got[2]["spans"] == []
@@ -284,6 +292,25 @@ def test_sharding_law_and_movement(spark, docs, odd_docs):
         assert (by_id[r["doc_id"]]["size"], by_id[r["doc_id"]]["text_crc32"]) == (len(body) + 16, zlib.crc32(body))
 
 
+def test_hot_keys_are_ranked_in_cells(spark, monkeypatch):
+    """Null and repeated ids: one place on the ring, many cells, the same law and whole slots."""
+    monkeypatch.setattr(sharding, "CELL", 50)
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.shard_rows(rows, 40).collect()
+    n = Counter(r["shard"] for r in got)
+    assert len(got) == 3000 and set(n.values()) == {75}
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(75)) for s in n)
+
+
+def test_movement_when_a_shard_is_added(spark):
+    """Few rows move, nearly all of them to the new shard where the loads have slack."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    for slack, most, elsewhere in ((0.0, 0.06, 0.04), (0.25, 0.035, 0.005)):
+        old, new = ({r["doc_id"]: r["shard"] for r in sharding.shard_rows(rows, n, slack=slack).collect()} for n in (40, 41))
+        moved = [i for i in old if old[i] != new[i]]
+        assert len(moved) <= most * len(old) and sum(new[i] != 40 for i in moved) <= elsewhere * len(old)
+
+
 def test_ring_overflow_goes_clockwise():
     places, owners = sharding.ring(5, 8)
     assert places == sorted(places) and Counter(owners) == {s: 8 for s in range(5)}
@@ -311,11 +338,19 @@ def test_line_dedup_cases(spark, odd_docs):
 def test_decontamination_in_blocks_and_odd_rows(spark, odd_docs, monkeypatch):
     bench = spark.createDataFrame([(1, "alpha beta " + " ".join(f"w{i}" for i in range(15))), (2, "Short ITEM"), (3, ""), (4, None), (None, "emoji nul")], "item_id long, text string")
     rows = odd_docs.select("doc_id", "text", "h").unionByName(spark.createDataFrame([(50, "x short, item y " + " ".join(f"w{i}" for i in range(14)), 0), (51, "short", 0)], "doc_id long, text string, h long"))
-    plain = lambda: sorted((r["doc"]["doc_id"] or -1, r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontamination.find_contamination(rows, bench).collect())
+    plain = lambda: sorted((r["doc"]["doc_id"] or -1, r["n_words"], r["n_hit"], tuple(r["items"]), tuple(map(tuple, r["spans"]))) for r in decontamination.find_contamination(rows, bench).collect())
     whole = plain()
-    assert (50, 18, 16, ("1", "2")) in whole and (51, 1, 0, ()) in whole and (6, 3, 2, ("",)) in whole
+    counts = [r[:4] for r in whole]
+    assert (50, 18, 16, ("1", "2")) in counts and (51, 1, 0, ()) in counts and (6, 3, 2, ("",)) in counts
     monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 3)
     assert plain() == whole
+    # A large benchmark in many blocks: items that overlap in documents.
+    more = spark.range(60).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit("v"), (F.col("id") + k).cast("string")) for k in range(14)]).alias("text"))
+    rows, bench = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(80))), (2, "v1 v2"), (None, None)], "doc_id long, text string"), more
+    many = plain()
+    monkeypatch.setattr(decontamination, "BLOCK_WINDOWS", 10**6)
+    assert many == plain() and (1, 80, 73) in [r[:3] for r in many]
+    bench = spark.createDataFrame([(1, ""), (3, "")], "item_id long, text string")
     none = decontamination.find_contamination(rows, bench.filter("item_id = 3")).collect()
     assert all(r["n_hit"] == 0 for r in none) and decontamination.find_contamination(rows, bench.limit(0)).count() == rows.count()
 
@@ -325,10 +360,27 @@ def test_token_counts_are_exact(spark, docs, odd_docs, tmp_path):
     for i, rows in enumerate((docs, odd_docs)):
         rows.write.parquet(f"file://{tmp_path}/in{i}")
         table = spark.read.parquet(f"file://{tmp_path}/in{i}")
-        got = token_counts.count_tokens(table, f"file://{tmp_path}/tokens{i}", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+        got = token_counts.count_tokens(table, f"file://{tmp_path}/tokens{i}", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stored=True)
         assert all(r["n_tokens"] == len(encoding.encode_ordinary(r["doc"]["text"] or "")) for r in got.collect()) and got.count() == table.count()
 
 
+def test_token_counts_of_shuffled_rows_and_other_splits(spark, docs, tmp_path, monkeypatch):
+    """Documents find their counts by address: in shuffled input, in short runs, and where the table is split anew between scans."""
+    encoding = token_counts._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(token_counts, "FILE_DOCS", 7)
+    got = token_counts.count_tokens(docs.repartition(5), f"file://{tmp_path}/a", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert all(r["n_tokens"] == len(encoding.encode_ordinary(r["doc"]["text"] or "")) for r in got.collect()) and got.count() == docs.count()
+    docs.repartition(3).write.option("parquet.block.size", 20_000).parquet(f"file://{tmp_path}/in")
+    table = spark.read.parquet(f"file://{tmp_path}/in")
+    got = token_counts.count_tokens(table, f"file://{tmp_path}/b", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stored=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+    try:
+        rows = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r["n_tokens"] == len(encoding.encode_ordinary(r["doc"]["text"] or "")) for r in rows) and len(rows) == docs.count()
+
+
 def test_scan_stitches_blocks_and_large_files(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(2)
     tokens = rng.integers(0, 3, 5000).astype(">u2")
@@ -344,6 +396,10 @@ def test_scan_stitches_blocks_and_large_files(spark, tmp_path, monkeypatch):
     assert [n for _, n, _ in whole] == want.tolist() and [e for *_, e in whole] == [True] * (len(want) - 1) + [False]
     monkeypatch.setattr(token_counts, "WHOLE_FILE", 100)
     assert scan() == whole
+    # A prime number of tokens: records of two bytes each, put together again.
+    (tmp_path / "f" / "a.bin").write_bytes(tokens[:4999].tobytes())
+    spans = scan()
+    assert sum(n + e for _, n, e in spans) == 4999 and spans[:-1] == whole[: len(spans) - 1]
 
 
 def test_suffix_dedup_by_brute_force(spark, docs, monkeypatch):
