@@ -1,12 +1,13 @@
 """Quality filter: fixed base rules, then an isolation forest over rule statistics.
 
-The forest is grown on a bounded sample of labelled documents (FIT_ROWS of them, chosen
-by a hash of the id); the cut on its anomaly score is calibrated on their quality
-labels.  Every document is counted and scored from its whole text, in one narrow pass.
+The forest is grown on the documents labelled good of a bounded sample (FIT_ROWS of the labelled ones that a hash of
+the id gives to the trees), as the common rows to isolate from; labels choose nothing else there.  Every document is counted and scored
+from its whole text, in one narrow pass.  The cut on the anomaly score is calibrated on all other labelled documents that may be
+learnt from, by a histogram of BINS bins of their scores; where these lack a class, on those of the sample too.
 
 Defined cases: a null, empty or wordless text has zero counts and fails the base rules;
-without labelled rows there is no forest and only the base rules decide; labelled rows of
-one class alone cut above all scores seen in them; repeated rows are judged each; other columns are carried in `doc`.
+without labelled rows there is no forest and only the base rules decide; good labelled rows
+alone cut above all scores seen in them, bad ones alone above all scores; repeated rows are judged each; other columns are carried in `doc`.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from . import text_rules
 from .arrow_rows import map_texts, quoted
+from .scratch import Scratch
 
 FIT_ROWS = 6_000
 TREES = 200
 SUBSAMPLE = 512
+BINS = 10_000
 #: A junk document kept costs one, a good one lost costs so many.
 LOSS_OF_GOOD = 20.0
 MIN_WORDS = 20
@@ -116,18 +119,26 @@ class IsolationForest:
         return 2.0 ** -(total / len(self.feature) / self.scale)
 
 
-def calibrated(scores: np.ndarray, good: np.ndarray, loss: float = LOSS_OF_GOOD) -> float:
-    """The cut that loses least on labelled scores, half-way between its neighbours."""
-    if not len(scores) or good.all() or not good.any():
-        return float(scores.max()) + 1e-9 if len(scores) and good.any() else 1.0
-    order = np.argsort(scores, kind="stable")
-    s, g = scores[order], good[order]
-    # Cutting after the first i: the bad ones before are kept, the good ones from i on are lost.
-    cost = np.concatenate(([0], np.cumsum(~g))) + loss * (g.sum() - np.concatenate(([0], np.cumsum(g))))
-    edges = np.concatenate(([True], s[1:] > s[:-1], [True]))
-    cost = np.where(edges, cost, np.inf)
-    i = len(cost) - 1 - int(np.argmin(cost[::-1]))
-    return float(s[0] - 1e-9 if i == 0 else s[-1] + 1e-9 if i == len(s) else (s[i - 1] + s[i]) / 2)
+def calibrated(bins: list[tuple[int, int, int]], loss: float = LOSS_OF_GOOD) -> float:
+    """The cut between bins that loses least; bins: (bin of BINS, 1 for good or 0, rows).  Equal losses: the highest cut.
+
+    With good rows alone it is above all of them, with none it is 1.
+    """
+    good = sum(n for _, label, n in bins if label)
+    if good == sum(n for *_, n in bins) or not good:
+        return (max(b for b, *_ in bins) + 1) / BINS if good else 1.0
+    by_bin: dict[int, list[int]] = {}
+    for b, label, n in bins:
+        by_bin.setdefault(b, [0, 0])[label] += n
+    # Cutting below the first bin loses all good rows; each bin that is kept saves its good ones and keeps its bad ones.
+    cost, best = loss * good, (loss * good, 0.0)
+    edges = sorted(by_bin)
+    for b, after in zip(edges, [*edges[1:], None]):
+        cost += by_bin[b][0] - loss * by_bin[b][1]
+        cut = b + 1 if after is None else (b + 1 + after) / 2
+        if cost <= best[0]:
+            best = (cost, cut / BINS)
+    return best[1]
 
 
 def training_rows(key: Column) -> Column:
@@ -135,10 +146,14 @@ def training_rows(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 != 1
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int, per_class: bool = False) -> DataFrame:
-    """(id, label, text) of at most `rows` labelled documents, chosen by a hash of the id."""
+def known_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(id, label) of rows that may be learnt from."""
     ids = labels.select(F.col(quoted(key)).alias("id"), F.col(quoted(label)).cast("int").alias("label"))
-    ids = ids.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & training_rows(F.col("id")))
+    return ids.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & training_rows(F.col("id")))
+
+
+def labelled(docs: DataFrame, ids: DataFrame, key: str, text: str, rows: int, per_class: bool = False) -> DataFrame:
+    """(id, label, text) of the documents of at most `rows` known labels, chosen by a hash of the id."""
     order = [F.xxhash64(F.col("id").cast("string")), "id", "label"]
     chosen = [ids.filter(F.col("label") == v).orderBy(*order).limit(rows // 2) for v in (0, 1)] if per_class else [ids.orderBy(*order).limit(rows)]
     few = chosen[0] if len(chosen) == 1 else chosen[0].unionAll(chosen[1])
@@ -150,22 +165,35 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 def filter_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", carry: Sequence[str] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc, the BASE counts, base_failed, anomaly, kept)."""
     names = list(text_rules.COUNTS)
+    ids = known_labels(labels, key, label)
+    for_trees = F.pmod(F.xxhash64(F.lit(11), F.col("id").cast("string")), F.lit(2)) == 0
 
     def count(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         return list(text_rules.rule_counts(data, offsets).values())
 
-    sample = map_texts(labelled(docs, labels, key, text, label, fit_rows), "text", ["id", "label"], ", ".join(f"{n} long" for n in names), count)
+    sample = map_texts(labelled(docs, ids.filter(for_trees), key, text, fit_rows), "text", ["id", "label"], ", ".join(f"{n} long" for n in names), count)
     known = sample.select("doc.id", "doc.label", *names).toPandas().sort_values("id", kind="stable")  # at most fit_rows rows
     counts = {n: known[n].to_numpy() for n in names}
     passed = ~base_failed(counts["n_words"], counts["n_repeat_words"])
     rows, good = statistics(counts)[passed], known["label"].to_numpy()[passed] == 1
     forest = IsolationForest.grow(rows[good] if good.any() else rows, rows) if len(rows) else None
-    cut = calibrated(forest.score(rows), good) if forest else 1.0
 
     def judge(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         c = text_rules.rule_counts(data, offsets)
         failed = base_failed(c["n_words"], c["n_repeat_words"])
-        anomaly = forest.score(statistics(c)) if forest else np.zeros(len(failed))
-        return [*[c[n] for n in BASE], failed, anomaly, ~failed & (anomaly < cut)]
-
-    return map_texts(docs, text, carry, ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, anomaly double, kept boolean", judge)
+        return [*[c[n] for n in BASE], failed, forest.score(statistics(c)) if forest else np.zeros(len(failed))]
+
+    carry = list(docs.columns if carry is None else carry)
+    keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in carry]).alias("doc"), F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"))
+    fields = ", ".join(f"{n} long" for n in BASE) + ", base_failed boolean, anomaly double"
+    judged = Scratch(docs.sparkSession, "quality").keep(map_texts(keyed, "text", ["doc", "id"], fields, judge), "judged")
+    scored = judged.filter("NOT base_failed").select(F.col("doc.id").alias("id"), F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+
+    def histogram(ids: DataFrame) -> list[tuple[int, int, int]]:
+        return [tuple(r) for r in scored.join(ids.dropDuplicates(["id"]).hint("merge"), "id").groupBy("bin", "label").agg(F.count("*").alias("n")).collect()]  # at most BINS of two labels
+
+    bins = histogram(ids.filter(~for_trees))
+    if len({label for _, label, _ in bins}) < 2:
+        bins = histogram(ids)
+    cut = calibrated(bins) if forest else 1.0
+    return judged.select("doc.doc", *BASE, "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") < cut)).alias("kept"))
