@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from . import bytes_kernel as bk
 from .arrow_rows import map_texts
-from .quality_forest import labelled
+from .quality_forest import known_labels, labelled
 from .scratch import Scratch
 
 FIT_ROWS = 3_000
@@ -38,6 +38,8 @@ BUCKETS = 1 << 18
 EPOCHS = 30
 #: A toxic word: in so many toxic texts of the sample at least, so much likelier there, and such a share of false finds expected.
 LEAST_DOCS, LEAST_RATIO, FALSE_FINDS = 3, 8.0, 0.01
+#: Long lines are worked on in segments of so many words at once.
+SEGMENT = 128
 _ENDS = 3  # bytes of a word's start and end that are features
 
 
@@ -67,17 +69,29 @@ class Words:
 
 
 class Lines:
-    """Lines sorted by length, so that step t of all lines that long is one slice."""
+    """Lines in segments of up to SEGMENT words, sorted by length, so that step t of all segments that long is one slice.
+
+    `chain` has, for a place in their line over 0, the segments there and those before them.
+    """
 
     def __init__(self, line: np.ndarray):
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(line)), bool), line[1:] != line[:-1])))
-        length = np.diff(np.concatenate((first, [len(line)])))
+        n = len(line)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, n), bool), line[1:] != line[:-1])))
+        long = np.diff(np.concatenate((first, [n])))
+        parts = -(-long // SEGMENT)
+        place = bk.ragged(np.zeros(len(first), np.int64), parts)
+        start = np.repeat(first, parts) + place * SEGMENT
+        length = np.diff(np.concatenate((start, [n])))
         order = np.argsort(-length, kind="stable")
-        self.first, self.length = first[order], length[order]
-        self.steps = int(self.length[0]) if len(first) else 0
-        # How many lines have more than t words.
-        self.alive = len(first) - np.cumsum(np.bincount(self.length, minlength=self.steps + 1))[: self.steps]
-        self.starts = first
+        self.first, self.length, self.last = start[order], length[order], (start + length - 1)[order]
+        self.steps = int(self.length[0]) if n else 0
+        # How many segments have more than t words.
+        self.alive = len(start) - np.cumsum(np.bincount(self.length, minlength=self.steps + 1))[: self.steps]
+        rank = np.empty(len(start), np.int64)
+        rank[order] = np.arange(len(start))
+        self.opens = place[order] == 0
+        self.chain = [(rank[at], rank[at - 1]) for k in range(1, int(parts.max(initial=0))) if len(at := np.flatnonzero(place == k))]
+        self.same = np.flatnonzero(line[1:] == line[:-1])
 
 
 def shifted(values: np.ndarray, line: np.ndarray, by: int) -> np.ndarray:
@@ -92,6 +106,13 @@ def shifted(values: np.ndarray, line: np.ndarray, by: int) -> np.ndarray:
     return out
 
 
+def _back(e: np.ndarray, back: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The share of later weight on tag 1 at a word, from the next word's emission and share."""
+    later_one, later_zero = e * back, 1 - back
+    one, zero = m[1, 1] * later_one + m[1, 0] * later_zero, m[0, 1] * later_one + m[0, 0] * later_zero
+    return one / (one + zero)
+
+
 @dataclass
 class LinearChainCrf:
     """Two tags: own, before and after are weights of a word's buckets; the rest are tag weights."""
@@ -115,31 +136,57 @@ class LinearChainCrf:
         """P(toxic) of each word; with pairs, expected moves between tags too."""
         e = np.exp(np.clip(odds, -30, 30))
         m = np.exp(self.moves)
-        n = len(e)
-        forward, back = np.zeros(n), np.full(n, 0.5)  # P(tag 1 | words so far); share of the later words' weight on tag 1
-        state = np.zeros(0)
+        n, k = len(e), len(lines.first)
+        forward, back = np.zeros(n), np.zeros(n)  # P(tag 1 | words so far); share of the later words' weight on tag 1
+        enters, leaves = np.zeros(k), np.full(k, 0.5)  # the same just before a segment and at its last word
+        if lines.chain:
+            self._between(e, m, lines, enters, leaves)
+        state = enters
         for t in range(lines.steps):
             at = lines.first[: lines.alive[t]] + t
-            if t:
-                state = state[: len(at)]
-                one, zero = (state * m[1, 1] + (1 - state) * m[0, 1]) * e[at], state * m[1, 0] + (1 - state) * m[0, 0]
-            else:
-                one, zero = e[at], np.ones(len(at))
+            state = state[: len(at)]
+            one, zero = (state * m[1, 1] + (1 - state) * m[0, 1]) * e[at], state * m[1, 0] + (1 - state) * m[0, 0]
+            if not t:
+                one, zero = np.where(lines.opens, e[at], one), np.where(lines.opens, 1.0, zero)
             state = one / (one + zero)
             forward[at] = state
-        expected = np.zeros((2, 2)) if pairs else None
+        back[lines.last] = leaves
         for t in range(lines.steps - 2, -1, -1):
             at = lines.first[: lines.alive[t + 1]] + t
-            later_one, later_zero = e[at + 1] * back[at + 1], 1 - back[at + 1]
-            one, zero = m[1, 1] * later_one + m[1, 0] * later_zero, m[0, 1] * later_one + m[0, 0] * later_zero
-            back[at] = one / (one + zero)
-            if pairs:
-                f = forward[at]
-                joint = np.stack([(1 - f) * m[0, 0] * later_zero, (1 - f) * m[0, 1] * later_one, f * m[1, 0] * later_zero, f * m[1, 1] * later_one])
-                expected += (joint / joint.sum(0)).sum(1).reshape(2, 2)
+            back[at] = _back(e[at + 1], back[at + 1], m)
+        expected = None
+        if pairs:
+            at = lines.same
+            f, later_one, later_zero = forward[at], e[at + 1] * back[at + 1], 1 - back[at + 1]
+            joint = np.stack([(1 - f) * m[0, 0] * later_zero, (1 - f) * m[0, 1] * later_one, f * m[1, 0] * later_zero, f * m[1, 1] * later_one])
+            expected = (joint / joint.sum(0)).sum(1).reshape(2, 2)
         one = forward * back
         return one / (one + (1 - forward) * (1 - back)), expected
 
+    @staticmethod
+    def _between(e: np.ndarray, m: np.ndarray, lines: Lines, enters: np.ndarray, leaves: np.ndarray) -> None:
+        """Fills the states between segments of long lines, by the products of each segment's matrices."""
+        ahead = np.tile(np.eye(2), (len(lines.first), 1, 1))  # from the tag before a segment to that of its last word
+        behind = ahead.copy()  # from its last word to the first, whose emission is counted
+        step = lambda x: np.stack([np.ones_like(x), x], axis=1)
+        for t in range(lines.steps):
+            k = lines.alive[t]
+            own = step(e[lines.first[:k] + t])[:, None, :]
+            moved = (ahead[:k] @ m) * own
+            if not t:
+                moved[lines.opens] = own[lines.opens] * 0.5
+            ahead[:k] = moved / moved.max(axis=(1, 2), keepdims=True)
+            moved = (m @ behind[:k]) if t else behind[:k]
+            # From the end: the t-th word before the last.
+            moved = step(e[lines.last[:k] - t])[:, :, None] * moved
+            behind[:k] = moved / moved.max(axis=(1, 2), keepdims=True)
+        for own, before in lines.chain:
+            weights = np.stack([1 - enters[before], enters[before]], axis=1)[:, None, :] @ ahead[before]
+            enters[own] = weights[:, 0, 1] / weights[:, 0].sum(1)
+        for own, before in reversed(lines.chain):
+            weights = m @ (behind[own] @ np.stack([1 - leaves[own], leaves[own]], axis=1)[:, :, None])
+            leaves[before] = weights[:, 1, 0] / weights[:, :, 0].sum(1)
+
     def fit(self, parts: Sequence[tuple[Words, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-6) -> LinearChainCrf:
         """Full-batch Adagrad on the conditional log-likelihood of words and their tags, part by part."""
         lines = [Lines(w.line) for w, _ in parts]
@@ -297,7 +344,7 @@ def in_chunks(rows: Iterator[tuple[str | None, int]]) -> Iterator[tuple[np.ndarr
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = labelled(docs, labels, key, text, label, rows, per_class=True).repartition(16, "id").sortWithinPartitions("id")
+    sample = labelled(docs, known_labels(labels, key, label), key, text, rows, per_class=True).repartition(16, "id").sortWithinPartitions("id")
     sample = scratch.keep(sample.select("label", "text"), "sample")  # at most `rows` rows
     model = ToxicityModel.fit(lambda: in_chunks((r["text"], r["label"]) for r in sample.toLocalIterator()))
     scratch.drop("sample")
