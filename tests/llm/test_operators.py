@@ -180,7 +180,20 @@ def test_toxicity_on_held_out_documents(spark):
     # A fifth of the labels here is noise: toxic documents without any toxic word.
     assert n.get((1, 1), 0) >= 0.7 * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
     assert got.filter("score < 0 OR score > 1 OR score IS NULL").isEmpty()
-    assert got.filter(f"held_out <> (crc32(cast(cast(doc_id AS STRING) AS BINARY)) % 3 = 1)").isEmpty()
+    assert got.filter("held_out <> (crc32(cast(cast(doc_id AS STRING) AS BINARY)) % 3 = 1)").isEmpty()
+    assert spark.createDataFrame([(None,)], "id long").select(quality_forest.training_rows(F.col("id"))).first()[0] is True
+
+
+def test_toxic_words_are_significant_and_copies_count_once():
+    """A word of 4 % of toxic texts is bound; one of a single text with many copies, and one as common elsewhere, are not."""
+    rng = np.random.default_rng(2)
+    base = lambda: " ".join(f"w{i}" for i in rng.integers(0, 400, 40))
+    rows = [(base() + (" vile" if i % 25 == 0 else "") + (" topic" if i % 3 == 0 else ""), 1) for i in range(500)] + [(base() + (" topic" if i % 3 == 0 else ""), 0) for i in range(500)] + [("copied words only", 1)] * 60
+    counts = toxicity_crf.WordCounts()
+    for data, offsets, toxic in toxicity_crf.in_chunks(iter(rows)):
+        counts.add(toxicity_crf.Words.of(data, offsets), [hash(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], toxic)
+    vile = toxicity_crf.Words.of(*toxicity_crf.bk.utf8(toxicity_crf.pa.array(["vile"]))).hashes[0]
+    assert counts.n_bad == 501 and counts.bound().tolist() == [vile]
 
 
 def test_toxic_spans_and_unlabelled(spark, odd_docs):
@@ -195,9 +208,11 @@ def test_toxic_spans_and_unlabelled(spark, odd_docs):
     assert {r["score"] for r in toxicity_crf.score_toxicity(odd_docs, none).collect()} == {0.0}
 
 
-def test_marginals_by_enumeration():
+@pytest.mark.parametrize("segment", [1, 2, 3, 128])
+def test_marginals_by_enumeration(segment, monkeypatch):
     from itertools import product
 
+    monkeypatch.setattr(toxicity_crf, "SEGMENT", segment)
     rng = np.random.default_rng(8)
     crf = toxicity_crf.LinearChainCrf.empty()
     crf.moves = rng.normal(size=(2, 2))
@@ -224,6 +239,54 @@ def test_quality_on_labelled_documents(spark):
     assert n.get((1, False), 0) <= 0.01 * n[1, True] and n.get((0, False), 0) >= 0.8 * (n.get((0, False), 0) + n.get((0, True), 0))
 
 
+def test_forest_paths_by_brute_force():
+    """With the whole table as every tree's sample, a leaf's path is its depth and the mean path of the rows in it."""
+    rng = np.random.default_rng(3)
+    rows = np.round(rng.normal(size=(60, 3)), 1)
+    forest = quality_forest.IsolationForest.grow(rows, rows, trees=5, subsample=60)
+
+    def leaf(t, x):
+        node, depth = 0, 0
+        while forest.child[t, node] != node:
+            node, depth = forest.child[t, node] + int(x[forest.feature[t, node]] > forest.split[t, node]), depth + 1
+        return node, depth
+
+    def mean_path(n):  # of an unsuccessful search among n points
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    asked = np.concatenate((rows, rng.normal(size=(40, 3)) * 3))
+    total = np.zeros(len(asked))
+    for t in range(5):
+        filled = Counter(leaf(t, x)[0] for x in rows)
+        total += [depth + mean_path(filled[node]) for node, depth in (leaf(t, x) for x in asked)]
+    assert np.allclose(forest.score(asked), 2 ** -(total / 5 / mean_path(60)))
+
+
+def test_quality_cut_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        bins = [(int(b), int(label), int(n)) for b, label, n in zip(rng.integers(0, 30, 12), rng.integers(0, 2, 12), rng.integers(1, 9, 12))]
+        if len({label for _, label, _ in bins}) < 2:
+            continue
+        lost = lambda cut: sum(20 * n if label else 0 for b, label, n in bins if b / 10_000 >= cut) + sum(n for b, label, n in bins if not label and b / 10_000 < cut)
+        assert lost(quality_forest.calibrated(bins)) == min(lost(c / 20_000) for c in range(62))
+    assert quality_forest.calibrated([(7, 1, 3)]) == 8 / 10_000 and quality_forest.calibrated([(7, 0, 3)]) == 1.0 == quality_forest.calibrated([])
+
+
+def test_quality_verdicts_follow_scores_and_all_labels(spark):
+    """The cut is calibrated on all labelled rows outside the trees' half: brute force over the table's own scores."""
+    small = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    got = quality_forest.filter_quality(docs, labels, carry=["doc_id"]).select("doc.doc_id", "base_failed", "anomaly", "kept")
+    half = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1) & (F.pmod(F.xxhash64(F.lit(11), F.col("doc_id").cast("string")), F.lit(2)) == 1)
+    known = got.filter("NOT base_failed").join(labels.filter(half), "doc_id").collect()
+    lost = lambda cut: sum(20 if r["quality"] else 0 for r in known if r["anomaly"] >= cut) + sum(not r["quality"] for r in known if r["anomaly"] < cut)
+    rows = got.collect()
+    kept, gone = [r["anomaly"] for r in rows if r["kept"]], [r["anomaly"] for r in rows if not r["kept"] and not r["base_failed"]]
+    assert max(kept) < min(gone) and not any(r["kept"] for r in rows if r["base_failed"])
+    assert lost((max(kept) + min(gone)) / 2) == min(lost(a) for a in [*(r["anomaly"] for r in known), 2.0])
+
+
 def test_urls(spark):
     rules = queries.URL_RULES
     rows = [
@@ -238,6 +301,15 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).collect() == []
 
 
+def test_urls_with_odd_columns_ties_and_length(spark):
+    """Columns that clash with the operator's own, equal URLs, and one of 40 000 characters."""
+    rows = [(i, f"http://h{i % 5}.example.{'org/fr/' if i % 2 else 'net/'}", i, "x", "y") for i in range(40)] + [(50, "http://e.example.com/" + "ab/" * 13_000, 0, None, None)] + [(60, "http://e.example.com/q", 0, "", "")] * 3
+    df = spark.createDataFrame(rows, "page_id long, url string, gram int, text string, rule string")
+    got = url_filter.filter_urls(df, queries.URL_RULES).collect()
+    assert len(got) == 44 and {r["verdict"] for r in got} <= {"allow", "block"} and len({tuple(r) for r in got if r["page_id"] == 60}) == 1
+    assert all(r["verdict"] == ("allow" if r["page_id"] % 2 else "block") for r in got if r["page_id"] < 40)
+
+
 def test_url_model_reads_the_whole_url(spark):
     rows = [(i, f"http://h.example.{'org/fr/?lang=good' if i % 2 else 'net/?go=casino'}{i}#{'top' if i % 2 else 'win'}") for i in range(200)]
     asked = ["http://h.example.com/?lang=good#top", "http://h.example.com/?go=casino#win", "lang=good", "go=casino", "https://h.example.com/?go=casino#win", "HTTP://H.EXAMPLE.com/?Q", None]
@@ -273,10 +345,18 @@ def test_url_model_by_brute_force(spark):
         total = sum(after.values()) + len(after)
         return (after.get(gram, 0) + len(after) * p(c, gram[1:])) / total if total else p(c, gram[1:])
 
-    for i, url in rows[90:]:
+    def score(url):
         s = pad + url.split("://", 1)[1] + url_filter.END
-        ratios = [np.log(p("a", s[k - 4 : k + 1])) - np.log(p("r", s[k - 4 : k + 1])) for k in range(4, len(s))]
-        assert got[i] == pytest.approx(np.mean(ratios), abs=1e-9)
+        return np.mean([np.log(p("a", s[k - 4 : k + 1])) - np.log(p("r", s[k - 4 : k + 1])) for k in range(4, len(s))])
+
+    for i, url in rows[90:]:
+        assert got[i] == pytest.approx(score(url), abs=1e-9)
+    # The threshold: the best balanced accuracy on held-out rows; then every verdict.
+    held_rows = [(np.floor(score(url) * 100), bool(i % 3)) for i, url in rows[:90] if held[url.split("://", 1)[1]]]
+    right = lambda at: np.mean([b >= at for b, good in held_rows if good]) + np.mean([b < at for b, good in held_rows if not good])
+    best = max({b for b, _ in held_rows} | {max(b for b, _ in held_rows) + 1}, key=lambda at: (round(right(at), 9), -abs(at), at))
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(df, queries.URL_RULES).collect()}
+    assert verdicts == {i: ("allow" if i % 3 else "block") if i < 90 else "allow" if score(url) >= best / 100 else "block" for i, url in rows}
 
 
 def test_sharding_law_and_movement(spark, docs, odd_docs):
