@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -13,6 +15,7 @@ from .plans import compiler
 from .plans.query import Query
 from .sources import gold as gold_tables
 from .sources import ingest
+from .storage import read_text, separate_projections, write_text
 
 #: What each scope of analytics consists of, besides overview and months.
 SCOPES = {
@@ -31,10 +34,11 @@ class Engine:
     def __init__(self, spark: SparkSession, where: str):
         self.spark, self.where = spark, where.rstrip("/")
         registry.register_functions(spark)
+        self.recover()
 
     @property
     def gold(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.where}/gold")
+        return ingest.gold_table(self.spark, self.where)
 
     def rows(self, q: Query) -> DataFrame:
         return compiler.apply(self.gold, q)
@@ -47,6 +51,10 @@ class Engine:
     def ingest(self, path: str, options: ingest.ImportOptions | None = None, profiles: dict | None = None) -> dict:
         return ingest.import_file(self.spark, path, self.where, options, profiles)
 
+    def save_profile(self, name: str, headers: Sequence[str], meanings: dict[int, str | None]) -> None:
+        """Meanings for all later imports of this layout."""
+        ingest.save_profile(self.spark, self.where, name, list(headers), meanings)
+
     def schemas(self) -> DataFrame:
         """Sources by schema, with the currency that their values give evidence for."""
         log = self.spark.read.parquet(f"{self.where}/log").select("schema_id", "name", "rows")
@@ -98,24 +106,54 @@ class Engine:
 
     def price_risk(self, q: Query, threshold: float = risk.THRESHOLD, samples: int = risk.SAMPLES, limit: int = risk.LIMIT) -> dict[str, DataFrame]:
         rows = self.rows(q)
+        screen = risk.screened(rows, threshold, samples)
         return {
-            "summary": risk.summary(rows, threshold, samples), "rows": risk.rows_at_risk(rows, threshold, samples, limit),
-            "currencies": risk.by_currency(rows, threshold, samples), "companies": risk.by_company(rows, threshold, samples),
+            "summary": risk.summary(rows, screen=screen), "rows": risk.rows_at_risk(rows, limit=limit, screen=screen), "currencies": risk.by_currency(rows, screen=screen),
+            "companies": risk.by_company(rows, screen=screen), "confidence": risk.by_confidence(rows, screen=screen),
         }
 
+    def version(self) -> str:
+        """Of the gold table: another after each import or rewrite."""
+        log = self.spark.read.parquet(f"{self.where}/log").agg(F.count("*").alias("n"), F.max("part").alias("part")).first()
+        return f"{log['n']} {log['part']} {read_text(self.spark, f'{self.where}/rewritten') or ''}"
+
     def build_rollups(self) -> None:
-        rollups.build(self.gold, f"{self.where}/rollups")
+        rollups.build(self.gold, f"{self.where}/rollups", self.version())
 
     def overview_row(self, q: Query) -> tuple[DataFrame, str]:
-        """Key numbers of a query from the rollups where they are safe, and where they came from."""
-        there = self._exists("rollups/overview")
-        source = rollups.route(self.spark, f"{self.where}/rollups" if there else None, q)
+        """Key numbers of a query from the rollups where they are safe and of the gold table's version, and where they came from."""
+        source = rollups.route(self.spark, f"{self.where}/rollups", q, self.version())
         if source == "rows":
             return measures.overview(self.rows(q)), source
         year = int(q.filters.get("year") or 0)
         rolled = self.spark.read.parquet(f"{self.where}/rollups/overview")
         return rolled.filter((F.col("scope") == q.scope) & (F.col("year_key") == year)), source
 
+    def sql(self, query: str) -> DataFrame:
+        """A query over the views `records` (gold rows) and `imports` (the log), for diagnosis; all values as texts."""
+        if query.split(None, 1)[0].lower() not in ("select", "with", "from", "values"):
+            raise ValueError("only queries")
+        self.gold.createOrReplaceTempView("records")
+        self.spark.read.parquet(f"{self.where}/log").createOrReplaceTempView("imports")
+        found = self.spark.sql(query)
+        return found.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in found.columns])
+
+    # Saved queries
+
+    def save_query(self, name: str, q: Query | None) -> None:
+        """Keeps a query under a name; None removes it."""
+        known = self._saved()
+        known.pop(name, None)
+        if q is not None:
+            known[name] = q.to_json()
+        write_text(self.spark, f"{self.where}/queries.json", json.dumps(known, ensure_ascii=False))
+
+    def saved_query(self, name: str) -> Query:
+        return Query.from_json(self._saved()[name])
+
+    def _saved(self) -> dict:
+        return json.loads(read_text(self.spark, f"{self.where}/queries.json") or "{}")
+
     # Exports and maintenance
 
     def export_csv(self, q: Query, fields: Sequence[str], path: str, sort: search.Sort | None = None) -> int:
@@ -124,16 +162,44 @@ class Engine:
     def export_xlsx(self, q: Query, fields: Sequence[str], path: str, sort: search.Sort | None = None) -> int:
         return export.write_xlsx(self.gold, q, fields, path, sort)
 
+    def stats(self) -> DataFrame:
+        """Rows, duplicates and sources of each schema."""
+        return self.gold.groupBy("schema_id").agg(F.count("*").alias("rows"), F.count_if(~F.col("is_canonical")).alias("duplicates"), F.count_distinct("source_file").alias("sources"))
+
+    def stored_bytes(self) -> dict[str, int]:
+        fs, path = self._fs()
+        return {name: fs.getContentSummary(path(f"{self.where}/{name}")).getLength() for name in ("gold", "log", "rollups") if self._exists(name)}
+
     def compact(self, files: int) -> None:
-        """Rewrites the gold table in about so many files beside the old one, then takes its place."""
-        self.gold.repartition(files, "schema_id", F.pmod(F.xxhash64("id"), F.lit(files))).write.mode("overwrite").partitionBy("schema_id").parquet(f"{self.where}/gold-new")
+        """Rewrites the gold table in about so many files."""
+        self._rewrite(self.gold.repartition(files, "schema_id", F.pmod(F.xxhash64("id"), F.lit(files))))
+
+    def backfill(self) -> None:
+        """Derives months, labels, keys, tokens, years and kilograms anew from the stored columns, as an older store may lack or differ in them."""
+        base = self.gold.drop(*gold_tables.derived_columns())
+        with separate_projections(self.spark):
+            self._rewrite(gold_tables.with_keys(base))
+
+    def _rewrite(self, rows: DataFrame) -> None:
+        """Writes a new gold table beside the old one and puts it in its place; the old one goes last."""
+        fs, path = self._fs()
+        new, now, old = (path(f"{self.where}/{name}") for name in ("gold-new", "gold", "gold-old"))
+        rows.write.mode("overwrite").partitionBy("part", "schema_id").parquet(new.toString())
+        fs.delete(old, True)
+        fs.rename(now, old)
+        fs.rename(new, now)
+        write_text(self.spark, f"{self.where}/rewritten", uuid.uuid4().hex)
+        fs.delete(old, True)
+
+    def recover(self) -> None:
+        """After a rewrite that stopped half-way: the table that is whole takes its place again."""
         fs, path = self._fs()
-        fs.delete(path(f"{self.where}/gold"), True)
-        fs.rename(path(f"{self.where}/gold-new"), path(f"{self.where}/gold"))
+        if not self._exists("gold") and self._exists("gold-old"):
+            fs.rename(path(f"{self.where}/gold-old"), path(f"{self.where}/gold"))
 
     def clear(self) -> None:
         fs, path = self._fs()
-        for name in ("gold", "log", "rollups"):
+        for name in ("gold", "log", "rollups", "rewritten"):
             fs.delete(path(f"{self.where}/{name}"), True)
 
     def _fs(self):

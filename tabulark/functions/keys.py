@@ -16,32 +16,32 @@ NO_COUNTRY = ["0", "00", "000", "NA", "NODATA", "ND", "НД", "НЕМАДАНИ
 
 #: Names of countries by their key.
 COUNTRIES = {
-    "CN": "CN CHN CHINA КИТАЙ",
-    "IE": "IE IRL IRELAND ІРЛАНДІЯ ИРЛАНДИЯ",
-    "PL": "PL POL POLAND ПОЛЬЩА ПОЛЬША",
-    "CZ": "CZ CZE CZECHIA CZECHREPUBLIC ЧЕСЬКАРЕСПУБЛІКА ЧЕХІЯ ЧЕШСКАЯРЕСПУБЛИКА ЧЕХИЯ",
-    "DE": "DE DEU GERMANY НІМЕЧЧИНА ГЕРМАНІЯ ГЕРМАНИЯ",
-    "US": "US USA UNITEDSTATES UNITEDSTATESOFAMERICA СПОЛУЧЕНІШТАТИАМЕРИКИ США СОЕДИНЕННЫЕШТАТЫАМЕРИКИ",
-    "VN": "VN VNM VIETNAM ВЄТНАМ ВЕТНАМ",
-    "EU": "EU EUROPEANUNION КРАЇНИЄС СТРАНЫЕС",
-    "KR": "KR KOR SOUTHKOREA REPUBLICOFKOREA ПІВДЕННАКОРЕЯ КОРЕЯРЕСПУБЛІКА ЮЖНАЯКОРЕЯ",
-    "TR": "TR TUR TURKEY TURKIYE ТУРЕЧЧИНА ТУРЦІЯ ТУРЦИЯ",
-    "IN": "IN IND INDIA ІНДІЯ ИНДИЯ",
-    "IT": "IT ITA ITALY ІТАЛІЯ ИТАЛИЯ",
-    "BE": "BE BEL BELGIUM БЕЛЬГІЯ БЕЛЬГИЯ",
-    "NL": "NL NLD NETHERLANDS НІДЕРЛАНДИ НИДЕРЛАНДЫ",
-    "FR": "FR FRA FRANCE ФРАНЦІЯ ФРАНЦИЯ",
-    "GB": "GB UK GBR GREATBRITAIN UNITEDKINGDOM ВЕЛИКАБРИТАНІЯ ВЕЛИКОБРИТАНІЯ ВЕЛИКОБРИТАНИЯ",
-    "ES": "ES ESP SPAIN ІСПАНІЯ ИСПАНИЯ",
-    "CH": "CH CHE SWITZERLAND ШВЕЙЦАРІЯ ШВЕЙЦАРИЯ",
-    "AT": "AT AUT AUSTRIA АВСТРІЯ АВСТРИЯ",
-    "FI": "FI FIN FINLAND ФІНЛЯНДІЯ ФИНЛЯНДИЯ",
-    "LV": "LV LVA LATVIA ЛАТВІЯ ЛАТВИЯ",
-    "LT": "LT LTU LITHUANIA ЛИТВА",
-    "EE": "EE EST ESTONIA ЕСТОНІЯ ЭСТОНИЯ",
-    "HU": "HU HUN HUNGARY УГОРЩИНА ВЕНГРИЯ",
-    "RO": "RO ROU ROMANIA РУМУНІЯ РУМЫНИЯ",
-    "BG": "BG BGR BULGARIA БОЛГАРІЯ БОЛГАРИЯ",
+    "CN": ["CN", "CHN", "CHINA", "КИТАЙ"],
+    "IE": ["IE", "IRL", "IRELAND", "ІРЛАНДІЯ", "ИРЛАНДИЯ"],
+    "PL": ["PL", "POL", "POLAND", "ПОЛЬЩА", "ПОЛЬША"],
+    "CZ": ["CZ", "CZE", "CZECHIA", "CZECHREPUBLIC", "ЧЕСЬКАРЕСПУБЛІКА", "ЧЕХІЯ", "ЧЕШСКАЯРЕСПУБЛИКА", "ЧЕХИЯ"],
+    "DE": ["DE", "DEU", "GERMANY", "НІМЕЧЧИНА", "ГЕРМАНІЯ", "ГЕРМАНИЯ"],
+    "US": ["US", "USA", "UNITEDSTATES", "UNITEDSTATESOFAMERICA", "СПОЛУЧЕНІШТАТИАМЕРИКИ", "США", "СОЕДИНЕННЫЕШТАТЫАМЕРИКИ"],
+    "VN": ["VN", "VNM", "VIETNAM", "ВЄТНАМ", "ВЕТНАМ"],
+    "EU": ["EU", "EUROPEANUNION", "КРАЇНИЄС", "СТРАНЫЕС"],
+    "KR": ["KR", "KOR", "SOUTHKOREA", "REPUBLICOFKOREA", "ПІВДЕННАКОРЕЯ", "КОРЕЯРЕСПУБЛІКА", "ЮЖНАЯКОРЕЯ"],
+    "TR": ["TR", "TUR", "TURKEY", "TURKIYE", "ТУРЕЧЧИНА", "ТУРЦІЯ", "ТУРЦИЯ"],
+    "IN": ["IN", "IND", "INDIA", "ІНДІЯ", "ИНДИЯ"],
+    "IT": ["IT", "ITA", "ITALY", "ІТАЛІЯ", "ИТАЛИЯ"],
+    "BE": ["BE", "BEL", "BELGIUM", "БЕЛЬГІЯ", "БЕЛЬГИЯ"],
+    "NL": ["NL", "NLD", "NETHERLANDS", "НІДЕРЛАНДИ", "НИДЕРЛАНДЫ"],
+    "FR": ["FR", "FRA", "FRANCE", "ФРАНЦІЯ", "ФРАНЦИЯ"],
+    "GB": ["GB", "UK", "GBR", "GREATBRITAIN", "UNITEDKINGDOM", "ВЕЛИКАБРИТАНІЯ", "ВЕЛИКОБРИТАНІЯ", "ВЕЛИКОБРИТАНИЯ"],
+    "ES": ["ES", "ESP", "SPAIN", "ІСПАНІЯ", "ИСПАНИЯ"],
+    "CH": ["CH", "CHE", "SWITZERLAND", "ШВЕЙЦАРІЯ", "ШВЕЙЦАРИЯ"],
+    "AT": ["AT", "AUT", "AUSTRIA", "АВСТРІЯ", "АВСТРИЯ"],
+    "FI": ["FI", "FIN", "FINLAND", "ФІНЛЯНДІЯ", "ФИНЛЯНДИЯ"],
+    "LV": ["LV", "LVA", "LATVIA", "ЛАТВІЯ", "ЛАТВИЯ"],
+    "LT": ["LT", "LTU", "LITHUANIA", "ЛИТВА"],
+    "EE": ["EE", "EST", "ESTONIA", "ЕСТОНІЯ", "ЭСТОНИЯ"],
+    "HU": ["HU", "HUN", "HUNGARY", "УГОРЩИНА", "ВЕНГРИЯ"],
+    "RO": ["RO", "ROU", "ROMANIA", "РУМУНІЯ", "РУМЫНИЯ"],
+    "BG": ["BG", "BGR", "BULGARIA", "БОЛГАРІЯ", "БОЛГАРИЯ"],
 }
 
 #: Spellings of currencies and weight units by their key, as text keys.
@@ -78,7 +78,7 @@ def _lookup(key: Column, names: dict[str, list[str]]) -> Column:
 
 def country_key(c: Column) -> Column:
     key = alphanumeric_upper(c)
-    known = _lookup(key, {to: names.split() for to, names in COUNTRIES.items()})
+    known = _lookup(key, COUNTRIES)
     return F.when(key.isin(NO_COUNTRY), F.lit("")).otherwise(F.coalesce(known, key))
 
 

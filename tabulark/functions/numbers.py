@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def _whole(mark: str) -> str:
 _LONE = _shape(r"([1-9][0-9]{0,2})[.,]([0-9]{3})")
 
 
+def reads_as_number(text: str) -> bool:
+    """Whether num_value of a text is a number, by the same patterns; for samples on the driver."""
+    text = text.strip()
+    if re.search(_SCIENTIFIC, text):
+        return True
+    forms = (_LONE, _decimal(".", ","), _decimal(",", "."), _whole("."), _whole(","))
+    return not re.search(_BROKEN_SCIENTIFIC, text) and any(re.search(f, text) for f in forms)
+
+
 def num_value(c: Column, grouped: bool = False) -> Column:
     """The number a text says, or null.
 

@@ -24,9 +24,10 @@ SCALARS: dict[str, tuple[Callable[[Column], Column], str]] = {
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Registers each scalar, cyr_contains(text, lowered part), extra_values_text and the percentile and median aggregates.
+    """Registers each scalar, cyr_contains(text, lowered part), extra_values_text and pctl_num(text, i): the i-th of numbers between `|`.
 
-    Python never runs on executors: bodies are the SQL text of the same expressions.
+    Python never runs on executors: bodies are the SQL text of the same expressions.  Medians and
+    percentiles with linear interpolation are Spark's own aggregates `median` and `percentile`.
     """
     for name, (build, kind) in SCALARS.items():
         # The analysed expression knows its own SQL text.
@@ -35,3 +36,4 @@ def register_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS {kind} RETURN {body}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION cyr_contains(x STRING, part STRING) RETURNS BOOLEAN RETURN coalesce(contains(lower(x), part), false)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION extra_values_text(x ARRAY<STRUCT<header: STRING, value: STRING>>) RETURNS STRING RETURN array_join(transform(coalesce(x, array()), p -> p.value), ' ')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION pctl_num(x STRING, i INT) RETURNS DOUBLE RETURN try_cast(get(split(x, '[|]'), i) AS DOUBLE)")

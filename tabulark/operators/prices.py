@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..functions.numbers import safe_ratio
 from ..schema import PRICES
-
-def quartiles(price: Column) -> Column:
-    """[p25, median, p75] of finite prices, exact; null without any."""
-    finite = F.when(F.abs(price) < float("inf"), price)
-    return F.percentile(finite, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+from .quantiles import POINTS, quartiles_by
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """A row for each price kind: count, mean, extremes, weighted mean and quartiles, in one pass.
+    """A row for each price kind: count, mean, extremes, weighted mean and quartiles.
 
     Weights are the net weight, but the quantity for prices by extra unit and the gross weight for
     prices by gross weight.
@@ -30,23 +26,26 @@ def metrics(rows: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(kind).alias("kind"), F.count(price).alias("count"), F.coalesce(F.avg(price), F.lit(0.0)).alias("average"),
                 F.coalesce(F.min(price), F.lit(0.0)).alias("minimum"), F.coalesce(F.max(price), F.lit(0.0)).alias("maximum"),
-                F.coalesce(F.sum(F.when(use, price * weight)), F.lit(0.0)).alias("pw"), F.coalesce(F.sum(F.when(use, weight)), F.lit(0.0)).alias("w"), quartiles(price).alias("q"),
+                F.coalesce(F.sum(F.when(use, price * weight)), F.lit(0.0)).alias("pw"), F.coalesce(F.sum(F.when(use, weight)), F.lit(0.0)).alias("w"),
             )
         )
     out = rows.agg(*[s.alias(f"m{i}") for i, s in enumerate(one)]).select(F.explode(F.array(*[f"m{i}" for i in range(len(one))])).alias("m")).select("m.*")
-    at = lambda i: F.coalesce(F.get("q", F.lit(i)), F.lit(0.0))
-    return out.select("kind", "count", "average", "minimum", "maximum", safe_ratio(F.col("pw"), F.col("w")).alias("weighted_average"), at(0).alias("p25"), at(1).alias("median"), at(2).alias("p75"))
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), price.alias("price")) for kind, (price, _) in kinds.items()])).alias("x")).select("x.*")
+    found = quartiles_by(each, ["kind"], "price")
+    return out.join(F.broadcast(found), "kind", "left").select(  # a row a kind
+        "kind", "count", "average", "minimum", "maximum", safe_ratio(F.col("pw"), F.col("w")).alias("weighted_average"), *[F.coalesce(q, F.lit(0.0)).alias(q) for q in POINTS]
+    )
 
 
 def cohorts(rows: DataFrame) -> DataFrame:
     """Value per kilogram for each known currency, never mixed."""
     priced = rows.filter(F.col("value").isNotNull() & (F.col("net_kg") > 0) & keys.is_known(F.col("currency_key")))
-    price = F.col("value") / F.col("net_kg")
-    out = priced.select("currency_key", "unit_key", "value", "net_kg", price.alias("price")).groupBy(F.col("currency_key").alias("currency")).agg(
+    priced = priced.select(F.col("currency_key").alias("currency"), "unit_key", "value", "net_kg", (F.col("value") / F.col("net_kg")).alias("price"))
+    out = priced.groupBy("currency").agg(
         F.count("*").alias("samples"), F.avg("price").alias("average"), F.min("price").alias("minimum"), F.max("price").alias("maximum"),
-        (F.sum("value") / F.sum("net_kg")).alias("weighted_average"), quartiles(F.col("price")).alias("q"), F.array_join(F.array_sort(F.collect_set("unit_key")), ",").alias("units"),
+        (F.sum("value") / F.sum("net_kg")).alias("weighted_average"), F.array_join(F.array_sort(F.collect_set("unit_key")), ",").alias("units"),
     )
-    return out.select("currency", "samples", "average", "minimum", "maximum", "weighted_average", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "median", "p75"))], "units")
+    return out.join(quartiles_by(priced, ["currency"], "price"), "currency", "left").select("currency", "samples", "average", "minimum", "maximum", "weighted_average", *POINTS, "units")
 
 
 def box_bounds(stats: DataFrame) -> DataFrame:

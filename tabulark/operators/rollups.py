@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..plans.query import Query
-from . import measures, prices
+from ..storage import read_text, write_text
+from . import measures
+from .quantiles import quartiles_by
 from .series import section_label
 
 KINDS = ("recipients", "senders", "companies", "trademarks", "product_groups", "origin_countries", "dispatch_countries", "trade_countries")
@@ -89,21 +91,26 @@ def price_baselines(gold: DataFrame) -> DataFrame:
     priced = gold.filter(F.col("value").isNotNull() & (F.col("net_kg") > 0) & keys.is_known(F.col("currency_key")))
     kind = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("label"))
     kinds = F.array(kind("all", F.lit("")), kind("product_code", F.col("product_code_label")), kind("trademark", F.col("trademark_label")), kind("origin_country", F.col("origin_country_key")))
-    x = expanded(priced).select("scope", "year_key", "currency_key", "unit_key", "value", "net_kg", (F.col("value") / F.col("net_kg")).alias("price"), F.explode(kinds).alias("k"))
-    out = x.filter((F.col("k.kind") == "all") | (F.col("k.label") != "")).groupBy("scope", "year_key", F.col("k.kind").alias("kind"), F.col("k.label").alias("label"), F.col("currency_key").alias("currency"), F.col("unit_key").alias("unit")).agg(
-        F.count("*").alias("samples"), F.avg("price").alias("average"), F.min("price").alias("minimum"), F.max("price").alias("maximum"), (F.sum("value") / F.sum("net_kg")).alias("weighted_average"), prices.quartiles(F.col("price")).alias("q"),
+    x = expanded(priced).select("scope", "year_key", F.col("currency_key").alias("currency"), F.col("unit_key").alias("unit"), "value", "net_kg", (F.col("value") / F.col("net_kg")).alias("price"), F.explode(kinds).alias("k"))
+    x = x.select("scope", "year_key", F.col("k.kind").alias("kind"), F.col("k.label").alias("label"), "currency", "unit", "value", "net_kg", "price").filter("kind = 'all' OR label <> ''")
+    group = ["scope", "year_key", "kind", "label", "currency", "unit"]
+    out = x.groupBy(*group).agg(
+        F.count("*").alias("samples"), F.avg("price").alias("average"), F.min("price").alias("minimum"), F.max("price").alias("maximum"), (F.sum("value") / F.sum("net_kg")).alias("weighted_average"),
     )
-    return out.select(*[c for c in out.columns if c != "q"], *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "median", "p75"))])
+    return out.join(quartiles_by(x, group, "price").drop("n"), group, "left")
 
 
 BUILD = {"overview": overview, "monthly": monthly, "currencies": currencies, "sections": sections, "price_baselines": price_baselines}
 
 
-def build(gold: DataFrame, where: str) -> None:
-    """Writes all rollups and checks that they count every row."""
+def build(gold: DataFrame, where: str, version: str = "") -> None:
+    """Writes all rollups, checks that they count every row, and last the version of the gold table that they are of."""
+    spark = gold.sparkSession
+    write_text(spark, f"{where}/version", None)  # none while tables are replaced
     for name, make in BUILD.items():
         make(gold).write.mode("overwrite").parquet(f"{where}/{name}")
-    validate(gold, gold.sparkSession.read.parquet(f"{where}/overview"))
+    validate(gold, spark.read.parquet(f"{where}/overview"))
+    write_text(spark, f"{where}/version", version)
 
 
 def validate(gold: DataFrame, rolled: DataFrame) -> None:
@@ -118,9 +125,9 @@ def eligible(q: Query) -> bool:
     return not q.text.strip() and q.advanced is None and q.snapshot is None and not any(v.strip() for k, v in q.filters.items() if k != "year")
 
 
-def route(spark: SparkSession, where: str | None, q: Query) -> str:
-    """`rollups` where they answer the query safely, else `rows`."""
-    if where is None or not eligible(q):
+def route(spark: SparkSession, where: str, q: Query, version: str = "") -> str:
+    """`rollups` where they are of this version of the gold table and answer the query safely, else `rows`."""
+    if not eligible(q) or read_text(spark, f"{where}/version") != version:
         return "rows"
     year = int(q.filters.get("year") or 0)
     mode = spark.read.parquet(f"{where}/overview").filter((F.col("scope") == q.scope) & (F.col("year_key") == year)).select("monetary_mode", "weight_mode").first()

@@ -70,6 +70,21 @@ def section(rows: DataFrame, kind: str, limit: int = 10, hs_level: int = 4) -> D
     )
 
 
+#: What a ranking can be sorted by, and its column.
+GROUP_SORTS = {
+    "label": "label", "rows": "rows", "declarations": "declarations", "companies": "companies", "value": "total_value", "net": "total_net",
+    "gross": "total_gross", "quantity": "total_quantity", "share": "share_percent", "value_per_kg": "value_per_net",
+}
+
+
+def sorted_groups(groups: DataFrame, by: str = "value", descending: bool = True) -> DataFrame:
+    """A ranking (already cut to its top) in another order; labels without case, equals by label."""
+    if by not in GROUP_SORTS:
+        raise ValueError(f"unknown sort: {by}")
+    c = F.lower("label") if by == "label" else F.col(GROUP_SORTS[by])
+    return groups.orderBy(c.desc() if descending else c.asc(), F.lower("label"), "label")
+
+
 def trend(series: DataFrame, value: str = "total_value", last: int | None = None) -> DataFrame:
     """A month series with change on the month before it, on the same month a year before, and running and peak totals.
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import csv
 import io
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import blank, trimmed
 from .detection import HEADER_ROWS, MOST_COLUMNS, SAMPLE_ROWS
 
 DELIMITERS = "\t;,|"
@@ -42,19 +44,26 @@ def sniff(text: str, extension: str = "csv") -> str:
 
 
 def first_rows(text: str, delimiter: str, n: int = HEADER_ROWS + SAMPLE_ROWS) -> list[list[str]]:
-    return [r for r, _ in zip(csv.reader(io.StringIO(text), delimiter=delimiter), range(n))]
+    """The first records that have a value; the others aren't numbered."""
+    filled = (r for r in csv.reader(io.StringIO(text), delimiter=delimiter) if any(c.strip() for c in r))
+    return [r for r, _ in zip(filled, range(n))]
 
 
 def read(spark: SparkSession, path: str, delimiter: str, least_width: int = 1) -> DataFrame:
-    """All records as text columns c0, c1, ..., as wide as the widest, with their order in `line`.
+    """All records that have a value as text columns c0, c1, ..., as wide as the widest, with their order in `line`.
 
-    A first pass finds the greatest width, as columns may first appear far below; quoted
-    line breaks are read too, so a file is one task: split large exports into several files.
+    A first pass finds the greatest width, as columns may first appear far below, and whether
+    a quoted cell has a line break.  Without any, a file is read in splits; with them it is one task.
     """
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false"}
     raw = spark.read.text(path)
-    quoted = F.regexp_replace("value", '"[^"]*"', "")
-    widest = raw.select(F.max(F.length(quoted) - F.length(F.replace(quoted, F.lit(delimiter))))).first()[0]
-    width = min(max((widest or 0) + 1, least_width), MOST_COLUMNS)
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    shape = raw.agg(
+        F.max(F.length(bare) - F.length(F.replace(bare, F.lit(delimiter)))).alias("widest"),
+        F.count_if((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).alias("broken"),
+    ).first()
+    width = min(max((shape["widest"] or 0) + 1, least_width), MOST_COLUMNS)
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(shape["broken"] > 0).lower(), "mode": "PERMISSIVE", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false"}
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    return spark.read.options(**options).schema(schema).csv(path).select(F.monotonically_increasing_id().alias("line"), "*")
+    records = spark.read.options(**options).schema(schema).csv(path)
+    filled = reduce(lambda a, b: a | b, [trimmed(blank(F.col(c))) != "" for c in records.columns])
+    return records.filter(filled).select(F.monotonically_increasing_id().alias("line"), "*")

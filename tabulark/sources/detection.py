@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+from ..functions.numbers import reads_as_number
 from ..schema import SourceColumn, TableShape
 
 HEADER_ROWS, SAMPLE_ROWS = 50, 8
@@ -14,25 +15,25 @@ MOST_COLUMNS = 16_384
 
 #: Names of columns by meaning, in English, Ukrainian and Russian. Weak ones also need fitting samples.
 ALIASES = {
-    "date": "date, order date, document date, declaration date, clearance date, invoice date, дата, дата документа, дата декларації, дата оформлення, дата мд",
-    "declaration_number": "declaration, declaration no, declaration number, document no, document number, invoice no, invoice number, номер декларації, номер декларации, номер мд, номер документа",
-    "company_code": "company code, company id, recipient code, buyer code, importer code, edrpou, єдрпоу, едрпоу, код єдрпоу, код компанії, код компании",
-    "sender": "sender, supplier, exporter, shipper, seller, відправник, отправитель",
-    "recipient": "recipient, receiver, buyer, customer, importer, consignee, одержувач, отримувач, покупець, получатель, покупатель",
-    "product_code": "sku, article, article no, product code, item code, goods code, commodity code, hs, hs code, uktzed, tnved, артикул, артикул товару, код товару, код товара, код уктзед",
-    "description": "description, product description, product name, item description, item name, goods description, goods name, опис, опис товару, опис позиції, назва товару, описание товара",
-    "trademark": "brand, brand name, trademark, trade mark, бренд, торгова марка, торговая марка",
-    "country": "country, країна, страна",
-    "origin_country": "origin, origin country, country of origin, країна походження, страна происхождения",
-    "dispatch_country": "dispatch country, country of dispatch, ship from, shipping country, departure country, країна відправлення, страна отправления",
-    "trade_country": "trade country, trading country, seller country, торгуюча країна, країна торгівлі, торгующая страна",
-    "quantity": "quantity, qty, count, units, кількість, количество",
-    "net_weight": "net kg, net weight, net weight kg, weight net, вага нетто, нетто кг, вес нетто",
-    "gross_weight": "gross kg, gross weight, gross weight kg, weight gross, вага брутто, брутто кг, вес брутто",
-    "value": "value, value usd, amount, amount usd, total value, total amount, invoice value, customs value, сума, сума рахунку, вартість, фв вал контр, сумма, стоимость",
-    "currency": "currency, currency code, ccy, валюта, код валюти, код валюты",
-    "weight_unit": "weight unit, net weight unit, mass unit, weight uom, одиниця ваги, единица веса",
-    "rfv": "рфв дол кг, rfv usd kg",
+    "date": ["date", "order date", "document date", "declaration date", "clearance date", "invoice date", "дата", "дата документа", "дата декларації", "дата оформлення", "дата мд"],
+    "declaration_number": ["declaration", "declaration no", "declaration number", "document no", "document number", "invoice no", "invoice number", "номер декларації", "номер декларации", "номер мд", "номер документа"],
+    "company_code": ["company code", "company id", "recipient code", "buyer code", "importer code", "edrpou", "єдрпоу", "едрпоу", "код єдрпоу", "код компанії", "код компании"],
+    "sender": ["sender", "supplier", "exporter", "shipper", "seller", "відправник", "отправитель"],
+    "recipient": ["recipient", "receiver", "buyer", "customer", "importer", "consignee", "одержувач", "отримувач", "покупець", "получатель", "покупатель"],
+    "product_code": ["sku", "article", "article no", "product code", "item code", "goods code", "commodity code", "hs", "hs code", "uktzed", "tnved", "артикул", "артикул товару", "код товару", "код товара", "код уктзед"],
+    "description": ["description", "product description", "product name", "item description", "item name", "goods description", "goods name", "опис", "опис товару", "опис позиції", "назва товару", "описание товара"],
+    "trademark": ["brand", "brand name", "trademark", "trade mark", "бренд", "торгова марка", "торговая марка"],
+    "country": ["country", "країна", "страна"],
+    "origin_country": ["origin", "origin country", "country of origin", "країна походження", "страна происхождения"],
+    "dispatch_country": ["dispatch country", "country of dispatch", "ship from", "shipping country", "departure country", "країна відправлення", "страна отправления"],
+    "trade_country": ["trade country", "trading country", "seller country", "торгуюча країна", "країна торгівлі", "торгующая страна"],
+    "quantity": ["quantity", "qty", "count", "units", "кількість", "количество"],
+    "net_weight": ["net kg", "net weight", "net weight kg", "weight net", "вага нетто", "нетто кг", "вес нетто"],
+    "gross_weight": ["gross kg", "gross weight", "gross weight kg", "weight gross", "вага брутто", "брутто кг", "вес брутто"],
+    "value": ["value", "value usd", "amount", "amount usd", "total value", "total amount", "invoice value", "customs value", "сума", "сума рахунку", "вартість", "фв вал контр", "сумма", "стоимость"],
+    "currency": ["currency", "currency code", "ccy", "валюта", "код валюти", "код валюты"],
+    "weight_unit": ["weight unit", "net weight unit", "mass unit", "weight uom", "одиниця ваги", "единица веса"],
+    "rfv": ["рфв дол кг", "rfv usd kg"],
 }
 WEAK = {"country", "quantity", "value"}
 #: Long starts of headers that say the meaning whatever follows.
@@ -50,7 +51,7 @@ def plain(header: str) -> str:
     return "".join(c for c in header.lstrip("﻿").lower() if c.isalnum())
 
 
-_MEANING = {plain(a): meaning for meaning, names in ALIASES.items() for a in names.split(",")}
+_MEANING = {plain(a): meaning for meaning, names in ALIASES.items() for a in names}
 
 
 def clean(cell: str | None) -> str:
@@ -69,13 +70,16 @@ def meaning_of(header: str) -> str | None:
 
 
 def is_number(cell: str) -> bool:
-    """A number in any of the forms that values are read in later."""
-    return bool(re.fullmatch(r"[^0-9.,+'’-]*[+-]?[.,]?[0-9](?:[0-9.,\s'’]*[0-9])?[^0-9.,+'’-]*", cell.strip())) or bool(re.fullmatch(r"[+-]?[0-9]+([.,][0-9]+)?[eE][+-]?[0-9]+", cell.strip()))
+    """A bare number, which a header seldom is: digits with spaces, one point or comma, and perhaps an exponent."""
+    bare = re.sub("[ \u00a0\u202f]", "", cell.strip()).replace(",", ".")
+    return bool(re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", bare))
 
 
 def is_label(cell: str) -> bool:
+    """Up to 120 characters with letters, at least as many as digits."""
     text = clean(cell)
-    return bool(text) and len(text) <= 120 and any(c.isalpha() for c in text) and not re.fullmatch(r"[0-9./:\- ]+", text)
+    letters = sum(c.isalpha() for c in text)
+    return 0 < letters >= sum(c in "0123456789" for c in text) and len(text) <= 120
 
 
 def width(row: list[str]) -> int:
@@ -141,7 +145,7 @@ def _meanings(headers: list[str], samples: list[list[str]]) -> tuple[dict[int, s
     for i, h in enumerate(headers):
         meaning = meaning_of(h)
         if meaning in WEAK:
-            fits = is_number if meaning != "country" else lambda v: any(c.isalpha() for c in v) and len(v) <= 60
+            fits = reads_as_number if meaning != "country" else lambda v: any(c.isalpha() for c in v) and len(v) <= 60
             if _share(values(i), fits) < 0.7:
                 continue
         if meaning:

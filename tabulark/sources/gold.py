@@ -104,6 +104,11 @@ def with_keys(base: DataFrame) -> DataFrame:
     )
 
 
+def derived_columns() -> list[str]:
+    """What with_keys adds."""
+    return ["month", *[f"{c}_label" for c in LABELS], *[f"{c}_key" for c in (*COUNTRIES, "country")], "currency_key", "unit_key", "tokens", "year", "net_kg", "gross_kg"]
+
+
 def mark_duplicates(rows: DataFrame) -> DataFrame:
     """is_canonical: the first row (by id) of each content in a schema; first_file: that row's file.
 
@@ -116,9 +121,19 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
     ).drop("first")
 
 
-def mark_against(rows: DataFrame, history: DataFrame) -> DataFrame:
-    """Gold rows that come after the canonical rows of an existing gold table: known contents are duplicates of those."""
+#: So many row hashes of an import at most (40 bytes each) are sent to where the history is read; more are shuffled.
+SENT_HASHES = 1_000_000
+
+
+def mark_against(rows: DataFrame, history: DataFrame, n: int | None = None) -> DataFrame:
+    """Gold rows that come after the canonical rows of an existing gold table: known contents are duplicates of those.
+
+    n: the number of rows, where it is known to be small the history is not shuffled.
+    """
+    wanted = rows.select("schema_id", "row_hash").distinct()
     known = history.filter("is_canonical").select("schema_id", "row_hash", F.struct("id", "source_file").alias("old"))
+    if n is not None and n <= SENT_HASHES:
+        known = known.join(F.broadcast(wanted), ["schema_id", "row_hash"], "left_semi")
     marked = rows.join(known, ["schema_id", "row_hash"], "left")
     return marked.withColumns({
         "is_canonical": F.col("is_canonical") & F.col("old").isNull(),
@@ -126,7 +141,6 @@ def mark_against(rows: DataFrame, history: DataFrame) -> DataFrame:
     }).drop("old")
 
 
-
 def detect_currency(gold: DataFrame, least: int = 30, agreement: float = 0.95, tolerance: float = 0.02) -> DataFrame:
     """(schema_id, comparable, agreement, currency): USD where values agree with reference price x weight.
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import dates, text
 from ..schema import PRICES, SEMANTICS
-from ..storage import separate_projections
+from ..storage import read_text, separate_projections, write_text
 from . import delimited, detection, gold, workbook
 
-EXTENSIONS = ("csv", "tsv", "txt", "xlsx", "xlsm", "ods")
+WORKBOOKS = ("xlsx", "xlsm", "ods")
+EXTENSIONS = ("csv", "tsv", "txt", *WORKBOOKS)
 
 
 @dataclass
@@ -74,10 +76,18 @@ def preview(spark: SparkSession, path: str) -> list[Preview]:
     return out
 
 
-def to_raw(records: DataFrame, table: detection.DetectedTable, name: str, schema_id: int, first_id: int = 0, currency: str | None = None, weight_unit: str | None = None) -> DataFrame:
-    """Raw rows of meaning columns and extra pairs; rows without any value are dropped."""
+def to_raw(records: DataFrame, table: detection.DetectedTable, name: str, schema_id: int, first_id: int = 0, currency: str | None = None, weight_unit: str | None = None, serial_dates: bool = False) -> DataFrame:
+    """Raw rows of meaning columns and extra pairs; rows without any value are dropped.
+
+    serial_dates: numbers in columns of dates are day numbers of a workbook.
+    """
     names = [c for c in records.columns if c != "line"]
-    cell = lambda i: text.collapse_spaces(text.blank(F.col(f"c{i}")))
+    dated = {i for i in range(len(names)) if table.meanings.get(i) == "date" or i < len(table.headers) and i not in table.meanings and detection.role(table.headers[i]) == "date"} if serial_dates else set()
+
+    def cell(i: int) -> Column:
+        plain = text.collapse_spaces(text.blank(F.col(f"c{i}")))
+        return F.coalesce(dates.excel_date(plain), plain) if i in dated else plain
+
     columns: dict[str, Column] = {}
     for i, meaning in table.meanings.items():
         if meaning != "declaration_number":
@@ -120,47 +130,81 @@ def quality(records: DataFrame, table: detection.DetectedTable) -> dict:
 
 
 def content_hash(spark: SparkSession, path: str) -> str:
-    """A hash of a file's bytes, made where they are read."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).first()["h"]
+    """SHA-256 of a file's bytes, read as a stream."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def saved_profiles(spark: SparkSession, where: str) -> dict[str, dict[int, str | None]]:
+    """Meanings by hand that are kept for a layout, by its signature; of several for one layout none is used."""
+    by_layout: dict[str, list[dict]] = {}
+    for p in json.loads(read_text(spark, f"{where}/profiles.json") or "{}").values():
+        by_layout.setdefault(p["signature"], []).append({int(i): m for i, m in p["meanings"].items()})
+    return {layout: found[0] for layout, found in by_layout.items() if len(found) == 1}
+
+
+def save_profile(spark: SparkSession, where: str, name: str, headers: list[str], meanings: dict[int, str | None]) -> None:
+    """Keeps meanings for the ordered layout of these headers under a name; without meanings the name is removed."""
+    known = json.loads(read_text(spark, f"{where}/profiles.json") or "{}")
+    known.pop(name, None)
+    if meanings:
+        known[name] = {"signature": detection.signature(headers), "meanings": {str(i): m for i, m in meanings.items()}}
+    write_text(spark, f"{where}/profiles.json", json.dumps(known, ensure_ascii=False))
+
+
+def gold_table(spark: SparkSession, where: str) -> DataFrame:
+    """The gold rows of all logged imports.  Each import writes one part, which its log entry makes visible."""
+    last = _log(spark, where).agg(F.max("part")).first()[0]
+    return spark.read.parquet(f"{where}/gold").filter(F.col("part") <= last)
 
 
 def import_file(spark: SparkSession, path: str, where: str, options: ImportOptions | None = None, profiles: dict[str, dict[int, str | None]] | None = None) -> dict:
-    """Appends a file to the gold table at `where`/gold and to its log; a file seen before is skipped.
+    """Adds a file to the gold table at `where`/gold and to its log; a file seen before is skipped.
 
-    profiles: saved meanings by layout signature, used where no choice is given by hand.
+    profiles: saved meanings by layout signature, used where no choice is given by hand (those saved in the store if None).  An
+    import that stops half-way leaves a part without a log entry, which the next one overwrites.
     """
     options = options or ImportOptions()
     mark = content_hash(spark, path)
+    fixed = f"{options.currency}|{options.weight_unit}|{sorted(options.meanings.items())}"
     log = _log(spark, where)
-    if log is not None and not log.filter((F.col("hash") == mark) & (F.col("fixed") == f"{options.currency}|{options.weight_unit}|{sorted(options.meanings.items())}")).isEmpty():
+    seen = [] if log is None else [r.asDict() for r in log.select("hash", "fixed", "name", "signature", "schema_id", "last_id", "part").collect()]  # a row a source
+    done = {r["name"] for r in seen if (r["hash"], r["fixed"]) == (mark, fixed)}
+    schemas, report = {r["signature"]: r["schema_id"] for r in seen}, {"skipped": False, "sources": []}
+    first_id, part = max((r["last_id"] for r in seen), default=-1) + 1, max((r["part"] for r in seen), default=-1) + 1
+    profiles = saved_profiles(spark, where) if profiles is None else profiles
+    sources = _records(spark, path, options)
+    if done and (len(sources) == 1 or done >= {name for name, *_ in sources}):
         return {"skipped": True}
-    known = [] if log is None else [(r["signature"], r["schema_id"]) for r in log.select("signature", "schema_id").distinct().collect()]
-    schemas, report = dict(known), {"skipped": False, "sources": []}
-    first_id = 0 if log is None else (log.agg(F.max("last_id")).first()[0] or 0) + 1
-    for name, records, rows in _records(spark, path, options):
+    for name, records, rows in sources:
         table = detection.detect_table(rows)
-        if table is None:
+        if table is None or name in done:
             continue
         layout = detection.signature(table.headers)
-        table = detection.override(table, options.meanings or (profiles or {}).get(layout, {}))
+        table = detection.override(table, options.meanings or profiles.get(layout, {}))
         identity = f"{layout}|{options.currency}|{options.weight_unit}|{sorted(table.meanings.items())}"
         schema_id = schemas.setdefault(identity, len(schemas) + 1)
-        raw = to_raw(records, table, name, schema_id, first_id, options.currency, options.weight_unit)
-        new = gold.to_gold(raw)
-        if log is not None:
-            new = gold.mark_against(new, spark.read.parquet(f"{where}/gold"))
+        raw = to_raw(records, table, name, schema_id, first_id, options.currency, options.weight_unit, path.rsplit(".", 1)[-1].lower() in WORKBOOKS)
         with separate_projections(spark):
-            new = new.persist()
-            new.count()
-        last = new.agg(F.max("id")).first()[0] or first_id
-        counts = {r["is_canonical"]: r["count"] for r in new.groupBy("is_canonical").count().collect()}
-        new.write.mode("append").partitionBy("schema_id").parquet(f"{where}/gold")
+            new = gold.to_gold(raw).persist()
+            n = new.count()
+        marked = new if part == 0 else gold.mark_against(new, gold_table(spark, where).filter(F.col("schema_id") == schema_id), n)
+        marked = marked.persist()
+        last = marked.agg(F.max("id")).first()[0] or first_id
+        counts = {r["is_canonical"]: r["count"] for r in marked.groupBy("is_canonical").count().collect()}
+        marked.drop("part").write.mode("overwrite").partitionBy("schema_id").parquet(f"{where}/gold/part={part}")
+        marked.unpersist()
         new.unpersist()
         q = quality(records, table)
         report["sources"].append({"name": name, "schema_id": schema_id, "inserted": counts.get(True, 0), "duplicates": counts.get(False, 0), **q})
-        entry = (name, mark, f"{options.currency}|{options.weight_unit}|{sorted(options.meanings.items())}", identity, schema_id, int(last), q["rows"])
-        spark.createDataFrame([entry], "name string, hash string, fixed string, signature string, schema_id int, last_id long, rows long").coalesce(1).write.mode("append").parquet(f"{where}/log")
-        log, first_id = _log(spark, where), int(last) + 1
+        entry = (name, mark, fixed, identity, schema_id, int(last), q["rows"], part)
+        spark.createDataFrame([entry], "name string, hash string, fixed string, signature string, schema_id int, last_id long, rows long, part int").coalesce(1).write.mode("append").parquet(f"{where}/log")
+        first_id, part = int(last) + 1, part + 1
     return report
 
 

@@ -24,6 +24,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return where
 
 
+def _file(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark: SparkSession, where: str, content: bytes) -> None:
+    """A small file in any store that Spark writes."""
+    path, fs = _file(spark, where)
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def write_text(spark: SparkSession, where: str, text: str | None) -> None:
+    """A small text file; None removes it."""
+    if text is None:
+        path, fs = _file(spark, where)
+        fs.delete(path, False)
+    else:
+        write_bytes(spark, where, text.encode())
+
+
+def read_text(spark: SparkSession, where: str) -> str | None:
+    """The text of a small file, None if it isn't there."""
+    path, fs = _file(spark, where)
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return bytes(b & 0xFF for b in stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 @contextmanager
 def separate_projections(spark: SparkSession) -> Iterator[None]:
     """Imports parse dozens of columns at once, more than one generated method holds; apart, each projection is compiled."""

@@ -19,12 +19,19 @@ def ingest_stream(spark: SparkSession, source: str, schema, where: str, checkpoi
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        part = f"{where}/batch={number}"
-        new = gold.to_gold(batch)
-        if number:
-            old = spark.read.parquet(*[f"{where}/batch={i}" for i in range(number)])
-            new = gold.mark_against(new, old)
-        new.write.mode("overwrite").parquet(part)
+        new = gold.to_gold(batch).persist()
+        n = new.count()
+        marked = new
+        if number and batches_before(number):
+            # Only the hash columns of earlier canonical rows are read, and only those of this batch's contents are kept.
+            marked = gold.mark_against(new, spark.read.parquet(where).filter(F.col("batch") < number), n)
+        marked.drop("batch").write.mode("overwrite").parquet(f"{where}/batch={number}")
+        new.unpersist()
+
+    def batches_before(number: int) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.exists(path) and any(int(f.getPath().getName().partition("=")[2] or number) < number for f in fs.listStatus(path))
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,3 +1,6 @@
+import pytest
+
+from tabulark.__main__ import main
 from tabulark.engine import Engine
 from tabulark.plans.query import Condition, Query
 
@@ -24,5 +27,33 @@ def test_engine_from_import_to_report(spark, tmp_path):
     assert engine.schemas().first()["name"] == "t.csv"
     engine.compact(2)
     assert engine.count(q) == 60
+    assert engine.overview_row(q)[1] == "rows"  # rewritten
+    engine.build_rollups()
+    assert engine.overview_row(q)[1] == "rollups"
+    before = {r["id"]: (r["month"], r["net_kg"], r["tokens"]) for r in engine.gold.collect()}
+    engine.backfill()
+    assert {r["id"]: (r["month"], r["net_kg"], r["tokens"]) for r in engine.gold.collect()} == before and engine.overview_row(q)[1] == "rows"
+    assert tuple(engine.stats().first()) == (1, 60, 0, 1) and engine.stored_bytes()["gold"] > 0
+    assert engine.sql("SELECT count(*) AS n FROM records WHERE sender = 'S1'").first()["n"] == "20"
+    with pytest.raises(ValueError):
+        engine.sql("DROP TABLE records")
+    engine.save_query("mine", q)
+    assert engine.saved_query("mine") == q
+    # A rewrite that stopped between its two renames.
+    fs, path = engine._fs()
+    fs.rename(path(f"{engine.where}/gold"), path(f"{engine.where}/gold-old"))
+    assert Engine(spark, engine.where).count(q) == 60
     engine.clear()
     assert not engine._exists("gold")
+
+
+def test_saved_profiles_and_commands(spark, tmp_path, capsys):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    engine.save_profile("items", ["Item", "Amount"], {0: "description"})
+    (tmp_path / "p.csv").write_text("Item,Amount\nbolt,10\nnut,20\n")
+    assert main([engine.where, "import", f"file://{tmp_path}/p.csv"]) == 0
+    assert engine.gold.orderBy("id").first()["description"] == "bolt"
+    for args in (["count", "bolt"], ["search", "nut"], ["sql", "SELECT 7 AS seven"], ["stats"]):
+        assert main([engine.where, *args]) == 0
+    out = capsys.readouterr().out
+    assert "\n1\n" in out and "nut" in out and "seven" in out

@@ -14,14 +14,14 @@ def write(path, text, encoding="utf-8"):
 
 
 def test_detection_finds_header_below_a_title():
-    rows = [["Laboratory export", "", ""], ["Order Date", "Supplier", "Amount USD"], ["2024-01-02", "ACME", "1,250"], ["2024-01-03", "Zeta", "2 000"]]
+    rows = [["Warehouse list, spring", "", ""], ["Invoice date", "Shipper", "Total amount"], ["2023-04-11", "Nordholm", "8,100"], ["2023-04-12", "Kaivo", "7 050"]]
     t = detection.detect_table(rows)
     assert t.header_row == 1 and t.meanings == {0: "date", 1: "sender", 2: "value"}
     assert detection.detect_table([[], ["", ""]]) is None
 
 
 def test_detection_of_repeated_headers():
-    rows = [["Одержувач", "Одержувач", "Номер декларації", "Номер декларації", ""], ["12345678", "ТОВ Ромашка", "UA1", "2024", "x"], ["22345678", "ТОВ Липа", "UA2", "2024", "y"]]
+    rows = [["Одержувач", "Одержувач", "Номер декларації", "Номер декларації", ""], ["40800911", "ПП Зоря", "L7", "23", "x"], ["40800912", "ПП Обрій", "L8", "23", "y"]]
     t = detection.detect_table(rows)
     assert t.headers == ["Одержувач", "Одержувач (2)", "Номер декларації", "Номер декларації (2)", "Column 5"]
     assert t.meanings == {0: "company_code", 1: "recipient", 2: "declaration_number", 3: "declaration_number"}
@@ -31,6 +31,13 @@ def test_weak_names_need_fitting_samples():
     assert detection.detect_table([["Amount", "Label"], ["many", "a"], ["few", "b"]]).meanings == {}
 
 
+def test_labels_and_numbers_of_headers():
+    assert detection.is_label("Net weight, kg") and not detection.is_label("24UA100110000101U1") and not detection.is_label("2024") and not detection.is_label("x" * 121)
+    assert detection.is_number("1 250,5") and detection.is_number("-3e2") and not detection.is_number("1.2.3") and not detection.is_number("1,,234") and not detection.is_number("12 kg")
+    # Weak names are confirmed by what values are read as later.
+    assert detection.detect_table([["Amount", "Label"], ["1.234,56", "a"], ["1 200.75 USD", "b"]]).meanings == {0: "value"}
+
+
 def test_sniffing():
     assert delimited.sniff("a;b;c\n1;2;3\n") == ";" and delimited.sniff("a\tb\n1\t2\n") == "\t" and delimited.sniff("x\ny\n", "tsv") == "\t"
 
@@ -56,6 +63,49 @@ def test_import_csv_twice_and_dedup(spark, tmp_path):
     assert gold.filter("source_file = 'b.csv' AND NOT is_canonical").select("first_file").distinct().first()[0] == "a.csv"
 
 
+@pytest.mark.parametrize("quoted", ["plain", '"two\nlines"'])
+def test_blank_lines_lose_no_rows(spark, tmp_path, quoted):
+    """Blank lines above the header and between rows, where the file is read in splits and where it isn't."""
+    body = "".join(f"S{i};{i},50;{quoted}\n{chr(10) if i % 3 == 0 else ''}" for i in range(1, 8))
+    where = f"file://{tmp_path}/store"
+    report = ingest.import_file(spark, write(tmp_path / "b.csv", f"\n  \n\nSupplier;Amount;Note\n\n{body}"), where)
+    assert report["sources"][0]["inserted"] == 7 and report["sources"][0]["header_row"] == 1
+    assert sorted(r["sender"] for r in ingest.gold_table(spark, where).collect()) == [f"S{i}" for i in range(1, 8)]
+
+
+def test_a_file_in_splits(spark, tmp_path):
+    where = f"file://{tmp_path}/store"
+    path = write(tmp_path / "large.csv", "Title\n\nSupplier,Amount\n" + "".join(f"S{i},{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 10_000)
+    try:
+        records = delimited.read(spark, path, ",")
+        assert records.rdd.getNumPartitions() > 1
+        assert ingest.import_file(spark, path, where)["sources"][0]["inserted"] == 5000
+        gold = ingest.gold_table(spark, where)
+        assert [r["sender"] for r in gold.orderBy("id").limit(3).collect()] == ["S0", "S1", "S2"] and gold.select("id").distinct().count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_an_import_without_a_log_entry_is_not_seen(spark, tmp_path):
+    """Gold rows that a stopped import left behind are overwritten by the next one."""
+    where = f"file://{tmp_path}/store"
+    ingest.import_file(spark, write(tmp_path / "a.csv", CSV), where)
+    spark.read.parquet(f"{where}/gold/part=0").write.partitionBy("schema_id").parquet(f"{where}/gold/part=1")
+    assert ingest.gold_table(spark, where).count() == 3
+    ingest.import_file(spark, write(tmp_path / "b.csv", CSV.replace("N1", "N9")), where)
+    gold = ingest.gold_table(spark, where)
+    assert gold.count() == 6 and gold.filter("is_canonical").count() == 3
+
+
+def test_serial_dates_of_workbooks(spark, tmp_path):
+    (tmp_path / "s.xlsx").write_bytes(export.xlsx_bytes([("Invoice date", "Supplier", "Amount", "Ship date", "Lot"), (45000, "A", 2, 45000.25, 45000), ("27.11.2023", "B", 3, "later", 7)]))
+    ingest.import_file(spark, f"file://{tmp_path}/s.xlsx", f"file://{tmp_path}/store")
+    rows = ingest.gold_table(spark, f"file://{tmp_path}/store").orderBy("id").collect()
+    assert [(r["date"], r["month"]) for r in rows] == [("2023-03-15", "2023-03"), ("2023-11-27", "2023-11")]
+    assert [[e["value"] for e in r["extra"]] for r in rows] == [["2023-03-15 06:00:00", "45000"], ["later", "7"]]
+
+
 def test_fixed_values_overrides_and_preview(spark, tmp_path):
     path = write(tmp_path / "p.csv", "Item,Amount,Net weight\nx,10,2\ny,20,4\n")
     preview = ingest.preview(spark, path)[0]
@@ -92,6 +142,8 @@ def test_exports_round_trip(spark, tmp_path):
             export.selected(gold, Query(), bad)
     with pytest.raises(QueryError):
         export.selected(gold, Query(), fields, Sort("nothing"))
+    text = export.table_text(gold.select("product_code", F.lit("a;b").alias("note")).orderBy("product_code"))
+    assert text.startswith("\ufeffproduct_code;note\r\n85;\"a;b\"") and "\r\n'=x;" in text and not export.table_text(gold.select("id"), delimiter="\t").startswith("\ufeff")
     assert "| row_count |" in export.report("R", measures.basis(gold).select("row_count"), {}, measures.basis(gold)).replace("  ", " ")
 
 

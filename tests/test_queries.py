@@ -5,6 +5,7 @@ from tabulark import queries
 from tabulark.operators import rollups, search
 from tabulark.plans.query import Condition, Group, Query, QueryError, code_prefix, filter_terms, text_terms
 from tabulark.plans import compiler
+from tabulark.storage import write_text
 from tabulark.testdata import facts
 
 HEAVY = {"rollup_sections", "rollup_price_baselines"}
@@ -33,11 +34,12 @@ def test_query_json_round_trip_and_limits():
         Query.from_json(Query(advanced=deep).to_json())
 
 
+
 def test_terms():
-    assert text_terms("вино, сок") == [("вино", False), ("сок", False)]
-    assert text_terms("вин*") == [("вин", True)] and text_terms("код 850440") == [("код", False), ("850440", True)]
-    assert filter_terms("JYSK SP Z O O METEORYTOWA 13 GDANSK") == ["JYSK", "METEORYTOWA", "GDANSK"] and filter_terms("S A") == []
-    assert code_prefix("8504") == "8504" and code_prefix("2024") is None and code_prefix("9904") is None
+    assert text_terms("лампа, стіл") == [("лампа", False), ("стіл", False)]
+    assert text_terms("ламп*") == [("ламп", True)] and text_terms("лот 940350") == [("лот", False), ("940350", True)]
+    assert filter_terms("NORDHOLM A B KAIVOKATU 7 TURKU") == ["NORDHOLM", "KAIVOKATU", "TURKU"] and filter_terms("A B") == []
+    assert code_prefix("9403") == "9403" and code_prefix("2019") is None and code_prefix("9804") is None
 
 
 def test_illegal_conditions(spark):
@@ -58,10 +60,12 @@ def test_rollups_route_and_validate(spark, tmp_path):
     gold = facts(spark, SMALL)
     where = f"file://{tmp_path}"
     rollups.overview(gold).write.parquet(f"{where}/overview")
+    write_text(spark, f"{where}/version", "")
     rollups.validate(gold, spark.read.parquet(f"{where}/overview"))
     assert rollups.route(spark, where, Query("text")) == "rows"
     assert rollups.route(spark, where, Query()) == "rows"  # unknown currencies make it unsafe
-    assert rollups.route(spark, None, Query()) == "rows"
+    assert rollups.route(spark, where, Query(), "later") == "rows"
+    assert rollups.route(spark, f"{where}/none", Query()) == "rows"
 
 
 def test_record_and_batches(spark):
@@ -81,3 +85,19 @@ def test_risk_rows_without_limit(spark, monkeypatch):
     out = queries.QUERIES["risk_rows"](spark, SMALL)
     assert asked == [{"limit": None}]
     assert "Limit" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quartiles_of_hot_and_small_groups(spark):
+    """Exact for one value, ties, negative and huge values, and a group of nearly all rows."""
+    import numpy as np
+
+    from tabulark.operators.quantiles import quartiles_by
+
+    rng = np.random.default_rng(1)
+    groups = {"hot": rng.lognormal(3, 2, 20_000), "ties": np.repeat([1.5, 2.5], [7, 2]), "one": np.array([4.0]), "two": np.array([1.0, 2.0]), "signs": np.concatenate((-rng.lognormal(0, 1, 50), np.zeros(9), rng.lognormal(0, 1, 40))), "huge": 10.0 ** rng.uniform(-200, 200, 99)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", float("nan")), ("one", float("inf")), ("one", None), ("none", None)]
+    got = {r["k"]: r for r in quartiles_by(spark.createDataFrame(rows, "k string, v double").repartition(7), ["k"], "v").collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k]["n"] == len(vs) and np.allclose([got[k]["p25"], got[k]["median"], got[k]["p75"]], np.quantile(vs, [0.25, 0.5, 0.75]), rtol=1e-12)
+    assert {r["k"] for r in quartiles_by(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", 9).collect()} == {"hot", "ties", "signs", "huge"}
