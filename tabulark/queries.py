@@ -130,7 +130,7 @@ for _kind, _label in _LABEL_SQL.items():
 for _level in (2, 6, 8, 10):
     query(f"section_product_codes_{_level}", _section_sql(f"substr(product, 1, {_level})"))(lambda g, n=_level: series.section(_canonical(g), "product_codes", hs_level=n))
 for _by, _order in (("label", "lower(label)"), ("companies", "companies"), ("share", "share_percent"), ("value_per_kg", "value_per_net")):
-    query(f"section_sorted_by_{_by}", f"{_section_sql('recipient')} ORDER BY {_order} LIMIT 4")(lambda g, b=_by: series.sorted_groups(series.section(_canonical(g), "recipients"), b, False).limit(4))
+    query(f"section_sorted_by_{_by}", f"{_section_sql('recipient')} ORDER BY {_order}, lower(label), label LIMIT 4")(lambda g, b=_by: series.sorted_groups(series.section(_canonical(g), "recipients"), b, False).limit(4))
 query("section_single_currency", ", u AS (SELECT * FROM f WHERE dispatch_key = 'AFRICA')" + _section_sql("sender", "u", 20))(
     lambda g: series.section(compiler.apply(g, Query(filters={"dispatch_country": "AFRICA"})), "senders", 20)
 )
@@ -312,7 +312,7 @@ SELECT round(count(*) / count(DISTINCT nullif(declaration, '')), 4) AS rows_per_
   greatest(count(DISTINCT nullif(origin_key, '')), count(DISTINCT nullif(dispatch_key, '')), count(DISTINCT nullif(trade_key, ''))) AS most_countries FROM f WHERE dispatch_key = 'AFRICA'""")(
     lambda g: compare.story(compiler.apply(g, Query(filters={"dispatch_country": "AFRICA"})))
 )
-query("company_overview", f", p AS (SELECT * FROM f WHERE company = '00000769') SELECT {_OVERVIEW}, round(coalesce(sum(net_kg), 0), 4) AS total_net_kg, round(coalesce(sum(gross_kg), 0), 4) AS total_gross_kg, round(sum(value) / sum(net), 4) AS value_per_net FROM p")(
+query("company_overview", f", p AS (SELECT * FROM f WHERE company = '00000769') SELECT {_OVERVIEW}, round(coalesce(sum(net_kg), 0), 4) AS total_net_kg, round(coalesce(sum(gross_kg), 0), 4) AS total_gross_kg, coalesce(round(sum(value) / sum(net), 4), 0) AS value_per_net FROM p")(
     lambda g: compare.company_profile(g, "00000769")["overview"]
 )
 query("company_names", "SELECT recipient AS name, count(*) AS rows FROM f WHERE company = '00000769' AND recipient <> '' GROUP BY recipient")(lambda g: compare.company_profile(g, "00000769")["names"])
@@ -354,7 +354,7 @@ e AS (SELECT p.*, CASE WHEN bc.n IS NOT NULL THEN 'brand_country' WHEN br.n IS N
 fl AS (SELECT *, p75 - p25 AS iqr, greatest(p25 - 1.5 * (p75 - p25), 0) AS fence, greatest(med * net - value, 0) AS gap, price / med AS ratio FROM e WHERE med > 0 AND p25 >= 0 AND p75 >= p25 AND price < med * 0.5 AND price < greatest(p25 - 1.5 * (p75 - p25), 0)),
 j AS (SELECT *, CASE WHEN n >= 50 AND iqr / med <= 0.5 AND level <> 'base' THEN 'high' WHEN n >= 30 AND iqr / med <= 0.75 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN ratio < 0.25 THEN 'critical' WHEN ratio < 0.4 THEN 'high' ELSE 'moderate' END AS severity,
   array_to_string(list_filter(['heuristic_not_proof', CASE WHEN n < 30 THEN 'limited_sample' ELSE '' END, CASE WHEN iqr / med > 0.5 THEN 'high_dispersion' ELSE '' END, CASE WHEN brand <> '' AND level NOT IN ('brand', 'brand_country') THEN 'brand_cohort_too_small' ELSE '' END,
-    CASE WHEN country <> '' AND level NOT IN ('country', 'brand_country') THEN 'country_cohort_too_small' ELSE '' END], v -> v <> ''), ',') AS limitations FROM fl)
+    CASE WHEN country <> '' AND level NOT IN ('country', 'brand_country') THEN 'country_cohort_too_small' ELSE '' END], lambda v : v <> ''), ',') AS limitations FROM fl)
 """
 
 
@@ -444,7 +444,7 @@ scalar("scalar_label_value", _counts_sql("CASE WHEN l_returnflag = 'N' THEN '' E
 scalar("scalar_formula_guard", _counts_sql("CASE l_returnflag WHEN 'A' THEN chr(39) || '=A' WHEN 'R' THEN '-5' ELSE chr(39) || '@N' END"))(
     lambda t: _counts(t, text.guard_formula(F.when(F.col("l_returnflag") == "A", "=A").when(F.col("l_returnflag") == "R", "-5").otherwise("@N")))
 )
-scalar("scalar_sql_quantiles", """SELECT l_returnflag AS k, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, 7.5 AS second FROM lineitem GROUP BY 1""")(
+scalar("scalar_sql_quantiles", """SELECT l_returnflag AS k, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.75), 4) AS p75, 7.5::DOUBLE AS second FROM lineitem GROUP BY 1""")(
     lambda t: _with_functions(t).sparkSession.sql("SELECT l_returnflag AS k, round(median(p), 4) AS median, round(get(percentile(p, array(0.25, 0.75)), 0), 4) AS p25, round(get(percentile(p, array(0.25, 0.75)), 1), 4) AS p75, pctl_num('2|7.5|x', 1) AS second FROM (SELECT l_returnflag, num_value(cast(l_extendedprice AS STRING)) AS p FROM priced_lines) GROUP BY 1")
 )
 scalar("scalar_safe_ratio", "SELECT round(sum(CASE WHEN l_discount = 0 THEN 0 ELSE l_tax / l_discount END), 4) AS r FROM lineitem")(lambda t: t.agg(F.round(F.sum(numbers.safe_ratio(F.col("l_tax"), F.col("l_discount"))), 4).alias("r")))
@@ -484,9 +484,9 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_file(spark: SparkSession, sf_dir: str, where: str, head: list[str]) -> str:
-    lines = _order_lines(spark, sf_dir).orderBy("k").select("value")
-    first = spark.createDataFrame([(line,) for line in head], "value string").coalesce(1)
-    first.unionAll(lines).coalesce(1).write.text(f"{where}/file")  # one file is what is imported
+    first = spark.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "k long, value string")
+    # One file is what is imported.
+    first.unionByName(_order_lines(spark, sf_dir)).repartition(1).sortWithinPartitions("k").select("value").write.text(f"{where}/file")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{where}/file")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
