@@ -71,7 +71,8 @@ class Words:
 class Lines:
     """Lines in segments of up to SEGMENT words, sorted by length, so that step t of all segments that long is one slice.
 
-    `chain` has, for a place in their line over 0, the segments there and those before them.
+    `chain` has, for a place in their line over 0, the segments there and those before them; `joined` are all these
+    segments, in order, and `joined_alive` how many of them have more than t words.
     """
 
     def __init__(self, line: np.ndarray):
@@ -91,6 +92,11 @@ class Lines:
         rank[order] = np.arange(len(start))
         self.opens = place[order] == 0
         self.chain = [(rank[at], rank[at - 1]) for k in range(1, int(parts.max(initial=0))) if len(at := np.flatnonzero(place == k))]
+        in_chain = np.zeros(len(start), bool)
+        for own, before in self.chain:
+            in_chain[own] = in_chain[before] = True
+        self.joined = np.flatnonzero(in_chain)
+        self.joined_alive = len(self.joined) - np.cumsum(np.bincount(self.length[self.joined], minlength=self.steps + 1))[: self.steps]
         self.same = np.flatnonzero(line[1:] == line[:-1])
 
 
@@ -165,27 +171,51 @@ class LinearChainCrf:
 
     @staticmethod
     def _between(e: np.ndarray, m: np.ndarray, lines: Lines, enters: np.ndarray, leaves: np.ndarray) -> None:
-        """Fills the states between segments of long lines, by the products of each segment's matrices."""
-        ahead = np.tile(np.eye(2), (len(lines.first), 1, 1))  # from the tag before a segment to that of its last word
-        behind = ahead.copy()  # from its last word to the first, whose emission is counted
-        step = lambda x: np.stack([np.ones_like(x), x], axis=1)
+        """Fills the states between segments of long lines, by the products of each segment's matrices.
+
+        Matrices are four arrays, from and to tag 0 or 1: ahead from the tag before a segment to that of its last word,
+        behind from its last word to the first, whose emission is counted.
+        """
+        (m00, m01), (m10, m11) = m
+        own, opens = lines.joined, lines.opens[lines.joined]
+        first, last = lines.first[own], lines.last[own]
+        ahead = np.zeros((4, len(own)))
+        ahead[0] = ahead[3] = 1
+        behind = ahead.copy()
         for t in range(lines.steps):
-            k = lines.alive[t]
-            own = step(e[lines.first[:k] + t])[:, None, :]
-            moved = (ahead[:k] @ m) * own
-            if not t:
-                moved[lines.opens] = own[lines.opens] * 0.5
-            ahead[:k] = moved / moved.max(axis=(1, 2), keepdims=True)
-            moved = (m @ behind[:k]) if t else behind[:k]
-            # From the end: the t-th word before the last.
-            moved = step(e[lines.last[:k] - t])[:, :, None] * moved
-            behind[:k] = moved / moved.max(axis=(1, 2), keepdims=True)
-        for own, before in lines.chain:
-            weights = np.stack([1 - enters[before], enters[before]], axis=1)[:, None, :] @ ahead[before]
-            enters[own] = weights[:, 0, 1] / weights[:, 0].sum(1)
-        for own, before in reversed(lines.chain):
-            weights = m @ (behind[own] @ np.stack([1 - leaves[own], leaves[own]], axis=1)[:, :, None])
-            leaves[before] = weights[:, 1, 0] / weights[:, :, 0].sum(1)
+            k = lines.joined_alive[t]
+            if not k:
+                break
+            a, b, c, d = ahead[:, :k]
+            x = e[first[:k] + t]
+            if t:
+                new = (a * m00 + b * m10, (a * m01 + b * m11) * x, c * m00 + d * m10, (c * m01 + d * m11) * x)
+            else:  # a line's first word follows no tag
+                zero, one = np.where(opens[:k], 1.0, m00), np.where(opens[:k], 1.0, m01) * x
+                new = (zero, one, np.where(opens[:k], 1.0, m10), np.where(opens[:k], 1.0, m11) * x)
+            most = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))
+            for i in range(4):
+                np.divide(new[i], most, out=ahead[i, :k])
+            a, b, c, d = behind[:, :k]
+            x = e[last[:k] - t]  # the t-th word before the last
+            if t:
+                new = (m00 * a + m01 * c, m00 * b + m01 * d, (m10 * a + m11 * c) * x, (m10 * b + m11 * d) * x)
+            else:
+                new = (a, b, c * x, d * x)
+            most = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))
+            for i in range(4):
+                np.divide(new[i], most, out=behind[i, :k])
+        place = np.zeros(len(lines.first), np.int64)
+        place[own] = np.arange(len(own))
+        for here, before in lines.chain:
+            a, b, c, d = ahead[:, place[before]]
+            zero, one = (1 - enters[before]) * a + enters[before] * c, (1 - enters[before]) * b + enters[before] * d
+            enters[here] = one / (zero + one)
+        for here, before in reversed(lines.chain):
+            a, b, c, d = behind[:, place[here]]
+            zero, one = a * (1 - leaves[here]) + b * leaves[here], c * (1 - leaves[here]) + d * leaves[here]
+            zero, one = m00 * zero + m01 * one, m10 * zero + m11 * one
+            leaves[before] = one / (zero + one)
 
     def fit(self, parts: Sequence[tuple[Words, np.ndarray]], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-6) -> LinearChainCrf:
         """Full-batch Adagrad on the conditional log-likelihood of words and their tags, part by part."""
