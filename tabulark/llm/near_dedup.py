@@ -410,8 +410,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     scratch.drop("counts", "buckets", "texts", "links-0", "links-1", "first-labels")
     scratch.release_shuffles()
     named = filled.select("id", "th", _node().alias("node")).join(labels.hint("merge"), "node", "left")
-    named = named.select("id", "th", F.coalesce("label", "node").alias("label"))
-    heads = named.groupBy("label").agg(F.min(F.struct("id", "th")).alias("head"))
+    named = scratch.keep(named.select("id", "th", F.coalesce("label", "node").alias("label")), "named")
+    # Written before it is joined, so that Spark can split the join's hot labels.
+    heads = scratch.keep(named.groupBy("label").agg(F.min(F.struct("id", "th")).alias("head")), "heads")
+    scratch.drop("signed", "second-labels")
     name = F.coalesce(F.col("id").cast("string"), F.lit("\0"))  # a null id is one like others
     classes = named.join(heads.hint("merge"), "label").dropDuplicates(["id", "th"]).select(name.alias("name"), "th", "head")
     out = docs.select(
