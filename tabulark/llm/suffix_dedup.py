@@ -35,7 +35,7 @@ from .suffix_sort import common_prefix, deep_shallow
 LENGTH = 400
 GRAM = 48
 #: Slices of one group that are sorted together.
-GROUP = 4096
+GROUP = 1024
 #: Offsets in a block when a larger group is split; a last split takes single windows.
 BLOCK = 32
 
