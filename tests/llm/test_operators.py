@@ -98,6 +98,13 @@ def test_near_duplicates_by_brute_force(spark, docs):
     assert all(keep == (i == c) for i, (c, keep) in got.items())
 
 
+def test_near_duplicate_classes_of_a_whole_table(spark):
+    """All documents of a table; every class as by comparing all pairs."""
+    got = {r["doc_id"]: r["class_id"] for r in queries.op2_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    assert got == _components({r["doc_id"]: r["text"] for r in rows}, 0.8)
+
+
 def test_near_duplicates_among_nodes_unlike_the_centre(spark):
     """Forty pairs of similarity 0.82 whose buckets are full of texts of similarity 0.79."""
     words = lambda name, n: [f"{name}x{i}" for i in range(n)]
@@ -508,6 +515,38 @@ def test_suffix_dedup_by_brute_force(spark, docs, monkeypatch):
         assert {r["doc_id"]: tuple(r)[1:] for r in out.collect()} == want
 
 
+def test_suffix_dedup_of_a_whole_table(spark):
+    """All documents of a table against hashes of all their 400-byte strings."""
+    import xxhash
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in rows.collect()}
+    seen = Counter(xxhash.xxh3_128_intdigest(b[p : p + 400]) for b in texts.values() for p in range(len(b) - 399))
+    want = {}
+    for i, b in texts.items():
+        gone = np.zeros(len(b) + 1, np.int64)
+        for p in range(len(b) - 399):
+            if seen[xxhash.xxh3_128_intdigest(b[p : p + 400])] > 1:
+                gone[p] += 1
+                gone[p + 400] -= 1
+        gone = np.cumsum(gone[:-1]) > 0
+        runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+        want[i] = (len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op10_suffix_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and sum(n for _, n, *_ in want.values())
+
+
+def test_suffix_dedup_of_texts_in_pieces(spark):
+    """A text of several pieces: what other documents repeat of it goes, also across the pieces' borders."""
+    rng = np.random.default_rng(7)
+    whole = "".join(map(chr, rng.integers(97, 123, 3_300_000)))
+    border = suffix_dedup._PIECE
+    cuts = [(border - 700, border + 900), (border - 399, border + 1), (100, 500), (3_299_000, 3_300_000), (border - 2_000, border - 1_601)]
+    rows = spark.createDataFrame([(0, whole), *[(i + 1, "~" + whole[a:b] + "~") for i, (a, b) in enumerate(cuts)]], "doc_id long, text string")
+    got = {r["doc"]["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(rows, carry=["doc_id"]).collect()}
+    assert got == {0: (3_300_000, 1600 + 400 + 1000, 3), 1: (1602, 1600, 1), 2: (402, 400, 1), 3: (402, 400, 1), 4: (1002, 1000, 1), 5: (401, 0, 0)}
+
+
 def test_repeated_rows_are_repeats(spark):
     rows = spark.createDataFrame([(1, "q" + "".join(map(chr, range(40, 120))) * 6)] * 2, "doc_id long, text string")
     assert {r["n_removed"] for r in suffix_dedup.remove_repeats(rows).collect()} == {481}
