@@ -377,8 +377,8 @@ def _at_risk(rows: DataFrame) -> DataFrame:
 
 query("risk_rows", _RISK + _AT_RISK)(lambda g: _at_risk(_risk_rows(g)))
 query("risk_rows_by_dispatch_country", _risk_sql("substr(dispatch_key, 1, 1)") + _AT_RISK)(lambda g: _at_risk(_risk_rows(g, origin=False)))
-query("risk_table", _RISK + _AT_RISK + " WHERE confidence <> 'low' AND currency = 'ASIA' AND code ILIKE '%e%' ORDER BY n DESC, id")(
-    lambda g: _at_risk(risk.table(risk.rows_at_risk(_risk_rows(g), limit=None).filter("confidence <> 'low'"), "n", currency="asia", part="E"))
+query("risk_table", _RISK + _AT_RISK + " WHERE confidence <> 'low' AND currency = 'ASIA' AND code ILIKE '%gear%' ORDER BY n DESC, id")(
+    lambda g: _at_risk(risk.table(risk.rows_at_risk(_risk_rows(g), limit=None).filter("confidence <> 'low'"), "n", currency="asia", part="Gear"))
 )
 query("risk_by_confidence", _RISK + "SELECT confidence, count(*) AS flagged_rows FROM j GROUP BY confidence")(lambda g: risk.by_confidence(_risk_rows(g)))
 query("risk_by_company", _RISK + """
