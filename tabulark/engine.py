@@ -174,6 +174,10 @@ class Engine:
         """Rewrites the gold table in about so many files."""
         self._rewrite(self.gold.repartition(files, "schema_id", F.pmod(F.xxhash64("id"), F.lit(files))))
 
+    def remark(self) -> None:
+        """Marks duplicates anew, where rows were deleted and duplicates may have lost their canonical row."""
+        self._rewrite(gold_tables.remarked(self.gold))
+
     def backfill(self) -> None:
         """Derives months, labels, keys, tokens, years and kilograms anew from the stored columns, as an older store may lack or differ in them."""
         base = self.gold.drop(*gold_tables.derived_columns())

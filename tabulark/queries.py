@@ -270,6 +270,14 @@ query("extra_headers", "SELECT * FROM (VALUES ('return flag', 'Return flag'), ('
 query("duplicates", "SELECT source_file, is_canonical, count(*) AS rows, 'a.csv' AS first_file FROM facts GROUP BY source_file, is_canonical")(
     lambda g: g.groupBy("source_file", "is_canonical").agg(F.count("*").alias("rows"), F.max("first_file").alias("first_file"))
 )
+_LEFT = "(is_canonical AND l_orderkey % 22 = 0)"
+_without_owners = lambda g: g.filter(~(F.col("is_canonical") & (F.floor(F.col("id") / 10_000) % 22 == 0)))
+query("orphan_duplicates", f"SELECT source_file, count(*) AS rows, min(id) AS least FROM facts WHERE NOT {_LEFT} AND NOT is_canonical AND l_orderkey % 22 = 0 GROUP BY source_file")(
+    lambda g: gold_tables.orphans(_without_owners(g)).groupBy("source_file").agg(F.count("*").alias("rows"), F.min("id").alias("least"))
+)
+query("remarked_duplicates", f"SELECT source_file, is_canonical OR l_orderkey % 22 = 0 AS is_canonical, CASE WHEN l_orderkey % 22 = 0 THEN 'b.csv' ELSE 'a.csv' END AS first_file, count(*) AS rows FROM facts WHERE NOT {_LEFT} GROUP BY ALL")(
+    lambda g: gold_tables.remarked(_without_owners(g)).groupBy("source_file", "is_canonical", "first_file").agg(F.count("*").alias("rows"))
+)
 query("currency_evidence", """
 SELECT 1 AS schema_id, count(*) AS comparable, round(greatest(count(*) FILTER (WHERE net > 0 AND abs(value - rfv * net) <= 0.02 * value), count(*) FILTER (WHERE gross > 0 AND abs(value - rfv * gross) <= 0.02 * value)) / count(*), 4) AS agreement, NULL::VARCHAR AS currency
 FROM facts WHERE value > 0 AND rfv > 0 AND (net > 0 OR gross > 0)""")(lambda g: gold_tables.detect_currency(g))

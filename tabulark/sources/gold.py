@@ -121,6 +121,17 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
     ).drop("first")
 
 
+def orphans(gold: DataFrame) -> DataFrame:
+    """Duplicates whose content no canonical row has any more, as after rows were deleted."""
+    owners = gold.filter("is_canonical").select("schema_id", "row_hash").distinct()
+    return gold.filter(~F.col("is_canonical")).join(owners, ["schema_id", "row_hash"], "left_anti")
+
+
+def remarked(gold: DataFrame) -> DataFrame:
+    """Gold rows with their duplicates marked anew: each content's first row that is left becomes canonical."""
+    return mark_duplicates(gold.drop("is_canonical", "first_file"))
+
+
 #: So many row hashes of an import at most (40 bytes each) are sent to where the history is read; more are shuffled.
 SENT_HASHES = 1_000_000
 
