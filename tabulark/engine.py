@@ -60,6 +60,22 @@ class Engine:
         log = self.spark.read.parquet(f"{self.where}/log").select("schema_id", "name", "rows")
         return log.join(gold_tables.detect_currency(self.gold).select("schema_id", "currency"), "schema_id", "left")
 
+    def fields(self, schema_id: int | None = None) -> list[str]:
+        """All fields that pages and exports can have: the common ones, and the extra columns of one schema or of all."""
+        rows = self.gold if schema_id is None else self.gold.filter(F.col("schema_id") == schema_id)
+        return [*search.FIELDS, *[f"extra:{r['header']}" for r in search.extra_headers(rows).orderBy("key").collect()]]
+
+    def assign(self, schema_id: int, header: str, meaning: str) -> None:
+        """Takes an extra column of a schema for a meaning, for all its rows; later imports keep to their own choices and profiles."""
+        with separate_projections(self.spark):
+            self._rewrite(gold_tables.assigned(self.gold, schema_id, header, meaning))
+
+    def fix(self, schema_id: int, currency: str | None = None, weight_unit: str | None = None) -> None:
+        """Gives a schema's rows a currency or weight unit where they name none."""
+        ingest.ImportOptions(currency=currency, weight_unit=weight_unit)  # checks them
+        with separate_projections(self.spark):
+            self._rewrite(gold_tables.fixed(self.gold, schema_id, currency, weight_unit))
+
     # Search
 
     def search(self, q: Query, fields: Sequence[str] = search.FIELDS, sort: search.Sort | None = None, limit: int = search.PAGE, offset: int = 0) -> DataFrame:

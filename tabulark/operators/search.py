@@ -25,6 +25,17 @@ PRESETS = {
     "logistics": ("date", "origin_country", "dispatch_country", "trade_country", "net", "gross"),
 }
 
+#: Fields by what they are shown under.
+GROUPS = {
+    "document": ("date", "declaration_number", "year"),
+    "companies": ("company_code", "sender", "recipient"),
+    "goods": ("product_code", "description", "trademark"),
+    "countries": ("country", "origin_country", "dispatch_country", "trade_country"),
+    "amounts": ("quantity", "net", "gross", "weight_unit"),
+    "prices": ("value", "currency", *PRICES),
+    "source": ("source_file",),
+}
+
 
 @dataclass(frozen=True)
 class Sort:

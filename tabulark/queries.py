@@ -278,6 +278,12 @@ query("orphan_duplicates", f"SELECT source_file, count(*) AS rows, min(id) AS le
 query("remarked_duplicates", f"SELECT source_file, is_canonical OR l_orderkey % 22 = 0 AS is_canonical, CASE WHEN l_orderkey % 22 = 0 THEN 'b.csv' ELSE 'a.csv' END AS first_file, count(*) AS rows FROM facts WHERE NOT {_LEFT} GROUP BY ALL")(
     lambda g: gold_tables.remarked(_without_owners(g)).groupBy("source_file", "is_canonical", "first_file").agg(F.count("*").alias("rows"))
 )
+query("assigned_meaning", "SELECT substr(ship, 1, 7) AS month, count(*) AS rows, '' AS left_in_extra, min(flag) AS flag FROM f GROUP BY 1")(
+    lambda g: _canonical(gold_tables.assigned(g, 1, "Ship date", "date")).groupBy("month").agg(F.count("*").alias("rows"), F.max(text.extra_value(F.col("extra"), "ship date")).alias("left_in_extra"), F.min(text.extra_value(F.col("extra"), "return flag")).alias("flag"))
+)
+query("fixed_currency", "SELECT CASE WHEN currency_key = '__unknown__' THEN 'UAH' ELSE currency_key END AS currency, CASE WHEN unit_key = '__unknown__' THEN 'tonne' ELSE unit_key END AS unit, count(*) AS rows FROM f GROUP BY 1, 2")(
+    lambda g: _canonical(gold_tables.fixed(g, 1, "hryvnia", "t")).groupBy(F.col("currency_key").alias("currency"), F.col("unit_key").alias("unit")).agg(F.count("*").alias("rows"))
+)
 query("currency_evidence", """
 SELECT 1 AS schema_id, count(*) AS comparable, round(greatest(count(*) FILTER (WHERE net > 0 AND abs(value - rfv * net) <= 0.02 * value), count(*) FILTER (WHERE gross > 0 AND abs(value - rfv * gross) <= 0.02 * value)) / count(*), 4) AS agreement, NULL::VARCHAR AS currency
 FROM facts WHERE value > 0 AND rfv > 0 AND (net > 0 OR gross > 0)""")(lambda g: gold_tables.detect_currency(g))

@@ -121,6 +121,32 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
     ).drop("first")
 
 
+#: Gold columns of meanings that are kept as numbers.
+NUMBER_COLUMNS = {"value": "value", "quantity": "quantity", "net_weight": "net", "gross_weight": "gross"}
+
+
+def assigned(gold: DataFrame, schema_id: int, header: str, meaning: str) -> DataFrame:
+    """Gold rows where an extra column of a schema has become the column of a meaning; all keys are derived again.
+
+    Rows keep their identity: a content is the same whatever its columns are taken for.
+    """
+    if meaning not in SEMANTICS:
+        raise ValueError(f"unknown meaning: {meaning}")
+    value, own = text.extra_value(F.col("extra"), header), F.col("schema_id") == schema_id
+    column = NUMBER_COLUMNS.get(meaning, meaning)
+    new = numbers.num_value(value, meaning in GROUPED_NUMBERS) if meaning in NUMBER_COLUMNS else dates.normalize_date(value) if meaning == "date" else value
+    rest = F.filter("extra", lambda p: text.text_key(p["header"]) != text.text_key(F.lit(header)))
+    base = gold.drop(*derived_columns())
+    return with_keys(base.withColumns({column: F.when(own, new).otherwise(F.col(column)), "extra": F.when(own, rest).otherwise(F.col("extra"))}))
+
+
+def fixed(gold: DataFrame, schema_id: int, currency: str | None = None, weight_unit: str | None = None) -> DataFrame:
+    """Gold rows where all of a schema have a currency or weight unit that they don't name themselves."""
+    own = F.col("schema_id") == schema_id
+    values = {c: F.when(own & (text.trimmed(text.blank(F.col(c))) == ""), F.lit(v)).otherwise(F.col(c)) for c, v in (("currency", currency), ("weight_unit", weight_unit)) if v is not None}
+    return with_keys(gold.drop(*derived_columns()).withColumns(values))
+
+
 def orphans(gold: DataFrame) -> DataFrame:
     """Duplicates whose content no canonical row has any more, as after rows were deleted."""
     owners = gold.filter("is_canonical").select("schema_id", "row_hash").distinct()

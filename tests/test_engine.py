@@ -37,6 +37,7 @@ def test_engine_from_import_to_report(spark, tmp_path):
     assert engine.sql("SELECT count(*) AS n FROM records WHERE sender = 'S1'").first()["n"] == "20"
     with pytest.raises(ValueError):
         engine.sql("DROP TABLE records")
+    assert "extra:note" not in engine.fields() and "sender" in engine.fields(1)
     engine.save_query("mine", q)
     assert engine.saved_query("mine") == q
     # A rewrite that stopped between its two renames.
@@ -57,3 +58,18 @@ def test_saved_profiles_and_commands(spark, tmp_path, capsys):
         assert main([engine.where, *args]) == 0
     out = capsys.readouterr().out
     assert "\n1\n" in out and "nut" in out and "seven" in out
+
+
+def test_schema_edits(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    (tmp_path / "p.csv").write_text("SKU,Thing,Worth\n8504,bolt,\"1,250\"\n8505,nut,20\n")
+    engine.ingest(f"file://{tmp_path}/p.csv")
+    assert engine.fields()[-2:] == ["extra:Thing", "extra:Worth"]
+    engine.assign(1, "Thing", "description")
+    engine.assign(1, "Worth", "value")
+    engine.fix(1, "EUR", "kg")
+    row = engine.gold.orderBy("id").first()
+    assert (row["description"], row["value"], row["currency_key"], row["unit_key"], row["extra"]) == ("bolt", 1250.0, "EUR", "kg", [])
+    assert engine.count(Query("bolt")) == 1
+    with pytest.raises(ValueError):
+        engine.assign(1, "Thing", "nothing")
