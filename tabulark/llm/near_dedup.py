@@ -40,7 +40,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 #: Shingles in fewer than one document in RARE have the same, greatest, inverse document frequency.
-RARE = 100
+RARE = 20
 #: Buckets of shingle hashes that documents are counted by to find the frequent ones.
 COUNT_BITS = 19
 #: Frequent shingles are counted in runs of so many.
