@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, removed when the JVM ends; local sessions may use a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         base = f"file://{tempfile.mkdtemp(prefix='tabulark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
