@@ -1,10 +1,8 @@
 import math
-import re
 
 import duckdb
 import numpy as np
 import public_tokenizers
-import pytest
 from pyspark.sql import functions as F
 from support import SMALL
 from test_operators import _components
