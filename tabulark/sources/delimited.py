@@ -5,13 +5,12 @@ from __future__ import annotations
 import csv
 import io
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blank, trimmed
+from ..functions.text import trimmed
 from .detection import HEADER_ROWS, MOST_COLUMNS, SAMPLE_ROWS
 
 DELIMITERS = "\t;,|"
@@ -65,5 +64,4 @@ def read(spark: SparkSession, path: str, delimiter: str, least_width: int = 1) -
     options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(shape["broken"] > 0).lower(), "mode": "PERMISSIVE", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false"}
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     records = spark.read.options(**options).schema(schema).csv(path)
-    filled = reduce(lambda a, b: a | b, [trimmed(blank(F.col(c))) != "" for c in records.columns])
-    return records.filter(filled).select(F.monotonically_increasing_id().alias("line"), "*")
+    return records.filter(trimmed(F.concat_ws("", *records.columns)) != "").select(F.monotonically_increasing_id().alias("line"), "*")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +102,7 @@ def to_raw(records: DataFrame, table: detection.DetectedTable, name: str, schema
     pairs = [F.struct(F.lit(headers[i]).alias("header"), cell(i).alias("value")) for i in range(len(names)) if i not in mapped]
     extra = F.filter(F.array(*pairs), lambda p: p["value"] != "") if pairs else F.array().cast("array<struct<header:string,value:string>>")
     body = records.filter(F.col("line") > table.header_row)
-    filled = reduce(lambda a, b: a | b, [text.trimmed(text.blank(F.col(n))) != "" for n in names])
+    filled = text.trimmed(F.concat_ws("", *names)) != ""
     missing = {m: F.lit("") for m in (*SEMANTICS, *PRICES) if m not in columns}
     return body.filter(filled).select(
         (F.col("line") + first_id).alias("id"), F.lit(schema_id).alias("schema_id"), F.lit(name).alias("source_file"), *[c.alias(m) for m, c in {**columns, **missing}.items()], extra.alias("extra")
