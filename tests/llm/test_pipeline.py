@@ -4,7 +4,6 @@ import duckdb
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from support import SMALL
 from test_operators import _components
 from tokenizers import Tokenizer
 
@@ -13,6 +12,8 @@ from tabulark.llm import bytes_kernel as bk
 from tabulark.llm import queries, toxicity_crf
 from tabulark.llm.scratch import Scratch
 
+SMALL = "/root/testdata/sf0.01"  # enough labelled rows for significant words
+
 
 def _score(model: toxicity_crf.ToxicityModel, text: str) -> float:
     """A text's toxicity by forward and backward sums over both tags, word by word."""
