@@ -31,7 +31,7 @@ def metrics(rows: DataFrame) -> DataFrame:
         )
     out = rows.agg(*[s.alias(f"m{i}") for i, s in enumerate(one)]).select(F.explode(F.array(*[f"m{i}" for i in range(len(one))])).alias("m")).select("m.*")
     each = rows.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), price.alias("price")) for kind, (price, _) in kinds.items()])).alias("x")).select("x.*")
-    found = quartiles_by(each, ["kind"], "price")
+    found = quartiles_by(each, ["kind"], "price", few=True)
     return out.join(F.broadcast(found), "kind", "left").select(  # a row a kind
         "kind", "count", "average", "minimum", "maximum", safe_ratio(F.col("pw"), F.col("w")).alias("weighted_average"), *[F.coalesce(q, F.lit(0.0)).alias(q) for q in POINTS]
     )
@@ -45,7 +45,7 @@ def cohorts(rows: DataFrame) -> DataFrame:
         F.count("*").alias("samples"), F.avg("price").alias("average"), F.min("price").alias("minimum"), F.max("price").alias("maximum"),
         (F.sum("value") / F.sum("net_kg")).alias("weighted_average"), F.array_join(F.array_sort(F.collect_set("unit_key")), ",").alias("units"),
     )
-    return out.join(quartiles_by(priced, ["currency"], "price"), "currency", "left").select("currency", "samples", "average", "minimum", "maximum", "weighted_average", *POINTS, "units")
+    return out.join(quartiles_by(priced, ["currency"], "price", few=True), "currency", "left").select("currency", "samples", "average", "minimum", "maximum", "weighted_average", *POINTS, "units")
 
 
 def box_bounds(stats: DataFrame) -> DataFrame:

@@ -23,8 +23,11 @@ def bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value == 0, F.lit(-(1 << 24))).otherwise(F.lit(-(1 << 25)) - size)
 
 
-def quartiles_by(rows: DataFrame, keys: Sequence[str], value: str, least: int = 1) -> DataFrame:
-    """(keys, n, p25, median, p75) of the finite values of each group of at least `least`, with linear interpolation."""
+def quartiles_by(rows: DataFrame, keys: Sequence[str], value: str, least: int = 1, few: bool = False) -> DataFrame:
+    """(keys, n, p25, median, p75) of the finite values of each group of at least `least`, with linear interpolation.
+
+    few: the number of groups is bounded, so the buckets to rank (six a group at most) are sent to where rows are read.
+    """
     keys = list(keys)
     x = rows.filter(F.abs(value) < float("inf")).select(*keys, F.col(value).alias("v")).withColumn("bucket", bucket(F.col("v")))
     sizes = x.groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
@@ -37,7 +40,7 @@ def quartiles_by(rows: DataFrame, keys: Sequence[str], value: str, least: int =
         for r in (rank, rank + 1):  # the next one is the same or above
             wanted = wanted | within(r, F.col("upto") - F.col("c"), F.col("upto") - 1)
     chosen = sizes.filter(wanted).select(*keys, "bucket", (F.col("upto") - F.col("c")).alias("before"), "n")
-    values = x.join(chosen, [*keys, "bucket"]).groupBy(*keys, "bucket", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
+    values = x.join(F.broadcast(chosen) if few else chosen, [*keys, "bucket"]).groupBy(*keys, "bucket", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
     upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("v"))
     ranked = values.select(*keys, "v", "n", (upto - F.col("c")).alias("first"), (upto - 1).alias("last"))
     ends = []

@@ -52,14 +52,21 @@ def classified(rows: DataFrame, country: str | None) -> DataFrame:
 
 
 def statistics(x: DataFrame, samples: int) -> DataFrame:
-    """(level, cohort keys, n, p25, median, p75) of all cohorts of at least `samples` priced rows, at every level."""
+    """(level, cohort keys, n, p25, median, p75) of all cohorts of at least `samples` priced rows, at every level.
+
+    A finer cohort is no larger than its base, so only rows of large enough bases go on; they are written once.
+    """
     members = []
     for name, keys in LEVELS.items():
         filled = F.lit(True)
         for k in keys:
             filled = filled & (F.col(k) != "")
         members.append(F.when(filled, F.struct(F.lit(name).alias("level"), *[(F.col(k) if k in keys else F.lit("")).alias(k) for k in ("brand_key", "country_key")])))
-    each = x.filter("exclusion IS NULL").select(*BASE, "price", F.explode(F.array_compact(F.array(*members))).alias("m")).select(*BASE, "price", "m.*")
+    priced = x.filter("exclusion IS NULL").select(*BASE, "brand_key", "country_key", "price")
+    large = priced.groupBy(*BASE).agg(F.count("*").alias("n")).filter(F.col("n") >= samples).drop("n")
+    where = scratch_path(x.sparkSession, "priced")
+    priced.join(large, BASE, "left_semi").write.parquet(where)
+    each = x.sparkSession.read.parquet(where).select(*BASE, "price", F.explode(F.array_compact(F.array(*members))).alias("m")).select(*BASE, "price", "m.*")
     return quartiles_by(each, [*BASE, "level", "brand_key", "country_key"], "price", samples)
 
 
