@@ -313,7 +313,7 @@ def links_in_groups(batch: pa.RecordBatch, frequent: Frequent, similarity: float
     return out
 
 
-def open_cells(left: DataFrame) -> DataFrame:
+def open_cells(left: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of left (key, band, node, words, label) in buckets of several components, as often as a bucket's blocks meet, with cell and side."""
     sizes = left.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "w", "label")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("most.n < n")
@@ -324,7 +324,7 @@ def open_cells(left: DataFrame) -> DataFrame:
         F.when(together, 1).otherwise(blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"))).alias("few"),
         F.when(together, 0).otherwise(blocks(F.col("most.n"), F.col("most.w"))).alias("many"),
     )
-    rows = left.join(sizes.hint("merge"), "key")
+    rows = left.join(scratch.keep(sizes, "open").hint("merge"), "key")  # written first, so that Spark can split hot buckets
     large = F.coalesce(F.col("label") == F.col("most"), F.lit(False))
     block = F.pmod(F.xxhash64("node"), F.when(large, F.col("many")).otherwise(F.col("few")))
     # Blocks of other nodes are 0 to few - 1; then come those of the largest component.
@@ -402,12 +402,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             yield pa.RecordBatch.from_arrays([label.take(pa.array(found[:, 0])), label.take(pa.array(found[:, 1]))], names=["x", "y"])
 
     # Then all pairs of different components in the buckets that still have any.
-    cells = open_cells(buckets.join(labels.hint("merge"), "node"))
+    cells = open_cells(buckets.join(labels.hint("merge"), "node"), scratch)
     bodies = cells.join(texts.hint("merge"), "node").select("key", "cell", "side", "band", "label", "keys", "text")
     bodies = bodies.repartition("key", "cell").sortWithinPartitions("key", "cell")
     links = scratch.keep(bodies.mapInArrow(link, f"x {node_type}, y {node_type}"), "links-1")
     labels = relabel(labels, links, scratch, "second")
-    scratch.drop("counts", "buckets", "texts", "links-0", "links-1", "first-labels")
+    scratch.drop("counts", "buckets", "open", "texts", "links-0", "links-1", "first-labels")
     scratch.release_shuffles()
     named = filled.select("id", "th", _node().alias("node")).join(labels.hint("merge"), "node", "left")
     named = scratch.keep(named.select("id", "th", F.coalesce("label", "node").alias("label")), "named")
