@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, near_dedup, packing, quality_forest, sharding, suffix_dedup, token_counts, toxicity_crf, url_filter
+from . import decontamination, fill_middle, language_id, line_dedup, near_dedup, packing, quality_forest, sharding, suffix_dedup, token_counts, toxicity_crf, url_filter, whitening
 from .scratch import Scratch
 
 
@@ -97,8 +97,33 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.identify(docs, language_id.fit(docs), carry=["doc_id"])
+    return out.select("doc.doc_id", (~language_id.learnable(F.col("doc.doc_id"))).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_middle(_table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select(
+        "doc.doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+    each = out.select("doc.vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "each"))
+    return each.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", "each.whitened", "each.explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_token_counts, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_near_dedup, op3_toxicity, op4_quality, op5_url_filter, op6_sharding, op7_line_dedup, op8_decontamination, op9_token_counts, op10_suffix_dedup, op11_language_id, op12_fill_middle, op13_whitening)}
 
 
 OP7_SQL = r"""
@@ -157,5 +182,30 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), k AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM t
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), c AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM f
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op8_decontamination": OP8_SQL}
+    return {"op7_line_dedup": OP7_SQL, "op8_decontamination": OP8_SQL, "op12_fill_middle": OP12_SQL}
