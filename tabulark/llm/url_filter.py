@@ -8,8 +8,7 @@ threshold calibrated on a fifth of the ruled URLs held out from counting.
 Only DataFrame functions are used.  One aggregate over the corpus counts 5-grams; all
 lower orders, probabilities and log-ratios are made from the table of distinct 5-grams.
 
-The models read the whole URL with its host in lower case; a leading `http://` is left out as the
-usual scheme.  Host and path are for the rules and the output.
+The models read the whole URL with its host in lower case.  Host and path are for the rules and the output.
 
 Defined cases: a null URL or one without `://` has an empty host and path; the latter is scored
 as it is and a null as an empty string; repeated rows are judged and counted each; without ruled URLs both
@@ -59,9 +58,8 @@ def path_of(url: Column) -> Column:
 
 
 def text_of(url: Column) -> Column:
-    """What the models read: the URL with its host in lower case, without a leading `http://`."""
-    scheme = F.regexp_extract(url, r"(?s)^(.*?://)", 1)
-    whole = F.concat(F.when(scheme == "http://", "").otherwise(scheme), host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1))
+    """What the models read: the whole URL with its host in lower case."""
+    whole = F.concat(F.regexp_extract(url, r"(?s)^(.*?://)", 1), host_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1))
     return F.coalesce(F.when(F.contains(url, F.lit("://")), whole).otherwise(url), F.lit(""))
 
 
