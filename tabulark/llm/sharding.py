@@ -6,8 +6,9 @@ clockwise to the next virtual node whose shard has room.  With `slack=0` the cap
 are floor(n / shards) or one more and add up to n, so row counts are at most one apart.
 
 Only the counts per arc (shards x virtual nodes of them, whatever the data) reach the
-driver, which plans the overflow there; rows are then dealt by their rank in their arc.  An arc of more than
-CELL rows is ranked in cells of about so many, so a key that a third of all rows have doesn't meet in one task.
+driver, which plans the overflow there; rows are then dealt by their rank in their arc.  Ranks come from one sort of all rows by arc, place,
+key and content: Spark deals it out by ranges, down to single rows, so a key that a third of all rows have doesn't meet in one task, and
+the rank of a row depends on keys and contents only, at every size and however the table is split.
 
 Defined cases: a null key has one place like any other; repeated rows rank after each
 other; a null text has 0 bytes; an empty table gives no rows; extra columns are ignored.
@@ -20,14 +21,13 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_rows import quoted
 from .scratch import Scratch
 
 VIRTUAL_NODES = 128
-CELL = 1 << 17
 _M = (1 << 64) - 1
 
 
@@ -110,17 +110,27 @@ def shard_rows(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "t
         F.xxhash64(F.col(quoted(key)).cast("string"), F.lit(1)).alias("place"),
         F.monotonically_increasing_id().alias("at"),
     )
-    rows = Scratch(docs.sparkSession, "shards").keep(rows.withColumn("arc", arc_of(F.col("place"), places)), "rows")
+    scratch = Scratch(docs.sparkSession, "shards")
+    rows = scratch.keep(rows.withColumn("arc", arc_of(F.col("place"), places)), "rows")
     counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # a row an arc
     total = sum(counts.values())
     segments = plan(counts, owners, capacities(total, shards, slack)) or [(0, 0, 0, 0, 0)]
     dealt = docs.sparkSession.createDataFrame(segments, "arc int, lo long, hi long, shard int, first long")
-    arcs = docs.sparkSession.createDataFrame([(arc, own, counts.get(arc, 0) // CELL + 1) for arc, own in enumerate(owners)], "arc int, own int, cells long")
-    rows = rows.join(F.broadcast(arcs), "arc").withColumn("cell", F.pmod(F.xxhash64("at"), F.col("cells")))  # a row an arc
-    before = Window.partitionBy("arc").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("arc", "cell").agg(F.count("*").alias("n")).select("arc", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    in_cell = F.row_number().over(Window.partitionBy("arc", "cell").orderBy("place", "key", "text_crc32", "size", "at")).cast("long")
-    ranked = rows.withColumn("in_cell", in_cell).join(starts.hint("merge"), ["arc", "cell"]).withColumn("rank", F.col("start") + F.col("in_cell") - 1)
+    # The place of a row in the sorted table, less that of its arc's first row.  The sort is written, so it is made once.
+    ordered = rows.orderBy("arc", "place", "key", "text_crc32", "size", "at").withColumn("nth", F.monotonically_increasing_id())
+    ordered = scratch.keep(ordered.drop("at"), "ordered")
+    part, within = F.shiftright("nth", 33), F.col("nth").bitwiseAND((1 << 33) - 1)
+    before, starts, arcs = 0, [], []
+    for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row a partition
+        starts.append((r["part"], before))
+        before += r["n"]
+    before = 0
+    for arc, own in enumerate(owners):
+        arcs.append((arc, own, before))
+        before += counts.get(arc, 0)
+    starts = docs.sparkSession.createDataFrame(starts, "part long, start long")
+    arcs = docs.sparkSession.createDataFrame(arcs, "arc int, own int, arc_start long")
+    ranked = ordered.withColumn("part", part).join(F.broadcast(starts), "part").join(F.broadcast(arcs), "arc").withColumn("rank", F.col("start") + within - F.col("arc_start"))
     return (
         ranked.join(F.broadcast(dealt), "arc")  # at most a segment for each arc and shard filled
         .filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
