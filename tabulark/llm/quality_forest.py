@@ -7,7 +7,7 @@ learnt from, by a histogram of BINS bins of their scores; where these lack a cla
 
 Defined cases: a null, empty or wordless text has zero counts and fails the base rules;
 without labelled rows there is no forest and only the base rules decide; good labelled rows
-alone cut above all scores seen in them, bad ones alone above all scores; repeated rows are judged each; other columns are carried in `doc`.
+alone cut above all scores seen in them, bad ones alone above all scores; ids labelled both ways aren't learnt from, and of an id's different texts one is, that of the least hash; repeated rows are judged each; other columns are carried in `doc`.
 """
 
 from __future__ import annotations
@@ -147,19 +147,19 @@ def training_rows(key: Column) -> Column:
 
 
 def known_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
-    """(id, label) of rows that may be learnt from."""
+    """(id, label) of ids that may be learnt from, each once; ids labelled both ways are left out."""
     ids = labels.select(F.col(quoted(key)).alias("id"), F.col(quoted(label)).cast("int").alias("label"))
-    return ids.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & training_rows(F.col("id")))
+    known = ids.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & training_rows(F.col("id")))
+    return known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
 
 
 def labelled(docs: DataFrame, ids: DataFrame, key: str, text: str, rows: int, per_class: bool = False) -> DataFrame:
-    """(id, label, text) of the documents of at most `rows` known labels, chosen by a hash of the id."""
-    order = [F.xxhash64(F.col("id").cast("string")), "id", "label"]
+    """(id, label, text) of the documents of at most `rows` known labels, chosen by a hash of the id; of an id's texts that of the least hash."""
+    order = [F.xxhash64(F.col("id").cast("string")), "id"]
     chosen = [ids.filter(F.col("label") == v).orderBy(*order).limit(rows // 2) for v in (0, 1)] if per_class else [ids.orderBy(*order).limit(rows)]
     few = chosen[0] if len(chosen) == 1 else chosen[0].unionAll(chosen[1])
-    few = few.dropDuplicates(["id"])
     texts = docs.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
-    return texts.join(F.broadcast(few), "id").dropDuplicates(["id"])  # few has at most `rows` ids
+    return texts.join(F.broadcast(few), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # few has at most `rows` ids
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", carry: Sequence[str] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -190,7 +190,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     scored = judged.filter("NOT base_failed").select(F.col("doc.id").alias("id"), F.least(F.floor(F.col("anomaly") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
 
     def histogram(ids: DataFrame) -> list[tuple[int, int, int]]:
-        return [tuple(r) for r in scored.join(ids.dropDuplicates(["id"]).hint("merge"), "id").groupBy("bin", "label").agg(F.count("*").alias("n")).collect()]  # at most BINS of two labels
+        return [tuple(r) for r in scored.join(ids.hint("merge"), "id").groupBy("bin", "label").agg(F.count("*").alias("n")).collect()]  # at most BINS of two labels
 
     bins = histogram(ids.filter(~for_trees))
     if len({label for _, label, _ in bins}) < 2:

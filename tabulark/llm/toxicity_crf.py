@@ -13,8 +13,8 @@ a word.  A word is bound to toxic documents if its counts in distinct sample tex
 (Chernoff bound, Benjamini-Hochberg).  Scores depend on the text alone.  Scoring is one narrow pass over whole texts.
 
 Defined cases: null, empty and wordless texts get the score of a text without toxic
-words; without labelled rows of both classes every score is 0; repeated rows are scored each; other
-columns are carried in `doc`.
+words; without labelled rows of both classes every score is 0; ids labelled both ways aren't learnt from, and of an id's
+different texts one is, that of the least hash; repeated rows are scored each; other columns are carried in `doc`.
 """
 
 from __future__ import annotations

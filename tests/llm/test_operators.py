@@ -203,6 +203,18 @@ def test_toxic_words_are_significant_and_copies_count_once():
     assert counts.n_bad == 501 and counts.bound().tolist() == [vile]
 
 
+def test_repeated_ids_have_one_label_and_text(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, 1 - i % 2) for i in range(20)], "doc_id long, toxic int")
+    texts = spark.createDataFrame([(i, f"text {i} {v}") for i in range(60) for v in range(3)] + [(30, None)], "doc_id long, text string")
+    seen = set()
+    for n in (1, 3, 7):
+        ids = quality_forest.known_labels(labels.repartition(n), "doc_id", "toxic")
+        got = sorted(tuple(r) for r in quality_forest.labelled(texts.repartition(n), ids, "doc_id", "text", 100, per_class=True).select("id", "label", "text").collect())
+        assert [r[0] for r in got] == [i for i in range(20, 60) if zlib.crc32(str(i).encode()) % 3 != 1] and all(r[1] == r[0] % 2 for r in got)
+        seen.add(tuple(got))
+    assert len(seen) == 1
+
+
 def test_toxic_spans_and_unlabelled(spark, odd_docs):
     sample = [(f"good words here {i}\nmore of them", 0) for i in range(60)] + [(f"good words here {i}\nyou rotten person", 1) for i in range(60)]
     model = toxicity_crf.ToxicityModel.fit(lambda: toxicity_crf.in_chunks(iter(sample)))
@@ -327,18 +339,18 @@ def test_url_model_reads_the_whole_url(spark):
     assert got[4]["score"] != got[1]["score"]
     assert (got[0]["host"], got[0]["path"], got[2]["host"], got[2]["path"]) == ("h.example.com", "/", "", "")
     texts = [r["t"] for r in df.filter("page_id >= 1000").orderBy("page_id").select(url_filter.text_of(F.col("url")).alias("t")).collect()]
-    assert texts == ["h.example.com/?lang=good#top", "h.example.com/?go=casino#win", "lang=good", "go=casino", "https://h.example.com/?go=casino#win", "HTTP://h.example.com/?Q", ""]
+    assert texts == ["http://h.example.com/?lang=good#top", "http://h.example.com/?go=casino#win", "lang=good", "go=casino", "https://h.example.com/?go=casino#win", "HTTP://h.example.com/?Q", ""]
 
 
 def test_url_model_by_brute_force(spark):
     rows = [(i, f"http://{'good' if i % 3 else 'bad'}{i % 7}.example.{'org/fr/' if i % 3 else 'net/'}{i}") for i in range(90)] + [(100 + i, f"http://good{i}.example.com/{i}") for i in range(5)]
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = {r["page_id"]: r["score"] for r in url_filter.filter_urls(df, queries.URL_RULES).collect() if r["score"] is not None}
-    held = {r["t"]: r["h"] for r in df.select(F.concat(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("t")).select("t", (F.pmod(F.xxhash64("t"), F.lit(5)) == 0).alias("h")).collect()}
+    held = {r["t"]: r["h"] for r in df.select(F.col("url").alias("t")).select("t", (F.pmod(F.xxhash64("t"), F.lit(5)) == 0).alias("h")).collect()}
     counts = {"a": Counter(), "r": Counter()}
     pad = url_filter.PAD * 4
     for i, url in rows[:90]:
-        t = url.split("://", 1)[1]
+        t = url
         if not held[t]:
             s = pad + t + url_filter.END
             for k in range(4, len(s)):
@@ -353,13 +365,13 @@ def test_url_model_by_brute_force(spark):
         return (after.get(gram, 0) + len(after) * p(c, gram[1:])) / total if total else p(c, gram[1:])
 
     def score(url):
-        s = pad + url.split("://", 1)[1] + url_filter.END
+        s = pad + url + url_filter.END
         return np.mean([np.log(p("a", s[k - 4 : k + 1])) - np.log(p("r", s[k - 4 : k + 1])) for k in range(4, len(s))])
 
     for i, url in rows[90:]:
         assert got[i] == pytest.approx(score(url), abs=1e-9)
     # The threshold: the best balanced accuracy on held-out rows; then every verdict.
-    held_rows = [(np.floor(score(url) * 100), bool(i % 3)) for i, url in rows[:90] if held[url.split("://", 1)[1]]]
+    held_rows = [(np.floor(score(url) * 100), bool(i % 3)) for i, url in rows[:90] if held[url]]
     right = lambda at: np.mean([b >= at for b, good in held_rows if good]) + np.mean([b < at for b, good in held_rows if not good])
     best = max({b for b, _ in held_rows} | {max(b for b, _ in held_rows) + 1}, key=lambda at: (round(right(at), 9), -abs(at), at))
     verdicts = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(df, queries.URL_RULES).collect()}
@@ -379,9 +391,8 @@ def test_sharding_law_and_movement(spark, docs, odd_docs):
         assert (by_id[r["doc_id"]]["size"], by_id[r["doc_id"]]["text_crc32"]) == (len(body) + 16, zlib.crc32(body))
 
 
-def test_hot_keys_are_ranked_in_cells(spark, monkeypatch):
-    """Null and repeated ids: one place on the ring, many cells, the same law and whole slots."""
-    monkeypatch.setattr(sharding, "CELL", 50)
+def test_hot_keys_are_dealt_like_others(spark):
+    """Null and repeated ids: one place on the ring, the same law and whole slots, no task with the rows of a key."""
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
     got = sharding.shard_rows(rows, 40).collect()
     n = Counter(r["shard"] for r in got)
@@ -389,6 +400,42 @@ def test_hot_keys_are_ranked_in_cells(spark, monkeypatch):
     assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(75)) for s in n)
 
 
+def brute_shards(rows, shards, virtual=128):
+    """(shard, slot) of each (id, text) by walking the ring row by row: full shards pass rows on."""
+    nodes = sorted((sharding._mixed(sharding._mixed(s) ^ v) - (1 << 63), s) for s in range(shards) for v in range(virtual))
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    slots, out, arcs = [0] * shards, {}, {}
+    for k, (place, *row) in enumerate(rows):
+        arcs.setdefault(next((i for i, (p, _) in enumerate(nodes) if p >= place), 0), []).append((place, row[0] is not None, row[0] or 0, zlib.crc32(row[1].encode()), len(row[1].encode()), k))
+
+    def put(k, shard):
+        out[k], slots[shard], room[shard] = (shard, slots[shard]), slots[shard] + 1, room[shard] - 1
+
+    left = []
+    for arc in sorted(arcs):
+        for *_, k in sorted(arcs[arc]):
+            shard = nodes[arc][1]
+            if room[shard]:
+                put(k, shard)
+            else:
+                left.append((arc, k))
+    for arc, k in left:
+        at = (arc + 1) % len(nodes)
+        while not room[nodes[at][1]]:
+            at = (at + 1) % len(nodes)
+        put(k, nodes[at][1])
+    return out
+
+
+def test_shards_by_brute_force_and_in_any_layout(spark, docs):
+    hot = spark.range(150).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("x"), F.col("id") % 90).alias("text"))
+    both = docs.select("doc_id", "text").unionByName(hot)
+    rows = both.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)).alias("place"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    want = Counter((rows[k]["doc_id"], zlib.crc32(rows[k]["text"].encode()), *found) for k, found in brute_shards([tuple(r) for r in rows], 40).items())
+    for layout in (both.coalesce(1), both.repartition(13), both.orderBy("text")):
+        assert Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_rows(layout, 40).collect()) == want
+
+
 def test_movement_when_a_shard_is_added(spark):
     """Few rows move, nearly all of them to the new shard where the loads have slack."""
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
