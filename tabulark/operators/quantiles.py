@@ -1,8 +1,9 @@
 """Exact quartiles of groups of any size, without bringing a group's values to one task.
 
-A first pass counts values by group and bucket, an order-preserving coarse code of the value.
-The buckets that hold a quartile's neighbours are known from these counts, and a second pass
-ranks only the values in them.  A third of all rows may be one group.
+Radix selection: a first pass counts values by group and bucket, an order-preserving coarse code of the value.  The buckets that hold a
+quartile's neighbours are known from these counts.  Where one holds over SMALL values, however narrow they lie, it is divided again, into
+CELLS parts of its range and these once more, so at the end a part has fewer different doubles than 2 ** 20; only the values in
+the last parts are ranked.  A third of all rows may be one group.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 POINTS = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 #: Buckets for each doubling of a value.
 STEPS = 256
+#: A bucket of more values is divided, ROUNDS times, into CELLS each.
+SMALL, CELLS, ROUNDS = 1 << 16, 1 << 12, 2
 
 
 def bucket(value: Column) -> Column:
@@ -23,29 +26,58 @@ def bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value == 0, F.lit(-(1 << 24))).otherwise(F.lit(-(1 << 25)) - size)
 
 
+def _low() -> dict[str, Column]:
+    """The rank below each quartile; the next one is the same or above."""
+    return {name: F.floor((F.col("n") - 1) * p) for name, p in POINTS.items()}
+
+
+def _wanted() -> Column:
+    """Whether a part, of `c` values with `before` below it, holds a quartile's neighbour."""
+    out = F.lit(False)
+    for rank in _low().values():
+        for r in (rank, rank + 1):
+            out = out | ((r >= F.col("before")) & (r <= F.col("before") + F.col("c") - 1))
+    return out
+
+
+def _divided(x: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The parts of large ones that hold a quartile's neighbours; there are no more large ones than values / SMALL, so they are sent to the rows."""
+    large = parts.filter((F.col("c") > SMALL) & (F.col("lo") < F.col("hi"))).select(*keys, "bucket", "lo", "hi", "before", "n")
+    own = x.join(F.broadcast(large), [*keys, "bucket"]).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    cell = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS)
+    counts = own.groupBy(*keys, "bucket", F.col("lo").alias("floor"), cell.alias("cell")).agg(
+        F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("before").alias("base"), F.first("n").alias("n")
+    )
+    upto = F.sum("c").over(Window.partitionBy(*keys, "bucket", "floor").orderBy("cell"))
+    return counts.withColumn("before", F.col("base") + upto - F.col("c")).filter(_wanted()).select(*parts.columns)
+
+
+def chosen_parts(x: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, bucket, c, lo, hi, before, n): the parts, of values lo to hi of a bucket, that hold a quartile's neighbours in groups of at least `least`."""
+    sizes = x.groupBy(*keys, "bucket").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    own = Window.partitionBy(*keys)
+    sizes = sizes.select(*keys, "bucket", "c", "lo", "hi", (F.sum("c").over(own.orderBy("bucket")) - F.col("c")).alias("before"), F.sum("c").over(own).alias("n")).filter(F.col("n") >= least)
+    parts = sizes.filter(_wanted())
+    for _ in range(ROUNDS):
+        parts = parts.filter((F.col("c") <= SMALL) | (F.col("lo") == F.col("hi"))).unionByName(_divided(x, parts, keys))
+    return parts
+
+
 def quartiles_by(rows: DataFrame, keys: Sequence[str], value: str, least: int = 1, few: bool = False) -> DataFrame:
     """(keys, n, p25, median, p75) of the finite values of each group of at least `least`, with linear interpolation.
 
-    few: the number of groups is bounded, so the buckets to rank (six a group at most) are sent to where rows are read.
+    few: the number of groups is bounded, so the parts to rank (six a group at most) are sent to where rows are read.
     """
     keys = list(keys)
     x = rows.filter(F.abs(value) < float("inf")).select(*keys, F.col(value).alias("v")).withColumn("bucket", bucket(F.col("v")))
-    sizes = x.groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
-    own = Window.partitionBy(*keys)
-    sizes = sizes.select(*keys, "bucket", "c", F.sum("c").over(own.orderBy("bucket")).alias("upto"), F.sum("c").over(own).alias("n")).filter(F.col("n") >= least)
-    low = {name: F.floor((F.col("n") - 1) * p) for name, p in POINTS.items()}
-    within = lambda rank, first, last: (rank >= first) & (rank <= last)
-    wanted = F.lit(False)
-    for rank in low.values():
-        for r in (rank, rank + 1):  # the next one is the same or above
-            wanted = wanted | within(r, F.col("upto") - F.col("c"), F.col("upto") - 1)
-    chosen = sizes.filter(wanted).select(*keys, "bucket", (F.col("upto") - F.col("c")).alias("before"), "n")
-    values = x.join(F.broadcast(chosen) if few else chosen, [*keys, "bucket"]).groupBy(*keys, "bucket", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
-    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("v"))
+    chosen = chosen_parts(x, keys, least).select(*keys, "bucket", "lo", "hi", "before", "n")
+    found = x.join(F.broadcast(chosen) if few else chosen, [*keys, "bucket"]).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+    values = found.groupBy(*keys, "lo", "v").agg(F.count("*").alias("c"), F.first("before").alias("before"), F.first("n").alias("n"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "lo").orderBy("v"))
     ranked = values.select(*keys, "v", "n", (upto - F.col("c")).alias("first"), (upto - 1).alias("last"))
-    ends = []
+    low, ends = _low(), []
     for name, rank in low.items():
-        ends += [F.max(F.when(within(r, F.col("first"), F.col("last")), F.col("v"))).alias(f"{name}_{side}") for side, r in (("low", rank), ("high", rank + 1))]
-    found = ranked.groupBy(*keys).agg(F.first("n").alias("n"), *ends)
+        ends += [F.max(F.when((r >= F.col("first")) & (r <= F.col("last")), F.col("v"))).alias(f"{name}_{side}") for side, r in (("low", rank), ("high", rank + 1))]
+    out = ranked.groupBy(*keys).agg(F.first("n").alias("n"), *ends)
     between = lambda name, p: F.col(f"{name}_low") + F.coalesce((F.col(f"{name}_high") - F.col(f"{name}_low")) * ((F.col("n") - 1) * p - low[name]), F.lit(0.0))
-    return found.select(*keys, "n", *[between(name, p).alias(name) for name, p in POINTS.items()])
+    return out.select(*keys, "n", *[between(name, p).alias(name) for name, p in POINTS.items()])

@@ -70,24 +70,29 @@ def statistics(x: DataFrame, samples: int) -> DataFrame:
     return quartiles_by(each, [*BASE, "level", "brand_key", "country_key"], "price", samples)
 
 
-def screened(rows: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame:
-    """All rows with their exclusion or the statistics of their finest large enough cohort, and whether they are flagged.
+def resolved(x: DataFrame, samples: int) -> DataFrame:
+    """(BASE, brand_key, country_key, s): for each set of all keys that rows have, the statistics of its finest large enough cohort.
 
-    Cohorts are far fewer than rows, so their statistics are written once and joined to each level.
+    These sets are far fewer than rows; levels are joined to them, and rows to the outcome only once.
     """
-    threshold, samples = parameters(threshold, samples)
-    brand, country = supported(rows)
-    x = classified(rows, country)
-    where = scratch_path(rows.sparkSession, "cohorts")
+    spark, where = x.sparkSession, scratch_path(x.sparkSession, "cohorts")
     statistics(x, samples).write.parquet(where)
-    stats = rows.sparkSession.read.parquet(where)
-    out = x
+    stats = spark.read.parquet(where)
+    large = stats.filter("level = 'base'").select(*BASE)
+    out = x.filter("exclusion IS NULL").select(*BASE, "brand_key", "country_key").distinct().join(large, BASE, "left_semi")
     for level, own in LEVELS.items():
         found = stats.filter(F.col("level") == level).select(*BASE, *own, F.struct(F.lit(level).alias("level"), "n", "p25", F.col("median").alias("med"), "p75").alias(f"s_{level}"))
         out = out.join(found, [*BASE, *own], "left")
-    # Finer cohorts count only where the base is large enough, which it then is.
-    s = F.when(F.col("exclusion").isNull() & F.col("s_base").isNotNull(), F.coalesce(*[F.col(f"s_{level}") for level in LEVELS]))
-    out = out.withColumn("s", s).select(*x.columns, "s.*")
+    return out.select(*BASE, "brand_key", "country_key", F.coalesce(*[F.col(f"s_{level}") for level in LEVELS]).alias("s"))
+
+
+def screened(rows: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame:
+    """All rows with their exclusion or the statistics of their finest large enough cohort, and whether they are flagged."""
+    threshold, samples = parameters(threshold, samples)
+    brand, country = supported(rows)
+    x = classified(rows, country)
+    keyed = [*BASE, "brand_key", "country_key"]
+    out = x.join(resolved(x, samples), keyed, "left").withColumn("s", F.when(F.col("exclusion").isNull(), F.col("s"))).select(*x.columns, "s.*")
     iqr = F.col("p75") - F.col("p25")
     out = out.withColumns({"iqr": iqr, "median_cutoff": F.col("med") * threshold, "lower_fence": F.greatest(F.col("p25") - FENCE * iqr, F.lit(0.0))})
     flagged = (F.col("med") > 0) & (F.col("p25") >= 0) & (F.col("iqr") >= 0) & (F.col("price") < F.col("median_cutoff")) & (F.col("price") < F.col("lower_fence"))

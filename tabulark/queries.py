@@ -498,9 +498,13 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_file(spark: SparkSession, sf_dir: str, where: str, head: list[str]) -> str:
-    first = spark.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "k long, value string")
+    return _one_file(spark, "\n".join(head), _order_lines(spark, sf_dir), where)
+
+
+def _one_file(spark: SparkSession, head: str, lines: DataFrame, where: str) -> str:
+    first = spark.createDataFrame([(-1, head)], "k long, value string")
     # One file is what is imported.
-    first.unionByName(_order_lines(spark, sf_dir)).repartition(1).sortWithinPartitions("k").select("value").write.text(f"{where}/file")
+    first.unionByName(lines).repartition(1).sortWithinPartitions("k").select("value").write.text(f"{where}/file")
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{where}/file")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -534,6 +538,14 @@ def _(spark, sf_dir, where):
     return _by_month(ingest.gold_table(spark, f"{where}/store"))
 
 
+@imported("import_quoted_breaks", _IMPORT_SQL.replace("min(o_orderpriority)", "min(o_orderpriority || ' seen')"))
+def _(spark, sf_dir, where):
+    """Every row has a cell with a line break, and one with a delimiter after a break."""
+    lines = _order_lines(spark, sf_dir).withColumn("value", F.concat(F.regexp_replace("value", "([^;]+?)(\n?)$", '"$1\n  seen";"a\n;""b"""$2')))
+    ingest.import_file(spark, _one_file(spark, f"{_HEADER};Note", lines, where), f"{where}/store")
+    return _by_month(ingest.gold_table(spark, f"{where}/store"))
+
+
 @imported("import_twice_marks_duplicates", """
 SELECT source_file, is_canonical, count(*) AS rows, 'orders.csv' AS first_file FROM (SELECT 'orders.csv' AS source_file, true AS is_canonical FROM orders UNION ALL SELECT 'more.csv', false FROM orders UNION ALL SELECT 'more.csv', true FROM (VALUES (1)) AS t(x))
 GROUP BY ALL""")

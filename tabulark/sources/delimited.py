@@ -6,12 +6,13 @@ import csv
 import io
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import trimmed
 from .detection import HEADER_ROWS, MOST_COLUMNS, SAMPLE_ROWS
+from .records import read_records
 
 DELIMITERS = "\t;,|"
 SNIFF_BYTES, SNIFF_RECORDS = 256 * 1024, 24
@@ -52,16 +53,31 @@ def read(spark: SparkSession, path: str, delimiter: str, least_width: int = 1) -
     """All records that have a value as text columns c0, c1, ..., as wide as the widest, with their order in `line`.
 
     A first pass finds the greatest width, as columns may first appear far below, and whether
-    a quoted cell has a line break.  Without any, a file is read in splits; with them it is one task.
+    a quoted cell has a line break; files with such cells are cut into records first.  Both ways read in splits.
     """
     raw = spark.read.text(path)
-    bare = F.regexp_replace("value", '"[^"]*"', "")
-    shape = raw.agg(
-        F.max(F.length(bare) - F.length(F.replace(bare, F.lit(delimiter)))).alias("widest"),
-        F.count_if((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).alias("broken"),
-    ).first()
-    width = min(max((shape["widest"] or 0) + 1, least_width), MOST_COLUMNS)
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": str(shape["broken"] > 0).lower(), "mode": "PERMISSIVE", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false"}
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    records = spark.read.options(**options).schema(schema).csv(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    shape = raw.agg(F.max(_cells(F.col("value"), delimiter)).alias("widest"), F.count_if(quotes % 2 == 1).alias("broken")).first()
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false"}
+    if shape["broken"]:
+        found = read_records(spark, path, delimiter)
+        widest = found.agg(F.max(_cells(F.col("record"), delimiter))).first()[0]
+        schema = _schema(widest, least_width)
+        records = found.select("line", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options | {"maxColumns": str(MOST_COLUMNS + 1)}).alias("r")).select("line", "r.*")
+        return records.filter(trimmed(F.concat_ws("", *schema.names)) != "")
+    schema = _schema(shape["widest"], least_width)
+    records = spark.read.options(**options, multiLine="false", encoding="UTF-8").schema(schema).csv(path)
     return records.filter(trimmed(F.concat_ws("", *records.columns)) != "").select(F.monotonically_increasing_id().alias("line"), "*")
+
+
+def _cells(record: Column, delimiter: str) -> Column:
+    """How many cells a record has; delimiters in quoted cells don't count."""
+    bare = F.regexp_replace(record, '"[^"]*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter))) + 1
+
+
+def _schema(widest: int | None, least_width: int) -> T.StructType:
+    width = max(widest or 1, least_width)
+    if width > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns")
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
