@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,7 +13,7 @@ from .operators import compare, export, measures, pivot, prices, risk, rollups,
 from .plans import compiler
 from .plans.query import Query
 from .sources import gold as gold_tables
-from .sources import ingest
+from .sources import ingest, snapshots, token_index
 from .storage import read_text, separate_projections, write_text
 
 #: What each scope of analytics consists of, besides overview and months.
@@ -34,14 +33,24 @@ class Engine:
     def __init__(self, spark: SparkSession, where: str):
         self.spark, self.where = spark, where.rstrip("/")
         registry.register_functions(spark)
-        self.recover()
+
+    @property
+    def now(self) -> snapshots.Snapshot:
+        """What readers see now; a frame made of it stays as it is, whatever is imported later."""
+        return snapshots.current(self.spark, self.where)
 
     @property
     def gold(self) -> DataFrame:
         return ingest.gold_table(self.spark, self.where)
 
+    def gold_for(self, q: Query) -> DataFrame:
+        """Gold rows in the files that can have hits: those with all tokens that the query asks for."""
+        now = self.now
+        files = token_index.files(self.spark, self.where, now.leaves, compiler.needed_terms(q))
+        return snapshots.rows(self.spark, self.where, now, files=files)
+
     def rows(self, q: Query) -> DataFrame:
-        return compiler.apply(self.gold, q)
+        return compiler.apply(self.gold_for(q), q)
 
     # Imports
 
@@ -57,8 +66,19 @@ class Engine:
 
     def schemas(self) -> DataFrame:
         """Sources by schema, with the currency that their values give evidence for."""
-        log = self.spark.read.parquet(f"{self.where}/log").select("schema_id", "name", "rows")
-        return log.join(gold_tables.detect_currency(self.gold).select("schema_id", "currency"), "schema_id", "left")
+        return self.log().select("schema_id", "name", "rows").join(gold_tables.detect_currency(self.gold).select("schema_id", "currency"), "schema_id", "left")
+
+    def log(self) -> DataFrame:
+        """A row for each imported source."""
+        return self._listed(self.now.log, snapshots.LOG)
+
+    def edits(self) -> DataFrame:
+        """Meanings and fixed values by schema and version; imports obey them."""
+        return self._listed(self.now.edits, snapshots.EDITS)
+
+    def _listed(self, entries: Sequence[dict], columns: str) -> DataFrame:
+        names = [c.split()[0] for c in columns.split(", ")]
+        return self.spark.createDataFrame([tuple(e.get(n) for n in names) for e in entries], columns)
 
     def fields(self, schema_id: int | None = None) -> list[str]:
         """All fields that pages and exports can have: the common ones, and the extra columns of one schema or of all."""
@@ -66,23 +86,32 @@ class Engine:
         return [*search.FIELDS, *[f"extra:{r['header']}" for r in search.extra_headers(rows).orderBy("key").collect()]]
 
     def assign(self, schema_id: int, header: str, meaning: str) -> None:
-        """Takes an extra column of a schema for a meaning, for all its rows; later imports keep to their own choices and profiles."""
-        with separate_projections(self.spark):
-            self._rewrite(gold_tables.assigned(self.gold, schema_id, header, meaning))
+        """Takes an extra column of a schema for a meaning, for its rows and those of later imports."""
+        self._edit(schema_id, {"header": header, "meaning": gold_tables.checked_meaning(meaning)})
 
     def fix(self, schema_id: int, currency: str | None = None, weight_unit: str | None = None) -> None:
-        """Gives a schema's rows a currency or weight unit where they name none."""
+        """Gives a schema's rows, and those of later imports, a currency or weight unit where they name none."""
         ingest.ImportOptions(currency=currency, weight_unit=weight_unit)  # checks them
+        self._edit(schema_id, {"currency": currency, "weight_unit": weight_unit})
+
+    def _edit(self, schema_id: int, edit: dict) -> None:
+        """Rewrites the leaves of one schema; they and the edit's new version become visible together."""
+        now = self.now
+        own = now.of_schema(schema_id)
+        if not own:
+            raise ValueError(f"no such schema: {schema_id}")
+        version = sum(e["schema_id"] == schema_id for e in now.edits) + 1
         with separate_projections(self.spark):
-            self._rewrite(gold_tables.fixed(self.gold, schema_id, currency, weight_unit))
+            base = snapshots.rows(self.spark, self.where, now, own).drop(*gold_tables.derived_columns())
+            self._replace(now, own, gold_tables.with_keys(gold_tables.edited(base, [edit])), edits=(*now.edits, {"schema_id": schema_id, "version": version, **edit}))
 
     # Search
 
     def search(self, q: Query, fields: Sequence[str] = search.FIELDS, sort: search.Sort | None = None, limit: int = search.PAGE, offset: int = 0) -> DataFrame:
-        return search.page(self.gold, q, fields, sort, limit, offset)
+        return search.page(self.gold_for(q), q, fields, sort, limit, offset)
 
     def count(self, q: Query) -> int:
-        return search.count(self.gold, q).first()["rows"]
+        return search.count(self.gold_for(q), q).first()["rows"]
 
     def record(self, id_: int) -> Row | None:
         return search.record(self.gold, id_)
@@ -128,29 +157,39 @@ class Engine:
             "companies": risk.by_company(rows, screen=screen), "confidence": risk.by_confidence(rows, screen=screen),
         }
 
-    def version(self) -> str:
-        """Of the gold table: another after each import or rewrite."""
-        log = self.spark.read.parquet(f"{self.where}/log").agg(F.count("*").alias("n"), F.max("part").alias("part")).first()
-        return f"{log['n']} {log['part']} {read_text(self.spark, f'{self.where}/rewritten') or ''}"
+    def version(self) -> int:
+        """Of the store: another after each import or rewrite."""
+        return self.now.number
 
     def build_rollups(self) -> None:
-        rollups.build(self.gold, f"{self.where}/rollups", self.version())
+        """Rollup parts of all leaves; from now on imports and rewrites make those of theirs."""
+        now = self.now
+        if not now.rolled:
+            for leaf in now.leaves:
+                rollups.write_parts(snapshots.rows(self.spark, self.where, now, [leaf]), f"{self.where}/{snapshots.ROLLUPS}", leaf)
+            rollups.validate(self.gold, self.rollup("overview", now))
+            snapshots.commit(self.spark, self.where, now, rolled=True)
+
+    def rollup(self, name: str, now: snapshots.Snapshot | None = None) -> DataFrame:
+        """One of rollups.MERGED, put together from the parts of all leaves."""
+        now = now or self.now
+        return rollups.MERGED[name]({p: snapshots.beside(self.spark, self.where, f"{snapshots.ROLLUPS}/{p}", now.leaves) for p in rollups.NEEDED[name]})
 
     def overview_row(self, q: Query) -> tuple[DataFrame, str]:
-        """Key numbers of a query from the rollups where they are safe and of the gold table's version, and where they came from."""
-        source = rollups.route(self.spark, f"{self.where}/rollups", q, self.version())
-        if source == "rows":
-            return measures.overview(self.rows(q)), source
-        year = int(q.filters.get("year") or 0)
-        rolled = self.spark.read.parquet(f"{self.where}/rollups/overview")
-        return rolled.filter((F.col("scope") == q.scope) & (F.col("year_key") == year)), source
+        """Key numbers of a query from the rollups where there are any and they are safe, and where they came from."""
+        now = self.now
+        if now.rolled and now.leaves and rollups.eligible(q):
+            own = rollups.chosen(self.rollup("overview", now), q)
+            if rollups.is_safe(own):
+                return own, "rollups"
+        return measures.overview(self.rows(q)), "rows"
 
     def sql(self, query: str) -> DataFrame:
         """A query over the views `records` (gold rows) and `imports` (the log), for diagnosis; all values as texts."""
         if query.split(None, 1)[0].lower() not in ("select", "with", "from", "values"):
             raise ValueError("only queries")
         self.gold.createOrReplaceTempView("records")
-        self.spark.read.parquet(f"{self.where}/log").createOrReplaceTempView("imports")
+        self.log().createOrReplaceTempView("imports")
         found = self.spark.sql(query)
         return found.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in found.columns])
 
@@ -183,49 +222,46 @@ class Engine:
         return self.gold.groupBy("schema_id").agg(F.count("*").alias("rows"), F.count_if(~F.col("is_canonical")).alias("duplicates"), F.count_distinct("source_file").alias("sources"))
 
     def stored_bytes(self) -> dict[str, int]:
-        fs, path = self._fs()
-        return {name: fs.getContentSummary(path(f"{self.where}/{name}")).getLength() for name in ("gold", "log", "rollups") if self._exists(name)}
+        fs, path = snapshots.hadoop(self.spark, self.where)
+        return {name: fs.getContentSummary(path(f"{self.where}/{name}")).getLength() for name in (snapshots.GOLD, snapshots.ROLLUPS, snapshots.TOKENS) if self._exists(name)}
 
     def compact(self, files: int) -> None:
-        """Rewrites the gold table in about so many files."""
-        self._rewrite(self.gold.repartition(files, "schema_id", F.pmod(F.xxhash64("id"), F.lit(files))))
+        """Rewrites the gold table as one leaf a schema, in about so many files."""
+        now = self.now
+        last = max(snapshots.parts_of(leaf)[0] for leaf in now.leaves)
+        rows = self.gold.withColumn("part", F.lit(last)).repartition(files, "schema_id", F.pmod(F.xxhash64("id"), F.lit(files)))
+        self._replace(now, now.leaves, rows, [f"part={last}/schema_id={snapshots.parts_of(leaf)[1]}/g" for leaf in now.leaves])
 
     def remark(self) -> None:
         """Marks duplicates anew, where rows were deleted and duplicates may have lost their canonical row."""
-        self._rewrite(gold_tables.remarked(self.gold))
+        now = self.now
+        self._replace(now, now.leaves, gold_tables.remarked(snapshots.rows(self.spark, self.where, now)))
 
     def backfill(self) -> None:
-        """Derives months, labels, keys, tokens, years and kilograms anew from the stored columns, as an older store may lack or differ in them."""
-        base = self.gold.drop(*gold_tables.derived_columns())
-        with separate_projections(self.spark):
-            self._rewrite(gold_tables.with_keys(base))
-
-    def _rewrite(self, rows: DataFrame) -> None:
-        """Writes a new gold table beside the old one and puts it in its place; the old one goes last."""
-        fs, path = self._fs()
-        new, now, old = (path(f"{self.where}/{name}") for name in ("gold-new", "gold", "gold-old"))
-        rows.write.mode("overwrite").partitionBy("part", "schema_id").parquet(new.toString())
-        fs.delete(old, True)
-        fs.rename(now, old)
-        fs.rename(new, now)
-        write_text(self.spark, f"{self.where}/rewritten", uuid.uuid4().hex)
-        fs.delete(old, True)
-
-    def recover(self) -> None:
-        """After a rewrite that stopped half-way: the table that is whole takes its place again."""
-        fs, path = self._fs()
-        if not self._exists("gold") and self._exists("gold-old"):
-            fs.rename(path(f"{self.where}/gold-old"), path(f"{self.where}/gold"))
+        """Derives months, labels, keys, tokens, years and kilograms anew from the stored columns, as an older store may lack or differ in them; part by part."""
+        for number in sorted({snapshots.parts_of(leaf)[0] for leaf in self.now.leaves}):
+            now = self.now
+            own = [leaf for leaf in now.leaves if snapshots.parts_of(leaf)[0] == number]
+            with separate_projections(self.spark):
+                self._replace(now, own, gold_tables.with_keys(snapshots.rows(self.spark, self.where, now, own).drop(*gold_tables.derived_columns())))
+
+    def _replace(self, now: snapshots.Snapshot, old: Sequence[str], rows: DataFrame, candidates: Sequence[str] | None = None, **changes) -> None:
+        """New leaves in the place of old ones, with what lies beside them; nothing is seen of it before the snapshot."""
+        new = snapshots.write_leaves(self.spark, self.where, rows, candidates or old)
+        for leaf in new:
+            ingest.beside_leaf(self.spark, self.where, leaf, now.rolled)
+        snapshots.commit(self.spark, self.where, now, leaves=(*[leaf for leaf in now.leaves if leaf not in set(old)], *new), **changes)
+
+    def vacuum(self) -> int:
+        """Removes the folders of older snapshots and of writers that stopped, while no other is at work."""
+        return snapshots.vacuum(self.spark, self.where)
 
     def clear(self) -> None:
-        fs, path = self._fs()
-        for name in ("gold", "log", "rollups", "rewritten"):
-            fs.delete(path(f"{self.where}/{name}"), True)
-
-    def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return path(self.where).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+        """An empty store, for good: its next snapshot names nothing, then the folders go."""
+        now = self.now
+        snapshots.commit(self.spark, self.where, now, leaves=(), log=(), edits=(), rolled=False)
+        snapshots.vacuum(self.spark, self.where, 1)
 
     def _exists(self, name: str) -> bool:
-        fs, path = self._fs()
+        fs, path = snapshots.hadoop(self.spark, self.where)
         return fs.exists(path(f"{self.where}/{name}"))

@@ -133,6 +133,14 @@ def expression(e: Group | Condition | None) -> Column | None:
     return ~out if e.negated else out
 
 
+def needed_terms(q: Query) -> list[tuple[str, bool]]:
+    """(token, prefix): what a row's tokens must have each of to be a hit, whatever the rest of the query asks."""
+    out = [] if code_prefix(q.text) else list(text_terms(q.text))
+    for name in ("description", "sender", "recipient"):
+        out += [(t, True) for t in filter_terms(q.filters.get(name, "").strip())]
+    return out
+
+
 def predicate(q: Query, substring: bool = False) -> list[Column]:
     """The clauses of a query, to be and-ed; substring: free text as on rows without an index."""
     out: list[Column] = []

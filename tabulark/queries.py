@@ -14,7 +14,7 @@ from .operators import compare, export, measures, pivot, prices, risk, rollups,
 from .plans import compiler
 from .plans.query import Condition, Group, Query
 from .sources import gold as gold_tables
-from .sources import ingest
+from .sources import ingest, snapshots
 from .storage import scratch_path, write_bytes
 from .testdata import FACTS_SQL, facts
 
@@ -576,27 +576,55 @@ def _(spark, sf_dir, where):
 
 
 @imported("rollups_follow_imports", """
-SELECT * FROM (SELECT 'built' AS step, 'rollups' AS source, count(*) AS row_count FROM orders UNION ALL SELECT 'imported', 'rows', count(*) + 1 FROM orders UNION ALL SELECT 'built again', 'rollups', count(*) + 1 FROM orders UNION ALL SELECT 'compacted', 'rows', count(*) + 1 FROM orders)""")
+WITH o AS (SELECT 'N' || o_orderkey AS declaration, c_name || '; "retail"' AS buyer FROM orders JOIN customer ON o_custkey = c_custkey), p AS (SELECT * FROM o UNION ALL SELECT 'X1', 'New'),
+a AS (SELECT 'built' AS step, * FROM o UNION ALL SELECT 'imported', * FROM p UNION ALL SELECT 'compacted', * FROM p)
+SELECT step, 'rollups' AS source, count(*) AS row_count, count(DISTINCT declaration) AS declarations, count(DISTINCT buyer) AS buyers, count(DISTINCT buyer) AS sections, count(*) AS section_rows FROM a GROUP BY step""")
 def _(spark, sf_dir, where):
-    """Key numbers come from the rollups only while these are of the gold table's version."""
+    """Key numbers and sections come from the rollups, right after an import and a rewrite too."""
     engine = Engine(spark, f"{where}/store")
-    answers = []
 
-    def ask(step: str) -> None:
+    def answer(step: str) -> DataFrame:
         found, source = engine.overview_row(Query())
-        answers.append((step, source, found.select("row_count").first()[0]))
+        sections = engine.rollup("sections").filter("scope = 'canonical' AND year_key = 0 AND kind = 'recipients'").agg(F.count("*").alias("sections"), F.sum("rows").alias("section_rows"))
+        row = found.select(F.lit(step).alias("step"), F.lit(source).alias("source"), "row_count", F.col("declaration_count").alias("declarations"), F.col("distinct_recipients").alias("buyers"))
+        return row.crossJoin(F.broadcast(sections))  # a row each
 
     engine.ingest(_order_file(spark, sf_dir, where, [_HEADER]), ingest.ImportOptions(weight_unit="kg"))
     engine.build_rollups()
-    ask("built")
+    built = answer("built")
     write_bytes(spark, f"{where}/one.csv", f"{_HEADER}\n01.01.2024;X1;New;1,00;USD;none\n".encode())
     engine.ingest(f"{where}/one.csv", ingest.ImportOptions(weight_unit="kg"))
-    ask("imported")
-    engine.build_rollups()
-    ask("built again")
+    imported_ = answer("imported")
     engine.compact(2)
-    ask("compacted")
-    return spark.createDataFrame(answers, "step string, source string, row_count long")
+    return built.unionByName(imported_).unionByName(answer("compacted"))
+
+
+@imported("imports_follow_schema_edits", """
+WITH o AS (SELECT 'orders.csv' AS source_file, o_orderpriority AS trademark, o_totalprice AS value FROM orders UNION ALL SELECT 'more.csv', 'none', 1 UNION ALL SELECT 'more.csv', o_orderpriority, o_totalprice FROM orders)
+SELECT source_file, trademark, 'kg' AS unit, count(*) AS rows, sum(CASE WHEN source_file = 'orders.csv' OR trademark = 'none' THEN 1 ELSE 0 END) AS firsts, round(sum(value), 2) AS total, 0 AS left_in_extra FROM o GROUP BY 1, 2""")
+def _(spark, sf_dir, where):
+    """A column is given a meaning and rows a unit; the next import of the layout has both, and its duplicates are found."""
+    engine = Engine(spark, f"{where}/store")
+    engine.ingest(_order_file(spark, sf_dir, where, [_HEADER]))
+    engine.assign(1, "Priority", "trademark")
+    engine.fix(1, weight_unit="kg")
+    more = _order_file(spark, sf_dir, f"{where}/more", [_HEADER, "01.01.2024;X1;New;1,00;USD;none"])
+    fs, path = snapshots.hadoop(spark, more)
+    fs.rename(path(more), path(more.replace("orders.csv", "more.csv")))
+    engine.ingest(more.replace("orders.csv", "more.csv"))
+    return engine.gold.groupBy("source_file", "trademark", F.col("unit_key").alias("unit")).agg(
+        F.count("*").alias("rows"), F.sum(F.col("is_canonical").cast("int")).alias("firsts"), F.round(F.sum("value"), 2).alias("total"), F.sum(F.size("extra")).alias("left_in_extra")
+    )
+
+
+@imported("search_by_token_files", """
+SELECT c_name || '; "retail"' AS recipient, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_name LIKE '%#00000001%' GROUP BY 1""")
+def _(spark, sf_dir, where):
+    """Rows of many files, of which only those with the tokens are read."""
+    engine = Engine(spark, f"{where}/store")
+    engine.ingest(_order_file(spark, sf_dir, where, [_HEADER]))
+    engine.compact(8)
+    return engine.rows(Query("Retail 00000001*")).groupBy("recipient").agg(F.count("*").alias("rows"), F.round(F.sum("value"), 2).alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

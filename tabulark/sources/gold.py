@@ -60,13 +60,13 @@ class SemanticResolver:
         return first_text([*self.raw("weight_unit"), *[F.lit(x) for x in (fixed, hint) if x]])
 
 
-def to_gold(raw: DataFrame, shape: TableShape | None = None) -> DataFrame:
+def to_gold(raw: DataFrame, shape: TableShape | None = None, edits: Sequence[dict] = ()) -> DataFrame:
     """Gold rows of raw ones (id, schema_id, source_file, extra and meaning columns).
 
     Numbers come before the join that marks duplicates, keys and labels after it, so that
-    each side's generated code stays small enough to be compiled.
+    each side's generated code stays small enough to be compiled.  edits: those of the rows' schema; contents are compared as they were before any.
     """
-    return with_keys(mark_duplicates(with_numbers(raw, shape)))
+    return with_keys(edited(mark_duplicates(with_numbers(raw, shape)), edits))
 
 
 def with_numbers(raw: DataFrame, shape: TableShape | None = None) -> DataFrame:
@@ -125,26 +125,46 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
 NUMBER_COLUMNS = {"value": "value", "quantity": "quantity", "net_weight": "net", "gross_weight": "gross"}
 
 
+def edited(base: DataFrame, edits: Sequence[dict]) -> DataFrame:
+    """Rows of one schema without derived columns, after edits in their order.
+
+    An edit takes an extra column for a meaning (header, meaning), or gives rows a currency or weight unit where they name none.
+    """
+    for e in edits:
+        if e.get("meaning"):
+            meaning, value = e["meaning"], text.extra_value(F.col("extra"), e["header"])
+            new = numbers.num_value(value, meaning in GROUPED_NUMBERS) if meaning in NUMBER_COLUMNS else dates.normalize_date(value) if meaning == "date" else value
+            rest = F.filter("extra", lambda p: text.text_key(p["header"]) != text.text_key(F.lit(e["header"])))  # noqa: B023
+            base = base.withColumns({NUMBER_COLUMNS.get(meaning, meaning): new, "extra": rest})
+        for c in ("currency", "weight_unit"):
+            if e.get(c):
+                base = base.withColumn(c, F.when(text.trimmed(text.blank(F.col(c))) == "", F.lit(e[c])).otherwise(F.col(c)))
+    return base
+
+
 def assigned(gold: DataFrame, schema_id: int, header: str, meaning: str) -> DataFrame:
-    """Gold rows where an extra column of a schema has become the column of a meaning; all keys are derived again.
+    """Gold rows where an extra column of a schema has become the column of a meaning; their keys are derived again.
 
     Rows keep their identity: a content is the same whatever its columns are taken for.
     """
-    if meaning not in SEMANTICS:
-        raise ValueError(f"unknown meaning: {meaning}")
-    value, own = text.extra_value(F.col("extra"), header), F.col("schema_id") == schema_id
-    column = NUMBER_COLUMNS.get(meaning, meaning)
-    new = numbers.num_value(value, meaning in GROUPED_NUMBERS) if meaning in NUMBER_COLUMNS else dates.normalize_date(value) if meaning == "date" else value
-    rest = F.filter("extra", lambda p: text.text_key(p["header"]) != text.text_key(F.lit(header)))
-    base = gold.drop(*derived_columns())
-    return with_keys(base.withColumns({column: F.when(own, new).otherwise(F.col(column)), "extra": F.when(own, rest).otherwise(F.col("extra"))}))
+    return _rederived(gold, schema_id, {"header": header, "meaning": checked_meaning(meaning)})
 
 
 def fixed(gold: DataFrame, schema_id: int, currency: str | None = None, weight_unit: str | None = None) -> DataFrame:
     """Gold rows where all of a schema have a currency or weight unit that they don't name themselves."""
+    return _rederived(gold, schema_id, {"currency": currency, "weight_unit": weight_unit})
+
+
+def _rederived(gold: DataFrame, schema_id: int, edit: dict) -> DataFrame:
     own = F.col("schema_id") == schema_id
-    values = {c: F.when(own & (text.trimmed(text.blank(F.col(c))) == ""), F.lit(v)).otherwise(F.col(c)) for c, v in (("currency", currency), ("weight_unit", weight_unit)) if v is not None}
-    return with_keys(gold.drop(*derived_columns()).withColumns(values))
+    changed = with_keys(edited(gold.filter(own).drop(*derived_columns()), [edit]))
+    return gold.filter(~own).unionByName(changed.select(*gold.columns))
+
+
+def checked_meaning(meaning: str) -> str:
+    if meaning not in SEMANTICS:
+        raise ValueError(f"unknown meaning: {meaning}")
+    return meaning
 
 
 def orphans(gold: DataFrame) -> DataFrame:

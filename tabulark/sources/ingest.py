@@ -1,4 +1,4 @@
-"""Imports: detect, map, clean, mark duplicates, log. Gold grows by appended files."""
+"""Imports: detect, map, clean, mark duplicates, log. Gold grows by appended leaves."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..schema import PRICES, SEMANTICS
 from ..storage import read_text, separate_projections, write_text
-from . import delimited, detection, gold, workbook
+from ..operators import rollups
+from . import delimited, detection, gold, snapshots, token_index, workbook
 
 WORKBOOKS = ("xlsx", "xlsm", "ods")
 EXTENSIONS = ("csv", "tsv", "txt", *WORKBOOKS)
@@ -157,25 +158,29 @@ def save_profile(spark: SparkSession, where: str, name: str, headers: list[str],
 
 
 def gold_table(spark: SparkSession, where: str) -> DataFrame:
-    """The gold rows of all logged imports.  Each import writes one part, which its log entry makes visible."""
-    last = _log(spark, where).agg(F.max("part")).first()[0]
-    return spark.read.parquet(f"{where}/gold").filter(F.col("part") <= last)
+    """The gold rows of all imports."""
+    return snapshots.rows(spark, where, snapshots.current(spark, where))
+
+
+def beside_leaf(spark: SparkSession, where: str, leaf: str, rolled: bool) -> None:
+    """What lies beside each leaf: its tokens, and its rollup parts in stores that have them."""
+    token_index.write(spark, where, leaf)
+    if rolled:
+        rollups.write_parts(spark.read.parquet(f"{where}/{snapshots.GOLD}/{leaf}"), f"{where}/{snapshots.ROLLUPS}", leaf)
 
 
 def import_file(spark: SparkSession, path: str, where: str, options: ImportOptions | None = None, profiles: dict[str, dict[int, str | None]] | None = None) -> dict:
-    """Adds a file to the gold table at `where`/gold and to its log; a file seen before is skipped.
+    """Adds a file to the store's gold table and log; a file seen before is skipped.
 
-    profiles: saved meanings by layout signature, used where no choice is given by hand (those saved in the store if None).  An
-    import that stops half-way leaves a part without a log entry, which the next one overwrites.
+    profiles: saved meanings by layout signature, used where no choice is given by hand (those saved in the store if None).  Later
+    edits of a schema hold for its imports too.  Each source is one leaf that a snapshot makes visible; an import that stops before leaves nothing to see.
     """
     options = options or ImportOptions()
     mark = content_hash(spark, path)
     fixed = f"{options.currency}|{options.weight_unit}|{sorted(options.meanings.items())}"
-    log = _log(spark, where)
-    seen = [] if log is None else [r.asDict() for r in log.select("hash", "fixed", "name", "signature", "schema_id", "last_id", "part").collect()]  # a row a source
-    done = {r["name"] for r in seen if (r["hash"], r["fixed"]) == (mark, fixed)}
-    schemas, report = {r["signature"]: r["schema_id"] for r in seen}, {"skipped": False, "sources": []}
-    first_id, part = max((r["last_id"] for r in seen), default=-1) + 1, max((r["part"] for r in seen), default=-1) + 1
+    now = snapshots.current(spark, where)
+    done = {r["name"] for r in now.log if (r["hash"], r["fixed"]) == (mark, fixed)}
+    schemas, report = {r["signature"]: r["schema_id"] for r in now.log}, {"skipped": False, "sources": []}
     profiles = saved_profiles(spark, where) if profiles is None else profiles
     sources = _records(spark, path, options)
     if done and (len(sources) == 1 or done >= {name for name, *_ in sources}):
@@ -184,30 +189,26 @@ def import_file(spark: SparkSession, path: str, where: str, options: ImportOptio
         table = detection.detect_table(rows)
         if table is None or name in done:
             continue
+        first_id, part = max((r["last_id"] for r in now.log), default=-1) + 1, max((r["part"] for r in now.log), default=-1) + 1
         layout = detection.signature(table.headers)
         table = detection.override(table, options.meanings or profiles.get(layout, {}))
         identity = f"{layout}|{options.currency}|{options.weight_unit}|{sorted(table.meanings.items())}"
         schema_id = schemas.setdefault(identity, len(schemas) + 1)
         raw = to_raw(records, table, name, schema_id, first_id, options.currency, options.weight_unit, path.rsplit(".", 1)[-1].lower() in WORKBOOKS)
         with separate_projections(spark):
-            new = gold.to_gold(raw).persist()
+            new = gold.to_gold(raw, edits=[e for e in now.edits if e["schema_id"] == schema_id]).persist()
             n = new.count()
-        marked = new if part == 0 else gold.mark_against(new, gold_table(spark, where).filter(F.col("schema_id") == schema_id), n)
+        history = now.of_schema(schema_id)
+        marked = gold.mark_against(new, snapshots.rows(spark, where, now, history), n) if history else new
         marked = marked.persist()
         last = marked.agg(F.max("id")).first()[0] or first_id
         counts = {r["is_canonical"]: r["count"] for r in marked.groupBy("is_canonical").count().collect()}
-        marked.drop("part").write.mode("overwrite").partitionBy("schema_id").parquet(f"{where}/gold/part={part}")
+        leaf, schema = snapshots.write_leaf(marked, where, part, schema_id)
         marked.unpersist()
         new.unpersist()
+        beside_leaf(spark, where, leaf, now.rolled)
         q = quality(records, table)
         report["sources"].append({"name": name, "schema_id": schema_id, "inserted": counts.get(True, 0), "duplicates": counts.get(False, 0), **q})
-        entry = (name, mark, fixed, identity, schema_id, int(last), q["rows"], part)
-        spark.createDataFrame([entry], "name string, hash string, fixed string, signature string, schema_id int, last_id long, rows long, part int").coalesce(1).write.mode("append").parquet(f"{where}/log")
-        first_id, part = int(last) + 1, part + 1
+        entry = {"name": name, "hash": mark, "fixed": fixed, "signature": identity, "schema_id": schema_id, "last_id": int(last), "rows": q["rows"], "part": part}
+        now = snapshots.commit(spark, where, now, leaves=(*now.leaves, leaf), log=(*now.log, entry), schema=now.schema or schema)
     return report
-
-
-def _log(spark: SparkSession, where: str) -> DataFrame | None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{where}/log")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(f"{where}/log") if there else None

@@ -2,7 +2,9 @@ import pytest
 
 from tabulark.__main__ import main
 from tabulark.engine import Engine
+from tabulark.operators import rollups
 from tabulark.plans.query import Condition, Query
+from tabulark.sources import snapshots, token_index
 
 
 def test_engine_from_import_to_report(spark, tmp_path):
@@ -27,12 +29,11 @@ def test_engine_from_import_to_report(spark, tmp_path):
     assert engine.schemas().first()["name"] == "t.csv"
     engine.compact(2)
     assert engine.count(q) == 60
-    assert engine.overview_row(q)[1] == "rows"  # rewritten
-    engine.build_rollups()
-    assert engine.overview_row(q)[1] == "rollups"
+    row, source = engine.overview_row(q)
+    assert source == "rollups" and row.first()["row_count"] == 60  # rewritten with their parts
     before = {r["id"]: (r["month"], r["net_kg"], r["tokens"]) for r in engine.gold.collect()}
     engine.backfill()
-    assert {r["id"]: (r["month"], r["net_kg"], r["tokens"]) for r in engine.gold.collect()} == before and engine.overview_row(q)[1] == "rows"
+    assert {r["id"]: (r["month"], r["net_kg"], r["tokens"]) for r in engine.gold.collect()} == before and engine.overview_row(q)[1] == "rollups"
     assert tuple(engine.stats().first()) == (1, 60, 0, 1) and engine.stored_bytes()["gold"] > 0
     assert engine.sql("SELECT count(*) AS n FROM records WHERE sender = 'S1'").first()["n"] == "20"
     with pytest.raises(ValueError):
@@ -40,12 +41,10 @@ def test_engine_from_import_to_report(spark, tmp_path):
     assert "extra:note" not in engine.fields() and "sender" in engine.fields(1)
     engine.save_query("mine", q)
     assert engine.saved_query("mine") == q
-    # A rewrite that stopped between its two renames.
-    fs, path = engine._fs()
-    fs.rename(path(f"{engine.where}/gold"), path(f"{engine.where}/gold-old"))
-    assert Engine(spark, engine.where).count(q) == 60
+    old = engine.gold
     engine.clear()
-    assert not engine._exists("gold")
+    assert engine.now.leaves == () and engine.gold.count() == 0 and Engine(spark, engine.where).count(q) == 0 and old.columns == engine.gold.columns
+    assert engine.ingest(f"file://{tmp_path}/t.csv")["sources"][0]["inserted"] == 60
 
 
 def test_saved_profiles_and_commands(spark, tmp_path, capsys):
@@ -63,13 +62,103 @@ def test_saved_profiles_and_commands(spark, tmp_path, capsys):
 def test_schema_edits(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/store")
     (tmp_path / "p.csv").write_text("SKU,Thing,Worth\n8504,bolt,\"1,250\"\n8505,nut,20\n")
-    engine.ingest(f"file://{tmp_path}/p.csv")
-    assert engine.fields()[-2:] == ["extra:Thing", "extra:Worth"]
+    (tmp_path / "other.csv").write_text("Supplier,Thing\nA,screw\n")
+    for name in ("p", "other"):
+        engine.ingest(f"file://{tmp_path}/{name}.csv")
+    assert engine.fields(1)[-2:] == ["extra:Thing", "extra:Worth"]
+    other = engine.now.of_schema(2)
     engine.assign(1, "Thing", "description")
     engine.assign(1, "Worth", "value")
     engine.fix(1, "EUR", "kg")
-    row = engine.gold.orderBy("id").first()
+    row = engine.gold.filter("schema_id = 1").orderBy("id").first()
     assert (row["description"], row["value"], row["currency_key"], row["unit_key"], row["extra"]) == ("bolt", 1250.0, "EUR", "kg", [])
-    assert engine.count(Query("bolt")) == 1
-    with pytest.raises(ValueError):
-        engine.assign(1, "Thing", "nothing")
+    assert engine.count(Query("bolt")) == 1 and engine.now.of_schema(2) == other  # only one schema was rewritten
+    assert [(r["version"], r["header"], r["meaning"], r["currency"]) for r in engine.edits().orderBy("version").collect()] == [(1, "Thing", "description", None), (2, "Worth", "value", None), (3, None, None, "EUR")]
+    # A later import of the layout obeys, and finds its duplicates as ever.
+    (tmp_path / "more.csv").write_text("SKU,Thing,Worth\n8504,bolt,\"1,250\"\n8506,cog,7\n")
+    assert engine.ingest(f"file://{tmp_path}/more.csv")["sources"][0]["duplicates"] == 1
+    rows = engine.gold.filter("source_file = 'more.csv'").orderBy("id").collect()
+    assert [(r["schema_id"], r["description"], r["value"], r["currency_key"], r["extra"], r["is_canonical"]) for r in rows] == [(1, "bolt", 1250.0, "EUR", [], False), (1, "cog", 7.0, "EUR", [], True)]
+    for bad in ((1, "Thing", "nothing"), (9, "Thing", "description")):
+        with pytest.raises(ValueError):
+            engine.assign(*bad)
+
+
+class Stop(Exception):
+    pass
+
+
+def test_writers_that_stop_change_nothing(spark, tmp_path, monkeypatch):
+    """At each step of an import, an edit, a rewrite and clearing: readers see the store before or after, and the next try works."""
+    (tmp_path / "a.csv").write_text("SKU,Amount,Thing,Currency,Weight unit\n1,10,x,USD,kg\n2,20,y,USD,kg\n")
+    (tmp_path / "b.csv").write_text("SKU,Amount,Thing,Currency,Weight unit\n3,30,z,USD,kg\n")
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    engine.ingest(f"file://{tmp_path}/a.csv")
+    engine.build_rollups()
+
+    def state():
+        row, source = engine.overview_row(Query())
+        return engine.count(Query()), row.first()["row_count"], source, engine.count(Query("z")), engine.edits().count()
+
+    def stopping(own, late):
+        def step(*args, **kwargs):
+            if late:
+                own(*args, **kwargs)
+            raise Stop
+
+        return step
+
+    beside, end = [(token_index, "write", True), (rollups, "write_parts", True)], [(snapshots, "commit", False)]
+    new, again = [(snapshots, "write_leaf", True), *beside, *end], [(snapshots, "write_leaves", True), *beside, *end]
+    for act, steps, after in (
+        (lambda: engine.ingest(f"file://{tmp_path}/b.csv"), new, (3, 3, "rollups", 1, 0)), (lambda: engine.assign(1, "Thing", "description"), again, (3, 3, "rollups", 1, 1)),
+        (lambda: engine.compact(1), again, (3, 3, "rollups", 1, 1)), (engine.clear, end, (0, 0, "rows", 0, 0)),
+    ):
+        before = state()
+        for module, name, late in steps:
+            with monkeypatch.context() as m, pytest.raises(Stop):
+                m.setattr(module, name, stopping(getattr(module, name), late))
+                act()
+            assert state() == before
+        act()
+        assert state() == after
+    assert not list((tmp_path / "store/gold").glob("*/*/*"))
+    # A snapshot whose writer stopped within it is passed over.
+    engine.ingest(f"file://{tmp_path}/a.csv")
+    (tmp_path / "store/snapshots" / f"{engine.version() + 1:012d}.json").write_text('{"leaves": [')
+    assert engine.count(Query()) == 2
+    engine.ingest(f"file://{tmp_path}/b.csv")
+    assert engine.count(Query()) == 3
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SKU,Amount\n1,10\n")
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    engine.ingest(f"file://{tmp_path}/a.csv")
+    now = engine.now
+    snapshots.commit(spark, engine.where, now, rolled=False)
+    with pytest.raises(snapshots.ConflictError):
+        snapshots.commit(spark, engine.where, now, leaves=())
+    assert engine.count(Query()) == 1
+
+
+def test_old_leaves_go_with_their_snapshots(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SKU,Amount\n1,10\n2,20\n")
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    engine.ingest(f"file://{tmp_path}/a.csv")
+    before = engine.gold
+    for _ in range(snapshots.KEPT):
+        engine.compact(1)
+    assert before.count() == 2 and engine.vacuum() == 2 and engine.vacuum() == 0  # the first leaf and its tokens
+    assert engine.count(Query()) == 2
+
+
+def test_a_token_is_looked_for_in_its_files_only(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    (tmp_path / "a.csv").write_text("SKU,Description\n" + "".join(f"{i},word{i} common\n" for i in range(200)))
+    engine.ingest(f"file://{tmp_path}/a.csv")
+    engine.compact(20)
+    every = len(engine.gold.inputFiles())
+    rare, common, start = (engine.rows(Query(t)) for t in ("word17", "common", "word1* common"))
+    assert every > 10 and len(rare.inputFiles()) == 1 and len(common.inputFiles()) == every
+    assert (rare.count(), common.count(), start.count()) == (1, 200, 111) and engine.count(Query("word17 word18")) == 0 and engine.rows(Query("nowhere")).inputFiles() == []

@@ -87,11 +87,11 @@ def test_a_file_in_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_an_import_without_a_log_entry_is_not_seen(spark, tmp_path):
-    """Gold rows that a stopped import left behind are overwritten by the next one."""
+def test_rows_that_no_snapshot_names_are_not_seen(spark, tmp_path):
+    """Gold rows that a stopped import left behind."""
     where = f"file://{tmp_path}/store"
     ingest.import_file(spark, write(tmp_path / "a.csv", CSV), where)
-    spark.read.parquet(f"{where}/gold/part=0").write.partitionBy("schema_id").parquet(f"{where}/gold/part=1")
+    spark.read.parquet(f"{where}/gold/part=0/schema_id=1").drop("g").write.parquet(f"{where}/gold/part=1/schema_id=1/g=g-left")
     assert ingest.gold_table(spark, where).count() == 3
     ingest.import_file(spark, write(tmp_path / "b.csv", CSV.replace("N1", "N9")), where)
     gold = ingest.gold_table(spark, where)

@@ -5,7 +5,6 @@ from tabulark import queries
 from tabulark.operators import rollups, search
 from tabulark.plans.query import Condition, Group, Query, QueryError, code_prefix, filter_terms, text_terms
 from tabulark.plans import compiler
-from tabulark.storage import write_text
 from tabulark.testdata import facts
 
 HEAVY = {"rollup_sections", "rollup_price_baselines"}
@@ -56,16 +55,25 @@ def test_plans_stay_native_and_push_filters(spark):
     assert "Python" not in plan
 
 
-def test_rollups_route_and_validate(spark, tmp_path):
+def test_rollups_route_and_validate(spark):
     gold = facts(spark, SMALL)
-    where = f"file://{tmp_path}"
-    rollups.overview(gold).write.parquet(f"{where}/overview")
-    write_text(spark, f"{where}/version", "")
-    rollups.validate(gold, spark.read.parquet(f"{where}/overview"))
-    assert rollups.route(spark, where, Query("text")) == "rows"
-    assert rollups.route(spark, where, Query()) == "rows"  # unknown currencies make it unsafe
-    assert rollups.route(spark, where, Query(), "later") == "rows"
-    assert rollups.route(spark, f"{where}/none", Query()) == "rows"
+    rolled = rollups.overview(gold)
+    rollups.validate(gold, rolled)
+    with pytest.raises(ValueError):
+        rollups.validate(gold.filter("is_canonical"), rolled)
+    assert not rollups.eligible(Query("text")) and not rollups.eligible(Query(filters={"sender": "x"})) and rollups.eligible(Query(filters={"year": "1997"}))
+    assert not rollups.is_safe(rollups.chosen(rolled, Query()))  # unknown currencies make it unsafe
+    known = gold.filter("currency_key = 'EUR' AND unit_key = 'kg'")
+    assert rollups.is_safe(rollups.chosen(rollups.overview(known), Query())) and not rollups.is_safe(rollups.chosen(rolled, Query(filters={"year": "1800"})))
+
+
+def test_parts_of_rows_add_up_to_the_whole(spark, tmp_path):
+    gold = facts(spark, SMALL)
+    for name in ("overview", "monthly", "currencies", "sections"):
+        halves = [gold.filter(F.col("id") % 2 == i) for i in (0, 1)]
+        both = {p: rollups.PARTS[p](halves[0]).unionByName(rollups.PARTS[p](halves[1])) for p in rollups.NEEDED[name]}
+        rounded = lambda df: sorted(repr([round(v, 3) if isinstance(v, float) else v for v in r]) for r in df.collect())
+        assert rounded(rollups.MERGED[name](both)) == rounded(rollups.rolled(gold, name))
 
 
 def test_record_and_batches(spark):
