@@ -123,7 +123,7 @@ class Engine:
     # Analytics
 
     def analytics(self, q: Query, scope: str | None = None, limit: int = 10, hs_level: int = 4, full: bool = False) -> dict[str, DataFrame]:
-        """Overview, measures and months, and the sections of one scope or of all; nothing runs until a part is asked for."""
+        """Overview, measures and months, and the sections of one scope or of all; nothing but the counts of prices runs until a part is asked for."""
         rows, limit = self.rows(q), max(1, min(limit, MOST_GROUPS))
         out = {
             "overview": measures.overview(rows), "currencies": measures.currency_totals(rows), "net_weights": measures.weight_totals(rows), "gross_weights": measures.weight_totals(rows, "gross"),

@@ -51,39 +51,40 @@ def classified(rows: DataFrame, country: str | None) -> DataFrame:
     return x.withColumn("exclusion", out).withColumn("price", F.when(F.col("exclusion").isNull(), F.try_divide("value", "net_weight")))
 
 
-def statistics(x: DataFrame, samples: int) -> DataFrame:
-    """(level, cohort keys, n, p25, median, p75) of all cohorts of at least `samples` priced rows, at every level.
-
-    A finer cohort is no larger than its base, so only rows of large enough bases go on; they are written once.
-    """
+def statistics(priced: DataFrame, samples: int) -> DataFrame:
+    """(level, cohort keys, n, p25, median, p75) of all cohorts of at least `samples` priced rows, at every level."""
     members = []
     for name, keys in LEVELS.items():
         filled = F.lit(True)
         for k in keys:
             filled = filled & (F.col(k) != "")
         members.append(F.when(filled, F.struct(F.lit(name).alias("level"), *[(F.col(k) if k in keys else F.lit("")).alias(k) for k in ("brand_key", "country_key")])))
-    priced = x.filter("exclusion IS NULL").select(*BASE, "brand_key", "country_key", "price")
-    large = priced.groupBy(*BASE).agg(F.count("*").alias("n")).filter(F.col("n") >= samples).drop("n")
-    where = scratch_path(x.sparkSession, "priced")
-    priced.join(large, BASE, "left_semi").write.parquet(where)
-    each = x.sparkSession.read.parquet(where).select(*BASE, "price", F.explode(F.array_compact(F.array(*members))).alias("m")).select(*BASE, "price", "m.*")
+    each = priced.select(*BASE, "price", F.explode(F.array_compact(F.array(*members))).alias("m")).select(*BASE, "price", "m.*")
     return quartiles_by(each, [*BASE, "level", "brand_key", "country_key"], "price", samples)
 
 
 def resolved(x: DataFrame, samples: int) -> DataFrame:
     """(BASE, brand_key, country_key, s): for each set of all keys that rows have, the statistics of its finest large enough cohort.
 
-    These sets are far fewer than rows; levels are joined to them, and rows to the outcome only once.
+    A finer cohort is no larger than its base, so only the prices of large enough bases go on.  The sets are far fewer than
+    rows; levels are joined to them, and rows to the outcome only once.
     """
     spark, where = x.sparkSession, scratch_path(x.sparkSession, "cohorts")
-    statistics(x, samples).write.parquet(where)
-    stats = spark.read.parquet(where)
-    large = stats.filter("level = 'base'").select(*BASE)
-    out = x.filter("exclusion IS NULL").select(*BASE, "brand_key", "country_key").distinct().join(large, BASE, "left_semi")
+    keyed = [*BASE, "brand_key", "country_key"]
+    priced = x.filter("exclusion IS NULL").select(*keyed, "price")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{where}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{where}/{name}")
+
+    large = kept(priced.groupBy(*BASE).agg(F.count("*").alias("n")).filter(F.col("n") >= samples).select(*BASE), "large")
+    priced = kept(priced.join(large, BASE, "left_semi"), "priced")
+    stats = kept(statistics(priced, samples), "statistics")
+    out = priced.select(*keyed).distinct()
     for level, own in LEVELS.items():
         found = stats.filter(F.col("level") == level).select(*BASE, *own, F.struct(F.lit(level).alias("level"), "n", "p25", F.col("median").alias("med"), "p75").alias(f"s_{level}"))
-        out = out.join(found, [*BASE, *own], "left")
-    return out.select(*BASE, "brand_key", "country_key", F.coalesce(*[F.col(f"s_{level}") for level in LEVELS]).alias("s"))
+        out = out.join(found, [*BASE, *own], "inner" if level == "base" else "left")
+    return out.select(*keyed, F.coalesce(*[F.col(f"s_{level}") for level in LEVELS]).alias("s"))
 
 
 def screened(rows: DataFrame, threshold: float = THRESHOLD, samples: int = SAMPLES) -> DataFrame:

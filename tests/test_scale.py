@@ -64,7 +64,7 @@ def test_quartiles_of_narrow_values_rank_few(spark, monkeypatch, few):
     for k, values in rows.toPandas().groupby("k")["v"]:
         assert got[k]["n"] == len(values) and np.allclose([got[k][q] for q in quantiles.POINTS], np.percentile(values, [25, 50, 75]), rtol=1e-15)
     x = rows.withColumn("bucket", quantiles.bucket(F.col("v")))
-    parts = quantiles.chosen_parts(x, ["k"], 1).collect()
+    parts = quantiles.chosen_parts(x, ["k"], few).collect()
     assert max(r["c"] for r in parts if r["lo"] < r["hi"]) <= 500 and len(parts) <= 18
 
 
