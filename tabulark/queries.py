@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape as xml_escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -575,6 +578,61 @@ def _(spark, sf_dir, where):
     return gold.select("sender", "date", "month", F.round("value", 2).alias("value"), text.extra_value(F.col("extra"), "batch").alias("plain_number"))
 
 
+_ODS_SPACES = " ".join(f'xmlns:{k}="urn:oasis:names:tc:opendocument:xmlns:{k}:1.0"' for k in ("office", "table", "text"))
+
+
+def _ods_book(sheets: dict[str, list[str]]) -> bytes:
+    """A workbook of sheets, each of rows in XML."""
+    body = "".join(f'<table:table table:name="{name}">{"".join(rows)}</table:table>' for name, rows in sheets.items())
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("content.xml", f"<office:document-content {_ODS_SPACES}><office:body><office:spreadsheet>{body}</office:spreadsheet></office:body></office:document-content>")
+    return out.getvalue()
+
+
+def _ods_cells(*values: str | float | None) -> str:
+    cell = lambda v: "<table:table-cell/>" if v is None else f'<table:table-cell office:value-type="float" office:value="{v!r}"/>' if isinstance(v, (int, float)) else f'<table:table-cell office:value-type="string"><text:p>{xml_escape(v)}</text:p></table:table-cell>'
+    return f"<table:table-row>{''.join(map(cell, values))}</table:table-row>"
+
+
+@imported("import_ods_sheets", """
+SELECT 'book.ods [Suppliers]' AS source_file, s_name AS sender, round(s_acctbal, 2) AS value, 1 AS rows FROM supplier UNION ALL SELECT 'book.ods [Same]', 'Twice & more', 7, 5""")
+def _(spark, sf_dir, where):
+    """Two sheets, one with repeated rows and cells."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_name", F.col("s_acctbal").cast("double"))
+    head = _ods_cells("Supplier", "Amount", "Note")
+    again = _ods_cells("Twice & more", 7.0, None).replace("<table:table-row>", '<table:table-row table:number-rows-repeated="5">')
+    empty = '<table:table-row table:number-rows-repeated="1000000"><table:table-cell table:number-columns-repeated="16384"/></table:table-row>'
+    book = _ods_book({"Suppliers": [head, *[_ods_cells(r["s_name"], r["s_acctbal"], "x") for r in rows.toLocalIterator()], empty], "Same": [empty, head, again]})  # a small workbook
+    write_bytes(spark, f"{where}/book.ods", book)
+    ingest.import_file(spark, f"{where}/book.ods", f"{where}/store")
+    return ingest.gold_table(spark, f"{where}/store").groupBy("source_file", "sender", F.round("value", 2).alias("value")).agg(F.count("*").cast("int").alias("rows"))
+
+
+@imported("export_one_csv_file", """
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, 'N' || o_orderkey AS declaration_number, c_name || '; "retail"' AS recipient, round(o_totalprice, 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) = 1997""")
+def _(spark, sf_dir, where):
+    """An export in one file, written by parts and read again."""
+    engine = Engine(spark, f"{where}/store")
+    engine.ingest(_order_file(spark, sf_dir, where, [_HEADER]))
+    engine.export_csv(Query(filters={"year": "1997"}), ["date", "declaration_number", "recipient", "value"], f"{where}/out.csv", search.Sort("value", True))
+    out = spark.read.options(sep=";", header=True, quote='"', escape='"').csv(f"{where}/out.csv")
+    return out.select("date", "declaration_number", "recipient", F.round(F.col("value").cast("double"), 2).alias("value"))
+
+
+@imported("export_workbook_and_import", """
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS rows, count(DISTINCT o_custkey) AS buyers, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1""")
+def _(spark, sf_dir, where):
+    """A saved query's rows as a workbook, which is imported again."""
+    engine = Engine(spark, f"{where}/store")
+    engine.ingest(_order_file(spark, sf_dir, where, [_HEADER]))
+    engine.save_query("a year", Query(filters={"year": "1997"}))
+    engine.export_xlsx(engine.saved_query("a year"), ["date", "declaration_number", "recipient", "value"], f"{where}/out.xlsx")
+    again = Engine(spark, f"{where}/again")
+    again.ingest(f"{where}/out.xlsx")
+    return again.gold.groupBy("month").agg(F.count("*").alias("rows"), F.count_distinct("recipient_label").alias("buyers"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @imported("rollups_follow_imports", """
 WITH o AS (SELECT 'N' || o_orderkey AS declaration, c_name || '; "retail"' AS buyer FROM orders JOIN customer ON o_custkey = c_custkey), p AS (SELECT * FROM o UNION ALL SELECT 'X1', 'New'),
 a AS (SELECT 'built' AS step, * FROM o UNION ALL SELECT 'imported', * FROM p UNION ALL SELECT 'compacted', * FROM p)

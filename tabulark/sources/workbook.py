@@ -12,11 +12,14 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .detection import MOST_COLUMNS
+
 MOST_SHEETS, MOST_CELLS = 256, 100_000_000
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 _OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
+_TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
 #: Built-in number formats that show dates or times.
 _DATE_FORMATS = {*range(14, 23), *range(45, 48)}
 
@@ -85,30 +88,69 @@ def _xlsx(book: zipfile.ZipFile) -> Iterator[tuple[str, Iterator[list[str]]]]:
         yield sheet.get("name"), rows(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
 
 
+def _ods_text(cell) -> str:
+    """The paragraphs of a cell, without its notes."""
+    out = []
+    for p in cell.findall(f"{_TEXT}p"):
+        pieces = [p.text or ""]
+        for e in p.iter():
+            if e is not p:
+                mark = {f"{_TEXT}s": " " * int(e.get(f"{_TEXT}c", 1)), f"{_TEXT}tab": "\t", f"{_TEXT}line-break": "\n"}.get(e.tag, e.text or "")
+                pieces += [mark, e.tail or ""]
+        out.append("".join(pieces))
+    return " ".join(out)
+
+
+def _ods_row(row) -> list[str]:
+    out: list[str] = []
+    for cell in row:
+        kind = cell.get(f"{_OFFICE}value-type")
+        if kind in ("float", "currency", "percentage"):
+            text = number_text(cell.get(f"{_OFFICE}value"))
+        elif kind == "date":
+            text = cell.get(f"{_OFFICE}date-value", "").replace("T", " ")
+        elif kind == "boolean":
+            text = cell.get(f"{_OFFICE}boolean-value", "").upper()
+        else:
+            text = _ods_text(cell)
+        times = int(cell.get(f"{_TABLE}number-columns-repeated", 1))
+        if text and len(out) + times > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} columns")
+        out += [text] * min(times, MOST_COLUMNS)
+    while out and not out[-1]:
+        out.pop()
+    return out
+
+
 def _ods(book: zipfile.ZipFile) -> Iterator[tuple[str, Iterator[list[str]]]]:
+    """Sheets in one pass over the events of the content; a row's elements go when it is read."""
+    events = ElementTree.iterparse(book.open("content.xml"), events=("start", "end"))
+
     def rows(table) -> Iterator[list[str]]:
-        for row in table.iter(f"{_TABLE}table-row"):
-            out: list[str] = []
-            for cell in row:
-                kind = cell.get(f"{_OFFICE}value-type")
-                if kind in ("float", "currency", "percentage"):
-                    text = number_text(cell.get(f"{_OFFICE}value"))
-                elif kind == "date":
-                    text = cell.get(f"{_OFFICE}date-value", "").replace("T", " ")
-                elif kind == "boolean":
-                    text = cell.get(f"{_OFFICE}boolean-value", "").upper()
-                else:
-                    text = " ".join("".join(p.itertext()) for p in cell)
-                times = int(cell.get(f"{_TABLE}number-columns-repeated", 1))
-                out += [text] * (times if text else min(times, 16_384))
-            while out and not out[-1]:
-                out.pop()
-            if out:
-                for _ in range(int(row.get(f"{_TABLE}number-rows-repeated", 1))):
+        cells, depth = 0, 1
+        for event, e in events:
+            if e.tag == f"{_TABLE}table":  # a table in a cell has rows of its own, which aren't the sheet's
+                depth += 1 if event == "start" else -1
+                if not depth:
+                    return
+            elif e.tag == f"{_TABLE}table-row" and depth == 1:
+                if event == "start":
+                    continue
+                out = _ods_row(e)
+                times = int(e.get(f"{_TABLE}number-rows-repeated", 1))
+                table.clear()
+                cells += len(out) * times
+                if cells > MOST_CELLS:
+                    raise ValueError(f"a sheet has more than {MOST_CELLS} cells")
+                for _ in range(times if out else 0):
                     yield out
 
-    for table in ElementTree.parse(book.open("content.xml")).getroot().iter(f"{_TABLE}table"):
-        yield table.get(f"{_TABLE}name"), rows(table)
+    for event, e in events:
+        if event == "start" and e.tag == f"{_TABLE}table":
+            name, own = e.get(f"{_TABLE}name"), rows(e)
+            yield name, own
+            for _ in own:  # what the reader left
+                pass
 
 
 def sheets(content: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:

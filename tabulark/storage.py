@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import tempfile
 import uuid
@@ -40,6 +41,31 @@ def write_bytes(spark: SparkSession, where: str, content: bytes) -> None:
         out.close()
 
 
+class _Output(io.RawIOBase):
+    """An output stream of a store as a file to write."""
+
+    def __init__(self, out):
+        self.out = out
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, b) -> int:
+        self.out.write(bytearray(b))
+        return len(b)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.out.close()
+        super().close()
+
+
+def open_output(spark: SparkSession, where: str) -> io.BufferedWriter:
+    """A new file in any store that Spark writes, to be written from front to end."""
+    path, fs = _file(spark, where)
+    return io.BufferedWriter(_Output(fs.create(path, True)), 1 << 20)
+
+
 def write_text(spark: SparkSession, where: str, text: str | None) -> None:
     """A small text file; None removes it."""
     if text is None:

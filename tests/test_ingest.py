@@ -156,6 +156,27 @@ def test_import_workbook(spark, tmp_path):
     assert {r["product_code"] for r in spark.read.parquet(f"{where}2/gold").collect()} == {"8504", "8505"}
 
 
+def test_ods_repeats_notes_and_nested_tables():
+    from tabulark.queries import _ods_book, _ods_cells
+
+    row = lambda *cells: f"<table:table-row>{''.join(cells)}</table:table-row>"
+    text_cell = '<table:table-cell table:number-columns-repeated="2" office:value-type="string"><text:p>a<text:s text:c="2"/>b<text:tab/>c</text:p><text:p>d</text:p></table:table-cell>'
+    nested = '<table:table-cell><text:p>out</text:p><table:table table:name="in"><table:table-row><table:table-cell><text:p>x</text:p></table:table-cell></table:table-row></table:table></table:table-cell>'
+    note = '<table:table-cell office:value-type="string"><office:annotation><text:p>note</text:p></office:annotation><text:p>seen</text:p></table:table-cell>'
+    dated = '<table:table-cell office:value-type="date" office:date-value="2024-02-03T10:00:00"/><table:table-cell office:value-type="boolean" office:boolean-value="true"/>'
+    book = _ods_book({"One": [row(text_cell, "<table:covered-table-cell/>", note), row(nested), row(dated)], "Two": [_ods_cells("only", 2.0)]})
+    found = workbook.sheets(book)
+    name, rows = next(found)
+    assert (name, next(rows)) == ("One", ["a  b\tc d", "a  b\tc d", "", "seen"])  # the rest is passed over when the next sheet is asked for
+    assert [(n, list(r)) for n, r in found] == [("Two", [["only", "2"]])]
+    assert [list(r) for _, r in workbook.sheets(book)] == [[["a  b\tc d", "a  b\tc d", "", "seen"], ["out"], ["2024-02-03 10:00:00", "TRUE"]], [["only", "2"]]]
+    wide = row(text_cell.replace('repeated="2"', 'repeated="20000"'))
+    with pytest.raises(ValueError, match="columns"):
+        list(next(workbook.sheets(_ods_book({"W": [wide]})))[1])
+    with pytest.raises(ValueError, match="cells"):
+        list(next(workbook.sheets(_ods_book({"W": [_ods_cells("x").replace("<table:table-row>", '<table:table-row table:number-rows-repeated="999999999">')]})))[1])
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from support import SMALL
 
