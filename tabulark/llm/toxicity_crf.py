@@ -7,8 +7,8 @@ neighbours) is fitted to those tagged lines; lines are its sequences.  Forward-b
 gives each word's marginal; a logistic fit on the sample turns a document's marginals
 into its score, and runs of words over one half become its offending byte ranges.
 
-Fitting uses at most FIT_ROWS labelled documents, chosen by a hash of the id, none of them
-held out.  Their whole texts are read by the driver twice, a chunk at a time; what stays of them is 21 bytes
+Fitting uses at most FIT_ROWS labelled documents of FIT_BYTES in all, half of each label, chosen by a hash of the id, none of them
+held out; a document that would not fit in any more is passed over.  Their whole texts are read by the driver twice, a chunk at a time; what stays of them is 21 bytes
 a word.  A word is bound to toxic documents if its counts in distinct sample texts are significant among all words
 (Chernoff bound, Benjamini-Hochberg).  Scores depend on the text alone.  Scoring is one narrow pass over whole texts.
 
@@ -26,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bytes_kernel as bk
 from .arrow_rows import map_texts
 from .quality_forest import known_labels, labelled
 from .scratch import Scratch
 
-FIT_ROWS = 3_000
+FIT_ROWS, FIT_BYTES = 3_000, 64 << 20
 CUT = 0.7
 BUCKETS = 1 << 18
 EPOCHS = 30
@@ -372,10 +373,26 @@ def in_chunks(rows: Iterator[tuple[str | None, int]]) -> Iterator[tuple[np.ndarr
         yield *bk.utf8(pa.array(texts, pa.large_string())), np.array(labels, np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
+def within(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """Which of the documents, (label, bytes) in their order, fit in half of `most` bytes for each label."""
+    left, out = {0: most // 2, 1: most // 2}, []
+    for i, (label, size) in enumerate(sizes):
+        if size <= left[label]:
+            left[label] -= size
+            out.append(i)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> ToxicityModel:
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = labelled(docs, known_labels(labels, key, label), key, text, rows, per_class=True).repartition(16, "id").sortWithinPartitions("id")
-    sample = scratch.keep(sample.select("label", "text"), "sample")  # at most `rows` rows
+    sample = scratch.keep(sample, "sample")  # at most `rows` rows
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    known = sorted((r["h"], r["id"], r["label"], r["size"]) for r in sample.select(F.xxhash64(F.col("id").cast("string")).alias("h"), "id", "label", size.alias("size")).collect())
+    chosen = within([r[2:] for r in known], most_bytes)
+    if len(chosen) < len(known):
+        sample = sample.filter(F.col("id").isin([known[i][1] for i in chosen]))
+    sample = sample.select("label", "text")
     model = ToxicityModel.fit(lambda: in_chunks((r["text"], r["label"]) for r in sample.toLocalIterator()))
     scratch.drop("sample")
     return model

@@ -215,6 +215,15 @@ def test_repeated_ids_have_one_label_and_text(spark):
     assert len(seen) == 1
 
 
+def test_fitting_is_bounded_in_bytes(spark):
+    assert toxicity_crf.within([(0, 5), (1, 9), (0, 6), (0, 1), (1, 1), (1, 1)], 20) == [0, 1, 3, 4]
+    rows = [(i, ("bad word " if i % 2 else "good one ") * (1 + 500 * (i % 10 == 5)), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    small = toxicity_crf.fit(docs, docs, most_bytes=4000)
+    short = toxicity_crf.fit(docs.filter("doc_id % 10 <> 5"), docs, most_bytes=4000)
+    assert np.allclose(small.weights, short.weights, rtol=1e-9)
+
+
 def test_toxic_spans_and_unlabelled(spark, odd_docs):
     sample = [(f"good words here {i}\nmore of them", 0) for i in range(60)] + [(f"good words here {i}\nyou rotten person", 1) for i in range(60)]
     model = toxicity_crf.ToxicityModel.fit(lambda: toxicity_crf.in_chunks(iter(sample)))
