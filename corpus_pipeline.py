@@ -3,8 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next one's docs.  All but the last return the columns of docs.
 
-Defined cases, for every stage: null, empty and wordless texts are clean documents and stay (the last
-stage gives them their end mark); rows alike in doc_id and text are one document repeated, of which near-duplicate
+Defined cases, for every stage: null and empty texts are clean documents and stay (the last
+stage gives them their end mark); so are wordless texts, of which near-duplicate removal keeps one of those alike; rows alike in doc_id and text are one document repeated, of which near-duplicate
 removal keeps one row; a null doc_id is a value like others, the least; of equal candidates the least doc_id stays; an
 empty table gives an empty table; columns are carried under whatever names.
 """
