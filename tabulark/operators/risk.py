@@ -78,6 +78,8 @@ def resolved(x: DataFrame, samples: int) -> DataFrame:
         return spark.read.schema(df.schema).parquet(f"{where}/{name}")
 
     large = kept(priced.groupBy(*BASE).agg(F.count("*").alias("n")).filter(F.col("n") >= samples).select(*BASE), "large")
+    if large.isEmpty():
+        return spark.createDataFrame([], ", ".join(f"{k} string" for k in keyed) + ", s struct<level:string,n:long,p25:double,med:double,p75:double>")
     priced = kept(priced.join(large, BASE, "left_semi"), "priced")
     stats = kept(statistics(priced, samples), "statistics")
     out = priced.select(*keyed).distinct()
