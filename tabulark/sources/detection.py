@@ -86,6 +86,11 @@ def width(row: list[str]) -> int:
     return max((i + 1 for i, c in enumerate(row) if clean(c)), default=0)
 
 
+#: Points of a header row for each filled cell, label, known meaning and different name, for each row after it of like width, each column
+#: that turns from a label to values, and each bare number.
+HEADER_POINTS = {"filled": 20, "labels": 6, "meanings": 12, "different": 2, "steady": 3, "turns": 2, "numbers": -10}
+
+
 def header_score(rows: list[list[str]], at: int) -> int | None:
     """How much a row looks like the header of the rows after it; None for empty rows."""
     row = [clean(c) for c in rows[at]]
@@ -96,8 +101,11 @@ def header_score(rows: list[list[str]], at: int) -> int | None:
     own = width(row)
     steady = sum(0 < width(r) and abs(width(r) - own) <= max(own // 5, 1) for r in after)
     turns = sum(is_label(row[i]) and any(i < len(r) and not is_label(r[i]) for r in after) for i in range(own))
-    points = ((len(filled), 20), (sum(map(is_label, filled)), 6), (sum(meaning_of(c) is not None for c in filled), 12), (len({plain(c) for c in filled} - {""}), 2), (steady, 3), (turns, 2))
-    return sum(n * weight for n, weight in points) - 10 * sum(map(is_number, filled))
+    found = {
+        "filled": len(filled), "labels": sum(map(is_label, filled)), "meanings": sum(meaning_of(c) is not None for c in filled), "different": len({plain(c) for c in filled} - {""}),
+        "steady": steady, "turns": turns, "numbers": sum(map(is_number, filled)),
+    }
+    return sum(n * HEADER_POINTS[what] for what, n in found.items())
 
 
 @dataclass
