@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytes_kernel as bk
@@ -50,6 +50,8 @@ GRAIN = 1 / 32
 LEAST_IDF = 1 / 16
 #: Nodes and words of a block of a bucket's nodes that are compared together.
 PART, PART_WORDS = 1024, 400_000
+#: Repeated documents (their ids, hashes and classes) of so many bytes are sent to where the rows are read; more are joined by shuffles.
+SENT_BYTES = 16 << 20
 
 _TABLE_BITS = 16
 _RNG = np.random.default_rng(41)
@@ -413,12 +415,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     named = scratch.keep(named.select("id", "th", F.coalesce("label", "node").alias("label")), "named")
     # Written before it is joined, so that Spark can split the join's hot labels.
     heads = scratch.keep(named.groupBy("label").agg(F.min(F.struct("id", "th")).alias("head")), "heads")
-    scratch.drop("signed", "second-labels")
-    name = F.coalesce(F.col("id").cast("string"), F.lit("\0"))  # a null id is one like others
-    classes = named.join(heads.hint("merge"), "label").dropDuplicates(["id", "th"]).select(name.alias("name"), "th", "head")
+    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))  # a null id is one like others
+    alike = named.join(heads.hint("merge"), "label").select("id", "th", "head")
+    blank = signed.filter("NOT filled").select("id", "th", F.lit(None).cast(alike.schema["head"].dataType).alias("head"))
+    # Rows alike in id and text are counted by a combined aggregate and written, so that Spark can split those of one document in the join.
+    classes = scratch.keep(alike.unionByName(blank).groupBy(name.alias("name"), "th").agg(F.first("head", True).alias("head"), F.count("*").alias("n")), "classes")
+    scratch.drop("signed", "second-labels", "named", "heads")
     out = docs.select(
         F.struct(*[F.col(quoted(c)) for c in (docs.columns if carry is None else carry)]).alias("doc"), F.col(quoted(key)).alias("id"), F.xxhash64(quoted(text)).alias("th")
     ).withColumn("name", name)
     head = F.coalesce("head", F.struct("id", "th"))
-    joined = out.join(classes.hint("merge"), ["name", "th"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("name", "th").orderBy("name")))
-    return joined.select("doc", head["id"].alias("class_id"), (head["id"].eqNullSafe(F.col("id")) & (head["th"] == F.col("th")) & (F.col("nth") == 1)).alias("keep"))
+    chosen = head["id"].eqNullSafe(F.col("id")) & (head["th"] == F.col("th"))
+    found = out.join(classes.hint("merge"), ["name", "th"]).filter("n = 1").select("doc", head["id"].alias("class_id"), chosen.alias("keep"))
+    several = classes.filter("n > 1")
+    size = several.agg(F.sum(2 * F.octet_length("name") + 64)).first()[0]
+    if size is None:
+        return found
+    # One of several rows alike is that of the least place in a written table of them; nothing gathers them in one task.
+    several = F.broadcast(several) if size <= SENT_BYTES else several.hint("merge")
+    rows = out.join(several, ["name", "th"]).select("name", "th", "doc", head["id"].alias("class_id"), chosen.alias("keep"), F.monotonically_increasing_id().alias("place"))
+    rows = scratch.keep(rows, "several")
+    first = scratch.keep(rows.groupBy("name", "th").agg(F.min("place").alias("place")).select("place", F.lit(True).alias("first")), "first")
+    rows = rows.join(first.hint("merge"), "place", "left")
+    return found.unionByName(rows.select("doc", "class_id", (F.col("keep") & F.col("first").isNotNull()).alias("keep")))

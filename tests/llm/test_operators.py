@@ -98,6 +98,24 @@ def test_near_duplicates_by_brute_force(spark, docs):
     assert all(keep == (i == c) for i, (c, keep) in got.items())
 
 
+@pytest.mark.parametrize("sent", [0, near_dedup.SENT_BYTES])
+def test_one_of_many_rows_alike_is_kept(spark, monkeypatch, sent):
+    """A third of all rows are a null id with one text, a third one id with an empty one; no window meets them in one task."""
+    monkeypatch.setattr(near_dedup, "SENT_BYTES", sent)
+    page = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, page)] * 400 + [(7, "")] * 400 + [(i, f"{page} {i}") for i in range(20, 30)] + [(i, f"own text of {i} " * 9) for i in range(100, 490)] + [(490, page), (490, page), (491, None), (491, None), (7, None)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).select("doc.*", "class_id", "keep")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert len(got) == len(rows)
+    copies = [r for r in got if r["text"] and r["text"].startswith("word0")]
+    assert len(copies) == 412 and {r["class_id"] for r in copies} == {None} and [r["doc_id"] for r in copies if r["keep"]] == [None]
+    for id_, text in ((7, ""), (7, None), (491, None)):
+        own = [r for r in got if r["doc_id"] == id_ and r["text"] == text]
+        assert {r["class_id"] for r in own} == {id_} and sum(r["keep"] for r in own) == 1
+    assert sum(r["keep"] for r in got if r["doc_id"] and 100 <= r["doc_id"] < 490) == 390
+
+
 def test_near_duplicate_classes_of_a_whole_table(spark):
     """All documents of a table; every class as by comparing all pairs."""
     got = {r["doc_id"]: r["class_id"] for r in queries.op2_near_dedup(spark, "/root/testdata/sf0.01").collect()}
