@@ -44,9 +44,9 @@ class Engine:
         return ingest.gold_table(self.spark, self.where)
 
     def gold_for(self, q: Query) -> DataFrame:
-        """Gold rows in the files that can have hits: those with all tokens that the query asks for."""
+        """Gold rows in the files that can have hits: those with all tokens and values of extra columns that the query asks for."""
         now = self.now
-        files = token_index.files(self.spark, self.where, now.leaves, compiler.needed_terms(q))
+        files = token_index.files(self.spark, self.where, now.leaves, compiler.needed_terms(q), compiler.needed_ranges(q))
         return snapshots.rows(self.spark, self.where, now, files=files)
 
     def rows(self, q: Query) -> DataFrame:
@@ -223,7 +223,7 @@ class Engine:
 
     def stored_bytes(self) -> dict[str, int]:
         fs, path = snapshots.hadoop(self.spark, self.where)
-        return {name: fs.getContentSummary(path(f"{self.where}/{name}")).getLength() for name in (snapshots.GOLD, snapshots.ROLLUPS, snapshots.TOKENS) if self._exists(name)}
+        return {name: fs.getContentSummary(path(f"{self.where}/{name}")).getLength() for name in (snapshots.GOLD, snapshots.ROLLUPS, snapshots.TOKENS, snapshots.RANGES) if self._exists(name)}
 
     def compact(self, files: int) -> None:
         """Rewrites the gold table as one leaf a schema, in about so many files."""

@@ -47,6 +47,16 @@ def normalize_date(c: Column) -> Column:
     return F.coalesce(iso(_DMY, 3, 2, 1), iso(_YMD, 1, 2, 3), blank(c))
 
 
+def date_text(c: Column) -> Column:
+    """What dates are compared by: their normal form without surrounding space."""
+    return trimmed(normalize_date(c))
+
+
+def date_value(c: Column) -> Column:
+    """The date_text of cells that begin with a date, else null."""
+    return F.when(F.regexp_like(date_text(c), F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")), date_text(c))
+
+
 def excel_date(c: Column) -> Column:
     """ISO date, with a time if there is one, of spreadsheet day numbers from 25 000 to 60 000; others null."""
     n = c.try_cast("double")

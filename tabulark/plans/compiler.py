@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import keys, numbers, text
+from ..functions import dates, keys, numbers, text
+from ..functions.numbers import reads_as_number
 from ..schema import COUNTRIES, GROUPED_NUMBERS, PRICES, SEMANTICS
+from ..sources.detection import role
+from ..sources.token_index import RANGE_CHARS
 from .query import OPERATORS, Condition, Group, Query, QueryError, code_prefix, filter_terms, plain_terms, text_terms
 
+#: Roles of headers whose extra columns are compared as numbers.
+_NUMBER_ROLES = ("number", "money", "weight")
 _NUMBER_COLUMNS = {"net_weight": "net", "gross_weight": "gross", "value": "value", "quantity": "quantity", **{p: p for p in PRICES}}
 
 
@@ -27,13 +32,14 @@ class FieldExpr:
     """What a condition's field means: its text, its kind, and stored columns for numbers and countries."""
 
     def __init__(self, name: str):
-        self.guard = None
+        self.guard, self.typed = None, None
         if name.startswith("schema:"):
             _, schema, name = name.split(":", 2)
             self.guard = F.col("schema_id") == int(schema)
         self.number = self.country = None
         if name.startswith("extra:"):
             self.text, self.kind, self.grouped = text.extra_value(F.col("extra"), name[6:]), "text", False
+            self.typed = extra_kind(name[6:])
         elif name == "source_file":
             self.text, self.kind, self.grouped = F.col(name), "text", False
         elif name == "year":
@@ -62,6 +68,11 @@ class FieldExpr:
         return int(digits)
 
     def equals(self, value: str) -> Column:
+        if self.typed == "number" and reads_as_number(value):
+            return numbers.num_value(self.text) == self.bound(value)
+        if self.typed == "date":
+            wanted = dates.date_value(F.lit(value))
+            return F.when(wanted.isNotNull(), dates.date_value(self.text) == wanted).otherwise(text.text_key(self.text) == text.text_key(F.lit(value)))
         if self.kind == "text":
             return text.text_key(self.text) == text.text_key(F.lit(value))
         if self.kind in ("code", "date"):
@@ -77,7 +88,11 @@ class FieldExpr:
         for bound, above in ((low, True), (high, False)):
             if not bound:
                 continue
-            if self.kind == "number":
+            if self.typed == "number":
+                left, right = numbers.num_value(self.text), self.bound(_number(bound, self.grouped))
+            elif self.typed == "date":  # cells without a date are in no range
+                left, right = dates.date_value(self.text), dates.date_text(F.lit(bound))
+            elif self.kind == "number":
                 left, right = self.number, self.bound(_number(bound, self.grouped))
             elif self.kind == "year":
                 left, right = F.col("year"), F.lit(self.year(bound))
@@ -87,6 +102,12 @@ class FieldExpr:
         return reduce(lambda a, b: a & b, parts)
 
 
+def extra_kind(header: str) -> str:
+    """What an extra column's cells are compared as, besides as texts: numbers or dates if its header says so."""
+    found = role(header)
+    return "number" if found in _NUMBER_ROLES else "date" if found == "date" else "text"
+
+
 def _number(value: str, grouped: bool) -> str:
     if not any(c.isdigit() for c in value):
         raise QueryError("a number condition needs a number")
@@ -99,7 +120,7 @@ def condition(c: Condition) -> Column | None:
             raise QueryError("a range needs a bound")
         return None
     field = FieldExpr(c.field)
-    if c.op not in OPERATORS[field.kind]:
+    if c.op not in OPERATORS[field.kind] and not (c.op == "range" and field.typed in ("number", "date")):
         raise QueryError(f"{c.op} is not valid for {field.kind} fields")
     strip = lambda v: (v or "").strip()
     if c.op == "contains":
@@ -141,6 +162,56 @@ def needed_terms(q: Query) -> list[tuple[str, bool]]:
     return out
 
 
+def needed_ranges(q: Query) -> list[Column]:
+    """What a file's range table must have a row of for each, or none of the file's rows is a hit: the conditions on extra columns that all hits fulfil."""
+    conditions: list[Condition] = []
+
+    def visit(e: Group | Condition | None) -> None:
+        if isinstance(e, Group) and e.op == "and" and not e.negated:
+            for child in e.children:
+                visit(child)
+        elif isinstance(e, Condition) and not e.negated and not e.is_empty() and e.op != "empty":
+            conditions.append(e)
+
+    visit(q.advanced)
+    out = []
+    for c in conditions:
+        name = c.field.split(":", 2)[2] if c.field.startswith("schema:") else c.field
+        if name.startswith("extra:"):
+            out.append((F.col("key") == text.text_key(F.lit(name[6:]))) & _in_range(c, extra_kind(name[6:])))
+    return out
+
+
+def _in_range(c: Condition, kind: str) -> Column:
+    """Whether a file's least and greatest values of an extra column leave room for a hit."""
+    start = lambda v: F.left(v, F.lit(RANGE_CHARS))
+    number, date, plain = (lambda v: numbers.num_value(F.lit(v))), (lambda v: start(dates.date_text(F.lit(v)))), (lambda v: start(text.text_key(F.lit(v))))
+
+    def meets(low: str, high: str, suffix: str, value) -> Column:
+        bounds = [F.col(f"high{suffix}") >= value(low)] if low else []
+        bounds += [F.col(f"low{suffix}") <= value(high)] if high else []
+        return reduce(lambda a, b: a & b, bounds)
+
+    def same(v: str) -> Column:
+        if kind == "number" and reads_as_number(v):
+            return meets(v, v, "", number)
+        same_text = meets(v, v, "_text", plain)
+        return F.when(dates.date_value(F.lit(v)).isNotNull(), meets(v, v, "_date", date)).otherwise(same_text) if kind == "date" else same_text
+
+    strip = lambda v: (v or "").strip()
+    if c.op == "equals":
+        return same(strip(c.value))
+    if c.op == "any_of":
+        return reduce(lambda a, b: a | b, [same(strip(v)) for v in c.value if strip(v)])
+    if c.op == "range":
+        low, high = strip(c.value[0]), strip(c.value[1])
+        return meets(low, high, "", number) if kind == "number" else meets(low, high, "_date", date)
+    if c.op == "starts_with":
+        head = plain(strip(c.value))
+        return (F.col("high_text") >= head) & (F.left("low_text", F.length(head)) <= head)
+    return F.lit(True)
+
+
 def predicate(q: Query, substring: bool = False) -> list[Column]:
     """The clauses of a query, to be and-ed; substring: free text as on rows without an index."""
     out: list[Column] = []

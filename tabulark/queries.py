@@ -249,6 +249,8 @@ predicate("empty", _one("weight_unit", "empty"), "unit_key = '__unknown__'")
 predicate("not_empty", _one("currency", "not_empty"), "currency_key <> '__unknown__'")
 predicate("extra_equals", _one("extra:return FLAG", "equals", "r"), "flag = 'R'")
 predicate("extra_starts_with", _one("extra:Ship date", "starts_with", "1998-0"), "ship LIKE '1998-0%'")
+predicate("extra_range_date", _one("extra:Ship date", "range", ["10.01.1998", "1998-02-05"]), "ship BETWEEN '1998-01-10' AND '1998-02-05'")
+predicate("extra_date_any_of", _one("schema:1:extra:ship DATE", "any_of", ["14.03.1997", "", "1996-7-2"]), "ship IN ('1997-03-14', '1996-07-02')")
 predicate("source_file", Query(scope="occurrences", advanced=Condition("source_file", "equals", "B.CSV")), "source_file = 'b.csv'", "facts")
 predicate("source_guard", _one("schema:2:description", "contains", "bolt", True), "true")
 predicate("nested", Query(advanced=Group("and", [
@@ -685,6 +687,21 @@ def _(spark, sf_dir, where):
     return engine.rows(Query("Retail 00000001*")).groupBy("recipient").agg(F.count("*").alias("rows"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@imported("search_extra_by_type", """
+SELECT o_orderpriority AS priority, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders
+WHERE round(o_totalprice / 8, 2) BETWEEN 1000.5 AND 20000 AND o_orderdate + INTERVAL 30 DAY >= DATE '1997-01-31' GROUP BY 1""")
+def _(spark, sf_dir, where):
+    """Two columns without a meaning, decimal commas and dates day first, are compared as numbers and dates; files that can't have hits aren't read."""
+    engine = Engine(spark, f"{where}/store")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), "o_totalprice", "o_orderdate")
+    insured = F.replace(F.format_string("%.2f", F.round(F.col("o_totalprice").cast("double") / 8, 2)), F.lit("."), F.lit(","))
+    lines = _order_lines(spark, sf_dir).join(orders, "k").select("k", F.concat(F.rtrim(F.regexp_replace("value", "\n", "")), F.lit(";"), insured, F.lit(";"), F.date_format(F.date_add("o_orderdate", 30), "dd.MM.yyyy")).alias("value"))
+    engine.ingest(_one_file(spark, f"{_HEADER};Insured amount of cargo;Release date of cargo", lines, where))
+    engine.compact(8)
+    q = Query(advanced=Group("and", [Condition("extra:Insured amount of cargo", "range", ["1 000,5", "20000"]), Condition("schema:1:extra:Release date of cargo", "range", ["31.01.1997", ""])]))
+    return engine.rows(q).groupBy(text.extra_value(F.col("extra"), "priority").alias("priority")).agg(F.count("*").alias("rows"), F.round(F.sum("value"), 2).alias("total"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top ten senders of a year with their shares."""
     return QUERIES["top_senders_of_year"](spark, sf_dir)

@@ -163,8 +163,9 @@ def gold_table(spark: SparkSession, where: str) -> DataFrame:
 
 
 def beside_leaf(spark: SparkSession, where: str, leaf: str, rolled: bool) -> None:
-    """What lies beside each leaf: its tokens, and its rollup parts in stores that have them."""
+    """What lies beside each leaf: its tokens, the ranges of its extra columns, and its rollup parts in stores that have them."""
     token_index.write(spark, where, leaf)
+    token_index.write_ranges(spark, where, leaf)
     if rolled:
         rollups.write_parts(spark.read.parquet(f"{where}/{snapshots.GOLD}/{leaf}"), f"{where}/{snapshots.ROLLUPS}", leaf)
 

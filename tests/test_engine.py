@@ -1,9 +1,11 @@
+import shutil
+
 import pytest
 
 from tabulark.__main__ import main
 from tabulark.engine import Engine
 from tabulark.operators import rollups
-from tabulark.plans.query import Condition, Query
+from tabulark.plans.query import Condition, Group, Query
 from tabulark.sources import snapshots, token_index
 
 
@@ -149,7 +151,7 @@ def test_old_leaves_go_with_their_snapshots(spark, tmp_path):
     before = engine.gold
     for _ in range(snapshots.KEPT):
         engine.compact(1)
-    assert before.count() == 2 and engine.vacuum() == 2 and engine.vacuum() == 0  # the first leaf and its tokens
+    assert before.count() == 2 and engine.vacuum() == 3 and engine.vacuum() == 0  # the first leaf, its tokens and its ranges
     assert engine.count(Query()) == 2
 
 
@@ -162,3 +164,51 @@ def test_a_token_is_looked_for_in_its_files_only(spark, tmp_path):
     rare, common, start = (engine.rows(Query(t)) for t in ("word17", "common", "word1* common"))
     assert every > 10 and len(rare.inputFiles()) == 1 and len(common.inputFiles()) == every
     assert (rare.count(), common.count(), start.count()) == (1, 200, 111) and engine.count(Query("word17 word18")) == 0 and engine.rows(Query("nowhere")).inputFiles() == []
+
+
+def test_extra_columns_are_compared_by_type_in_their_files_only(spark, tmp_path):
+    """Every condition finds what comparing all rows finds, and reads no file whose ranges leave no room for a hit."""
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    rows = []
+    for part in range(4):
+        own = [(f"{part}{i:02d}", f"{part * 1000 + i * 10},50", f"{i + 1:02d}.{part + 1:02d}.2024", f"Box {'abcd'[part]}{i} {'x' * 70}") for i in range(12)]
+        own += [(f"{part}98", "none", "soon", ""), (f"{part}99", "", "", "")]
+        rows += own
+        (tmp_path / f"{part}.csv").write_text("SKU;Amount;Insured amount of cargo;Release date of cargo;Wrapping\n" + "".join(f"{k};1;{n};{d};{w}\n" for k, n, d, w in own))
+        engine.ingest(f"file://{tmp_path}/{part}.csv")
+    (tmp_path / "plain.csv").write_text("SKU;Amount\n7;1\n")
+    engine.ingest(f"file://{tmp_path}/plain.csv")
+    number = {k: float(n.replace(",", ".")) for k, n, _, _ in rows if n[:1].isdigit()}
+    date = {k: f"{d[6:]}-{d[3:5]}-{d[:2]}" for k, _, d, _ in rows if d[:1].isdigit()}
+    insured, release, wrapping = "extra:insured AMOUNT of cargo", "schema:1:extra:Release date of cargo", "extra:Wrapping"
+
+    leaves = lambda frame: len({f.split("/part=")[1].split("/")[0] for f in frame.inputFiles()})
+
+    def check(condition, want, read):
+        found = engine.rows(Query(advanced=Group("and", [condition])))
+        assert ({r["product_code"] for r in found.collect()}, leaves(found)) == (set(want), read), condition
+
+    check(Condition(insured, "range", ["995", "1 020,5"]), [k for k, x in number.items() if 995 <= x <= 1020.5], 1)
+    check(Condition(insured, "range", ["", "50.5"]), [k for k, x in number.items() if x <= 50.5], 1)
+    check(Condition(insured, "equals", "2010.50"), [k for k, x in number.items() if x == 2010.5], 1)
+    check(Condition(insured, "equals", "NONE"), [k for k, n, _, _ in rows if n == "none"], 4)
+    check(Condition(insured, "range", ["9000", ""]), [], 0)
+    check(Condition(release, "range", ["2024-02-05", "03.03.2024"]), [k for k, x in date.items() if "2024-02-05" <= x <= "2024-03-03"], 2)
+    check(Condition(release, "any_of", ["2024.01.02", "", "2.4.2024"]), [k for k, x in date.items() if x in ("2024-01-02", "2024-04-02")], 2)
+    check(Condition(wrapping, "starts_with", "box C1"), [k for k, *_, w in rows if w.startswith("Box c1")], 1)
+    check(Condition(wrapping, "equals", f"box d3 {'x' * 70}"), [k for k, *_, w in rows if w.startswith("Box d3 ")], 1)
+    check(Condition(wrapping, "contains", "A1"), [k for k, *_, w in rows if "a1" in w], 4)
+    check(Condition("extra:Nowhere", "not_empty"), [], 0)
+    every = leaves(engine.gold)
+    check(Condition(wrapping, "empty"), [*[k for k, *_, w in rows if not w], "7"], every)
+    check(Condition(insured, "range", ["1000", "2000"], True), [k for k, x in number.items() if not 1000 <= x <= 2000], every)
+    either = Query(advanced=Group("or", [Condition(insured, "equals", "2010.50"), Condition(release, "equals", "2024-01-02")]))
+    assert engine.count(either) == 2 and leaves(engine.rows(either)) == every
+
+
+def test_leaves_without_range_tables_are_read_whole(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    (tmp_path / "a.csv").write_text("SKU;Amount;Insured amount of cargo\n1;1;5\n2;1;7\n")
+    engine.ingest(f"file://{tmp_path}/a.csv")
+    shutil.rmtree(tmp_path / "store" / snapshots.RANGES)
+    assert engine.count(Query("1", advanced=Condition("extra:Insured amount of cargo", "range", ["4", "6"]))) == 1
