@@ -69,15 +69,17 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # Merge joins at every size: Spark splits their hot partitions, and plans do not change as tables grow.
     rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("id"), F.xxhash64(text).alias("th"))
     joined = rows.join(covered.select(F.col("id").alias("cid"), F.col("th").alias("cth"), "starts").hint("merge"), F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
-    split = joined.select("doc", "starts", _lines(F.col(f"doc.{text}")).alias("lines"))
+    body = F.col(f"doc.{text}")
+    # Only texts that lose lines are split for it; n_lines costs nothing where it isn't read.
+    split = joined.select("doc", "starts", F.when(F.col("starts").isNotNull(), _lines(body)).alias("lines"))
     split = split.select("doc", "starts", "lines", _counted(F.col("lines")).alias("counted"))
-    gone = F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.slice("counted", s + 1, F.lit(WINDOW)))))
-    marked = split.select("doc", "lines", F.size("counted").cast("long").alias("n_lines"), gone.alias("gone"))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("counted", s + 1, F.lit(WINDOW)))))
+    marked = split.select("doc", "lines", gone.alias("gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    body = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    cleaned = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
     return marked.select(
         "doc",
-        F.when(F.size("gone") == 0, F.col(f"doc.{text}")).otherwise(body).alias("text"),
-        "n_lines",
-        F.size("gone").cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), body).otherwise(cleaned).alias("text"),
+        F.size(_counted(_lines(body))).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     )
