@@ -621,8 +621,8 @@ def test_suffix_dedup_of_texts_in_pieces(spark):
     assert got == {0: (3_300_000, 1600 + 400 + 1000, 3), 1: (1602, 1600, 1), 2: (402, 400, 1), 3: (402, 400, 1), 4: (1002, 1000, 1), 5: (401, 0, 0)}
 
 
-def test_suffix_dedup_returns_what_is_left(spark, tmp_path):
-    """Texts without the passages of over 50 words that repeat, if these have 400 bytes; other texts as they are."""
+def test_suffix_dedup_leaves_what_does_not_repeat(spark):
+    """Passages of over 50 words that repeat go if they have 400 bytes, also where they end inside a character; other texts stay."""
     rng = np.random.default_rng(11)
     words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(5, 11))) for _ in range(n))
     passage, cut = words(60), words(60)
@@ -630,12 +630,11 @@ def test_suffix_dedup_returns_what_is_left(spark, tmp_path):
     # The last bytes of \u00e9 and \u00f3 differ, the first ones are alike: the repeat ends inside them.
     rows = [(i, f"{a} {i} {passage} {i} {b}") for i, (a, b) in enumerate(begins)] + [(3, words(200)), (4, "\u00e9" * 150), (5, None), (6, ""), (7, f"x{cut}\u00e9y"), (8, f"z{cut}\u00f3w")]
     assert len(passage) >= 400
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in queries.op10_suffix_dedup(spark, str(tmp_path)).collect()}
-    assert [got[i]["text"] for i in range(3)] == [f"{a} {i}{i} {b}" for i, (a, b) in enumerate(begins)]
-    assert all(got[i]["text"] == (t or "") and got[i]["n_removed"] == 0 for i, t in rows[3:7])
-    assert (got[7]["text"], got[8]["text"]) == ("x\ufffdy", "z\ufffdw") and got[7]["kept_sha256"] == hashlib.sha256(b"x\xa9y").hexdigest()
-    assert all(r["kept_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() for i, r in got.items() if i < 7)
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), carry=["doc_id"])
+    got = {r["doc"]["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in out.collect()}
+    assert [got[i] for i in range(3)] == [(len(passage) + 2, f"{a} {i}{i} {b}".encode()) for i, (a, b) in enumerate(begins)]
+    assert all(got[i] == (0, (t or "").encode()) for i, t in rows[3:7])
+    assert (got[7], got[8]) == ((len(cut) + 1, b"x\xa9y"), (len(cut) + 1, b"z\xb3w"))
 
 
 def test_repeated_rows_are_repeats(spark):
