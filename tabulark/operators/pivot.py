@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from .series import SUM_DIGITS
 
 DIMENSIONS = {
     "recipient": "recipient_label", "sender": "sender_label", "company": "company_code_label", "product_code": "product_code_label", "trademark": "trademark_label",
@@ -29,7 +30,7 @@ def cells(rows: DataFrame, row: str, column: str, metric: str = "value") -> Data
 def _top(grouped: DataFrame, key: str, limit: int, by_label: bool) -> DataFrame:
     """The first labels by total, or by label for time columns, found without sorting all in one task."""
     totals = grouped.groupBy(key).agg(F.sum("v").alias("t"))
-    order = [F.col(key)] if by_label else [F.col("t").desc(), F.col(key)]
+    order = [F.col(key)] if by_label else [F.round("t", SUM_DIGITS).desc(), F.col(key)]
     few = totals.orderBy(*order).limit(limit)
     return few.select(F.col(key).alias(f"{key}_top"), F.row_number().over(Window.orderBy(*order)).alias(f"{key}_rank"))
 

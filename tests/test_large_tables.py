@@ -1,10 +1,27 @@
 """What only showed on larger tables: ties of sums, more rows than a sheet holds, late day numbers."""
 
-from tabulark.operators import export
+from pyspark.sql import functions as F
+
+from tabulark.operators import export, pivot, series
 from tabulark.plans.query import Query
 from tabulark.sources import ingest, workbook
 
 
+def test_equal_sums_rank_by_label(spark):
+    """Sums that differ only by the order of adding are ties, which the label decides."""
+    sums = [("z", v) for v in (0.1, 0.2, 0.3)] + [("a", 0.6)]
+    rows = spark.createDataFrame([(label, "d", "c", v, 3.0 if label == "a" else 1.0, 1.0, 1.0, "USD", "2020-01") for label, v in sums], "recipient_label string, declaration_number_label string, company_code_label string, value double, net double, gross double, quantity double, currency_key string, month string").coalesce(1)
+    top = series.section(rows, "recipients")
+    assert [r["label"] for r in top.filter("total_value > 0.6").collect()] == ["z"]
+    rows = rows.withColumn("value", F.when(F.col("recipient_label") == "a", 0.6).otherwise(F.col("value")))
+    more_rows = rows.withColumn("net", F.lit(0.0)).unionByName(rows.filter("recipient_label = 'a'").withColumns({"value": F.lit(0.0), "net": F.lit(0.0)}).crossJoin(spark.range(2)).drop("id"))
+    assert [r["label"] for r in series.section(more_rows, "recipients").orderBy(F.monotonically_increasing_id()).collect()] == ["a", "z"]
+    for by in ("share", "value"):
+        assert [r["label"] for r in series.sorted_groups(top, by).collect()] == ["a", "z"]
+    ranks = {r["row_label"]: r["row_rank"] for r in pivot.pivot(rows, "recipient", "month").collect()}
+    assert (ranks["a"], ranks["z"]) == (1, 2)
+
+
 def test_late_day_numbers_in_columns_of_dates(spark, tmp_path):
     book = export.xlsx_bytes([("Clearance date", "Supplier", "Amount", "Lot"), (60000, "A", 1, 60001), (60001, "B", 2, 60001), (2958465, "C", 3, 7), (2958466, "D", 4, 7), (24999, "E", 5, 7)])
     (tmp_path / "s.xlsx").write_bytes(book)
