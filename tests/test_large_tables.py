@@ -1,10 +1,12 @@
 """What only showed on larger tables: ties of sums, more rows than a sheet holds, late day numbers."""
 
 from pyspark.sql import functions as F
+from support import SMALL
 
+from tabulark import queries, testdata
 from tabulark.operators import export, pivot, series
 from tabulark.plans.query import Query
-from tabulark.sources import ingest, workbook
+from tabulark.sources import gold, ingest, workbook
 
 
 def test_equal_sums_rank_by_label(spark):
@@ -43,3 +45,25 @@ def test_a_workbook_goes_on_in_further_sheets(spark, tmp_path, monkeypatch):
     report = ingest.import_file(spark, f"file://{path}", f"file://{tmp_path}/again")
     assert sorted(s["name"] for s in report["sources"]) == ["out.xlsx [Export 2]", "out.xlsx [Export 3]", "out.xlsx [Export]"]
     assert sorted(r["value"] for r in ingest.gold_table(spark, f"file://{tmp_path}/again").collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_slices_of_orders_give_the_same_rows(spark, monkeypatch):
+    """Large tables are marked a slice of the orders after the other, without a shuffle by contents; queries then derive the columns of the gold table."""
+    whole = testdata.facts(spark, SMALL)
+    monkeypatch.setattr(testdata, "_STORE", {})
+    monkeypatch.setattr(testdata, "SLICED_ROWS", 1)
+    monkeypatch.setattr(testdata, "SLICES", 3)
+    sliced = testdata.derived_facts(spark, SMALL)
+    assert sorted(sliced.columns) == sorted(whole.columns)
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*sorted(whole.columns)).cast("decimal(38,0)"))).first()
+    assert digest(sliced) == digest(whole)
+    plan = gold.marked_raw(testdata.raw_rows(spark, SMALL, 1, 3), "order_key")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row_hash" not in plan and "hashpartitioning(schema_id" not in plan and "hashpartitioning(order_key" not in plan
+
+
+def test_queries_leave_the_whole_gold_table_unwritten(spark, monkeypatch):
+    """A query writes the raw rows with their marks only, not every derived column."""
+    monkeypatch.setattr(testdata, "_STORE", {})
+    assert queries.QUERIES["where_empty"](spark, SMALL).first()["rows"] > 0
+    (where,) = testdata._STORE.values()
+    assert not {"tokens", "row_hash", "month"} & set(spark.read.parquet(where).columns)
